@@ -1,0 +1,81 @@
+"""Identifier and title keys as Column expressions, for linking however they are written."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from tidewrack.functions import unicode as U
+
+# Query parameters that only track the visit.
+TRACKING = r"utm_[a-z_]+|gclid|fbclid|msclkid|dclid|yclid|mc_cid|mc_eid|ref|source|igshid|_ga"
+# Page paths that show a portal, not a work.
+PORTAL = r"(?:|/index\.\w+|/default\.\w+|/home|/search|/login|/signin|/sign-in|/browse|/about|/contact|/help|/results|/register|/catalog|/catalogue|/portal|/main)"
+# Titles that name no work.
+NO_WORK = (
+    "abstract", "abstracts", "annual report", "announcement", "appendix", "author index", "back matter", "bibliography",
+    "biographical note", "book review", "book reviews", "call for papers", "comment", "comments", "conference abstracts",
+    "contents", "correction", "corrigendum", "cover", "data", "data set", "dataset", "discussion", "editorial",
+    "editorial board", "environmental impact statement", "environmental statement", "errata", "erratum", "figures",
+    "final report", "foreword", "front matter", "in memoriam", "index", "introduction", "issue information",
+    "letter to the editor", "masthead", "n a", "na", "news", "no title", "none", "not available", "notes", "null",
+    "obituary", "poster abstracts", "preface", "proceedings", "program", "programme", "progress report", "publisher s note",
+    "references", "reply", "report", "response", "retraction", "review", "reviews", "short communication", "subject index",
+    "summary", "supplement", "supplementary data", "supplementary information", "supplementary material",
+    "supplementary materials", "supporting information", "table of contents", "technical report", "thesis", "title",
+    "title page", "unknown", "untitled", "untitled document", "volume information",
+)
+
+
+def unquoted(x: Column) -> Column:
+    """Percent escapes decoded (a plus stays a plus); text that is no valid escape stays."""
+    decoded = F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B")))
+    return F.when(x.contains("%"), F.coalesce(decoded, x)).otherwise(x)
+
+
+def doi_key(x: Column) -> Column:
+    """The DOI in ``x``, lower-cased and free of prefixes and closing marks; null where there is none.
+
+    Stand-ins link nothing: a suffix of zeros only, a word for unknown, or none.
+    """
+    plain = F.lower(U.compatibility(U.visible(unquoted(x))))
+    found = F.regexp_extract(plain, r"10\.\d{4,9}/[^\s\"<>]+", 0)
+    found = F.regexp_replace(found, r"[.,;:\]}'\"]+$", "")
+    found = F.when(found.rlike(r"^[^(]*\)+$"), F.regexp_replace(found, r"\)+$", "")).otherwise(found)
+    suffix = F.regexp_extract(found, "^[^/]+/(.+)$", 1)
+    real = (suffix != "") & ~suffix.rlike(r"^(?:0+|x+|-+|n/?a|none|null|unknown|pending|missing|tba|tbd|not[ _-]?(?:assigned|available|known)|undefined|test|example)$") & ~found.rlike(r"^10\.0+/")
+    return F.when(real, found)
+
+
+def url_doi_key(x: Column) -> Column:
+    """The DOI of a resolver address; null for other addresses."""
+    return F.when(x.rlike(r"(?i)^\s*(?:https?://)?(?:www\.)?(?:dx\.)?doi\.\w+/"), doi_key(x))
+
+
+def page_key(x: Column) -> Column:
+    """A page address without what does not change the page; null for none, portals and resolvers."""
+    plain = U.visible(F.trim(x))
+    bare = F.regexp_replace(plain, r"#.*$", "")
+    bare = F.regexp_replace(bare, r"(?i)^(?:https?:)?//|^\s+", "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(bare, r"^([^/?\s]+)", 1)), r"^www\d?\.|:(?:80|443)$|\.(?=:|$)", "")
+    path = F.regexp_replace(F.regexp_replace(F.regexp_extract(bare, r"^[^/?\s]+(/[^?]*)", 1), "/{2,}", "/"), "/+$", "")
+    query = F.regexp_extract(bare, r"^[^?]*\?(.*)$", 1)
+    kept = F.array_join(F.array_sort(F.filter(F.split(query, "[&;]"), lambda q: (q != "") & ~F.lower(q).rlike(rf"^(?:{TRACKING})(?:=|$)"))), "&")
+    portal = (kept == "") & F.lower(path).rlike(rf"^{PORTAL}$")
+    resolver = host.rlike(r"^(?:dx\.)?doi\.\w+$")
+    real = host.rlike(r"^[^\s.]+(?:\.[^\s.]+)+$") & ~portal & ~resolver
+    return F.when(real, F.concat(host, unquoted(path), F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept))))
+
+
+def title_key(x: Column) -> Column:
+    """A title as compared: any look-alikes, case, accents, marks, tags and leading article alike.
+
+    Null where there is no title or one that names no work.
+    """
+    plain = F.regexp_replace(x, r"(?i)</?[a-z][a-z0-9]{0,9}/?>", "")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"(?i)&amp;|＆", "&"), r"(?i)&(?:nbsp|#160|thinsp|ensp|emsp);", " ")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"(?i)&(?:quot|apos|lt|gt|ndash|mdash|rsquo|lsquo|ldquo|rdquo|#\d+);", " "), r"&", " and ")
+    plain = U.without_accents(U.folded_lookalikes(U.compatibility(U.visible(plain))))
+    words = F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "))
+    words = F.regexp_replace(words, r"^(?:the|an|a) (?=.)", "")
+    return F.when((words != "") & ~words.isin(*NO_WORK), words)
