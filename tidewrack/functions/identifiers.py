@@ -29,8 +29,7 @@ NO_WORK = (
 
 def unquoted(x: Column) -> Column:
     """Percent escapes decoded (a plus stays a plus); text that is no valid escape stays."""
-    decoded = F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B")))
-    return F.when(x.contains("%"), F.coalesce(decoded, x)).otherwise(x)
+    return U.let(x, lambda x: F.when(x.contains("%"), F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x)).otherwise(x))
 
 
 def doi_key(x: Column) -> Column:
@@ -41,10 +40,9 @@ def doi_key(x: Column) -> Column:
     plain = F.lower(U.compatibility(U.visible(unquoted(x))))
     found = F.regexp_extract(plain, r"10\.\d{4,9}/[^\s\"<>]+", 0)
     found = F.regexp_replace(found, r"[.,;:\]}'\"]+$", "")
-    found = F.when(found.rlike(r"^[^(]*\)+$"), F.regexp_replace(found, r"\)+$", "")).otherwise(found)
-    suffix = F.regexp_extract(found, "^[^/]+/(.+)$", 1)
-    real = (suffix != "") & ~suffix.rlike(r"^(?:0+|x+|-+|n/?a|none|null|unknown|pending|missing|tba|tbd|not[ _-]?(?:assigned|available|known)|undefined|test|example)$") & ~found.rlike(r"^10\.0+/")
-    return F.when(real, found)
+    found = U.let(found, lambda d: F.when(d.rlike(r"^[^(]*\)+$"), F.regexp_replace(d, r"\)+$", "")).otherwise(d))
+    real = lambda d: d.rlike("^[^/]+/.") & ~d.rlike(r"^(?:10\.0+/.*|[^/]+/(?:0+|x+|-+|n/?a|none|null|unknown|pending|missing|tba|tbd|not[ _-]?(?:assigned|available|known)|undefined|test|example))$")
+    return U.let(found, lambda d: F.when(real(d), d))
 
 
 def url_doi_key(x: Column) -> Column:
@@ -54,17 +52,16 @@ def url_doi_key(x: Column) -> Column:
 
 def page_key(x: Column) -> Column:
     """A page address without what does not change the page; null for none, portals and resolvers."""
-    plain = U.visible(F.trim(x))
-    bare = F.regexp_replace(plain, r"#.*$", "")
-    bare = F.regexp_replace(bare, r"(?i)^(?:https?:)?//|^\s+", "")
-    host = F.regexp_replace(F.lower(F.regexp_extract(bare, r"^([^/?\s]+)", 1)), r"^www\d?\.|:(?:80|443)$|\.(?=:|$)", "")
-    path = F.regexp_replace(F.regexp_replace(F.regexp_extract(bare, r"^[^/?\s]+(/[^?]*)", 1), "/{2,}", "/"), "/+$", "")
-    query = F.regexp_extract(bare, r"^[^?]*\?(.*)$", 1)
-    kept = F.array_join(F.array_sort(F.filter(F.split(query, "[&;]"), lambda q: (q != "") & ~F.lower(q).rlike(rf"^(?:{TRACKING})(?:=|$)"))), "&")
-    portal = (kept == "") & F.lower(path).rlike(rf"^{PORTAL}$")
-    resolver = host.rlike(r"^(?:dx\.)?doi\.\w+$")
-    real = host.rlike(r"^[^\s.]+(?:\.[^\s.]+)+$") & ~portal & ~resolver
-    return F.when(real, F.concat(host, unquoted(path), F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept))))
+    bare = F.regexp_replace(U.visible(F.trim(x)), r"#.*$|(?i)^(?:https?:)?//|^\s+", "")
+    parts = lambda b: F.struct(
+        F.regexp_replace(F.lower(F.regexp_extract(b, r"^([^/?\s]+)", 1)), r"^www\d?\.|:(?:80|443)$|\.(?=:|$)", "").alias("host"),
+        F.regexp_replace(F.regexp_replace(F.regexp_extract(b, r"^[^/?\s]+(/[^?]*)", 1), "/{2,}", "/"), "/+$", "").alias("path"),
+        F.array_join(F.array_sort(F.filter(F.split(F.regexp_extract(b, r"^[^?]*\?(.*)$", 1), "[&;]"), lambda q: (q != "") & ~q.rlike(rf"(?i)^(?:{TRACKING})(?:=|$)"))), "&").alias("query"),
+    )
+    portal = lambda p: (p.query == "") & F.lower(p.path).rlike(rf"^{PORTAL}$")
+    real = lambda p: p.host.rlike(r"^[^\s.]+(?:\.[^\s.]+)+$") & ~portal(p) & ~p.host.rlike(r"^(?:dx\.)?doi\.\w+$")
+    whole = lambda p: F.concat(p.host, unquoted(p.path), F.when(p.query == "", "").otherwise(F.concat(F.lit("?"), p.query)))
+    return U.let(bare, lambda b: U.let(parts(b), lambda p: F.when(real(p), whole(p))))
 
 
 def title_key(x: Column) -> Column:
@@ -78,4 +75,4 @@ def title_key(x: Column) -> Column:
     plain = U.without_accents(U.folded_lookalikes(U.compatibility(U.visible(plain))))
     words = F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "))
     words = F.regexp_replace(words, r"^(?:the|an|a) (?=.)", "")
-    return F.when((words != "") & ~words.isin(*NO_WORK), words)
+    return U.let(words, lambda w: F.when((w != "") & ~w.isin(*NO_WORK), w))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +25,11 @@ INVISIBLE = r"[\p{Cf}͏ᅟᅠ឴឵︀-️]|[\p{Cc}&&[^\t\n\r\u000b\u000c\u0085]
 BLANKS = r"[\p{Z}\t\n\r\u000b\u000c\u0085]+"
 
 
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once, however often the body names it."""
+    return F.transform(F.array(x), body)[0]
+
+
 @functools.cache
 def compatibility_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     """Compatibility characters: one-to-one ``translate`` strings and the few that expand.
@@ -71,10 +77,14 @@ def compatibility(x: Column) -> Column:
     source, target, expanding = compatibility_tables()
     x = F.translate(x, source, target)
     ligatures = "".join(a for a, _ in expanding)
-    once = x
-    for char, plain in expanding:
-        once = F.replace(once, F.lit(char), F.lit(plain))
-    return F.when(x.rlike(f"[{ligatures}]"), once).otherwise(x)
+
+    def expanded(x: Column) -> Column:
+        once = x
+        for char, plain in expanding:
+            once = F.replace(once, F.lit(char), F.lit(plain))
+        return F.when(x.rlike(f"[{ligatures}]"), once).otherwise(x)
+
+    return let(x, expanded)
 
 
 def lookalikes(x: Column) -> Column:

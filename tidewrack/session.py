@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -67,12 +68,16 @@ class Scratch:
         self.count = 0
         atexit.register(self.clear)
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, *measures: Column) -> DataFrame:
+        """``df`` written and read back; ``measures``, aggregates named by alias, are taken on the way into ``measured``."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
+        seen = Observation()
+        rows = F.count(F.lit(1)).alias("rows")
+        df.observe(seen, rows, *measures).write.parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._tidewrack_path = path
+        kept.measured = {k: v or 0 for k, v in seen.get.items()}
         return kept
 
     def drop(self, df: DataFrame | None) -> None:
