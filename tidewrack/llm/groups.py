@@ -18,24 +18,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.functions import identifiers as I
+from tidewrack.functions import unicode as U
 from tidewrack.session import Scratch
 
 
-def _collapse(scratch: Scratch, parents: DataFrame) -> DataFrame:
-    """(node, root) of a forest (node, parent) whose only cycles are pairs."""
+def _doubled(parents: DataFrame) -> DataFrame:
     up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-    pairless = parents.join(up, "parent", "left").select(
-        "node",
-        F.when((F.col("grand") == F.col("node")) & (F.col("node") < F.col("parent")), F.col("node")).otherwise(F.col("parent")).alias("parent"),
-    )
-    kept = scratch.keep(pairless)
+    return parents.join(up, "parent", "left").select("node", F.coalesce("grand", "parent").alias("parent"), (F.coalesce("grand", "parent") != F.col("parent")).alias("moved"))
+
+
+def _collapse(scratch: Scratch, chosen: DataFrame) -> DataFrame:
+    """(node, root) of a forest (node, parent) whose only cycles are pairs."""
+    up = chosen.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
+    paired = (F.col("grand") == F.col("node")) & (F.col("node") < F.col("parent"))
+    kept = scratch.keep(chosen.join(up, "parent", "left").select("node", F.when(paired, F.col("node")).otherwise(F.col("parent")).alias("parent")))
     while True:
-        up = kept.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        doubled = scratch.keep(kept.join(up, "parent", "left").select("node", F.coalesce("grand", "parent").alias("root"), (F.coalesce("grand", "parent") != F.col("parent")).alias("moved")))
+        twice = _doubled(_doubled(kept).drop("moved"))
+        doubled = scratch.keep(twice, F.count_if("moved").alias("moved"))
         scratch.drop(kept)
-        kept = doubled.select("node", F.col("root").alias("parent"))
+        kept = doubled.select("node", "parent")
         kept._tidewrack_path = doubled._tidewrack_path
-        if doubled.where("moved").isEmpty():
+        if not doubled.measured["moved"]:
             roots = kept.select("node", F.col("parent").alias("root"))
             roots._tidewrack_path = kept._tidewrack_path
             return roots
@@ -52,11 +55,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     lo, hi = F.least(a, b), F.greatest(a, b)
     now = scratch.keep(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(lo.alias("a"), hi.alias("b")).distinct())
     labels: DataFrame | None = None
-    while not now.isEmpty():
+    while now.measured["rows"]:
         both = now.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e"))
-        chosen = scratch.keep(both.groupBy(F.col("e.node").alias("node")).agg(F.min("e.other").alias("parent")))
-        roots = _collapse(scratch, chosen)
-        scratch.drop(chosen)
+        roots = _collapse(scratch, both.groupBy(F.col("e.node").alias("node")).agg(F.min("e.other").alias("parent")))
         left = now.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").where("ra <> rb")
         following = scratch.keep(left.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
         scratch.drop(now)
@@ -83,7 +84,7 @@ def record_keys(records: DataFrame) -> DataFrame:
     no work give none. At n distinct keys two of them collide with a chance of
     about n*n/2**65.
     """
-    tagged = lambda tag, key: F.when(key.isNotNull(), F.xxhash64(F.lit(tag), key))
+    tagged = lambda tag, key: U.let(key, lambda k: F.when(k.isNotNull(), F.xxhash64(F.lit(tag), k)))
     doi, url = F.col("doi"), F.col("url")
     keys = F.array_compact(F.array(tagged("t", I.title_key(F.col("title"))), tagged("d", I.doi_key(doi)), tagged("d", I.url_doi_key(url)), tagged("u", I.page_key(url))))
     return records.select("occurrence_id", F.array_distinct(keys).alias("keys"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewrack.llm.groups import link_groups, record_keys
+from tidewrack.llm.survivors import survivors
 from tidewrack.session import table
 
 
@@ -14,5 +15,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_groups(record_keys(records))
 
 
-QUERIES = {"p1_found": p1_found}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record whose doi, abstract and full-text status survive, per group of p1_found."""
+    records = table(spark, sf_dir, "records", "occurrence_id", "system", "doi", "abstract_or_snippet", "full_text_status", "retrieved_date")
+    return survivors(records, p1_found(spark, sf_dir)).select("group_id", "field_name", "occurrence_id")
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found}
 SQL: dict[str, str] = {}
