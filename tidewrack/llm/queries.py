@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewrack.llm.groups import link_groups, record_keys
+from tidewrack.llm.sentences import split_sentences
 from tidewrack.llm.survivors import survivors
 from tidewrack.session import table
 
@@ -21,5 +22,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors(records, p1_found(spark, sf_dir)).select("group_id", "field_name", "occurrence_id")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of every document, by code-point offsets."""
+    return split_sentences(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p9_found": p9_found}
 SQL: dict[str, str] = {}
