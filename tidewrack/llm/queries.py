@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewrack.llm.groups import link_groups, record_keys
+from tidewrack.llm.leakage import leaked_items
+from tidewrack.llm.lookalike import alike_pairs
 from tidewrack.llm.sentences import split_sentences
 from tidewrack.llm.survivors import survivors
 from tidewrack.session import table
@@ -22,10 +24,21 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors(records, p1_found(spark, sf_dir)).select("group_id", "field_name", "occurrence_id")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records whose title or authors read alike but differ as strings."""
+    return alike_pairs(table(spark, sf_dir, "records", "occurrence_id", "title", "authors"), "occurrence_id", "title", "authors")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold two fifths of a test item, with the item."""
+    documents, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "text")
+    return leaked_items(documents, items).select("doc_id", "item_id")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence of every document, by code-point offsets."""
     return split_sentences(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found}
 SQL: dict[str, str] = {}
