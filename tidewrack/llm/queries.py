@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewrack.llm.groups import link_groups, record_keys
 from tidewrack.llm.leakage import leaked_items
 from tidewrack.llm.lookalike import alike_pairs
+from tidewrack.llm.names import author_pairs, entries, trimmed
 from tidewrack.llm.sentences import split_sentences
 from tidewrack.llm.survivors import survivors
+from tidewrack.operators.packed import split_values
 from tidewrack.session import table
 
 
@@ -24,6 +27,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors(records, p1_found(spark, sf_dir)).select("group_id", "field_name", "occurrence_id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different spellings of one author, over records and the sponge table."""
+    records = table(spark, sf_dir, "records", "authors", "system")
+    sponge = table(spark, sf_dir, "ss_mech_feeding_pumping_sponge_01", "paper_id", "authors")
+    values = split_values(sponge, F.col("paper_id"), {"authors": True}).select(F.col("value").alias("name"))
+    return author_pairs(entries(records).unionByName(trimmed(values)))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of records whose title or authors read alike but differ as strings."""
     return alike_pairs(table(spark, sf_dir, "records", "occurrence_id", "title", "authors"), "occurrence_id", "title", "authors")
@@ -40,5 +51,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_sentences(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found}
 SQL: dict[str, str] = {}
