@@ -34,8 +34,8 @@ def let(x: Column, body: Callable[[Column], Column]) -> Column:
 def compatibility_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     """Compatibility characters: one-to-one ``translate`` strings and the few that expand.
 
-    Canonical decompositions (accents) are left out, so accents stay; blanks are
-    handled apart.
+    Accents stay: of the canonical decompositions only those into one character are
+    in. Blanks are handled apart.
     """
     source, target, expanding = [], [], []
     for code in range(0xA0, 0x20000):
@@ -45,7 +45,8 @@ def compatibility_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
         if unicodedata.category(char) in ("Zs", "Cf", "Cn"):
             continue
         plain = unicodedata.normalize("NFKC", char)
-        if plain == char or not unicodedata.decomposition(char).startswith("<"):
+        kind = unicodedata.decomposition(char)
+        if plain == char or not (kind.startswith("<") or (kind and " " not in kind)):
             continue
         if len(plain) == 1:
             source.append(char)
