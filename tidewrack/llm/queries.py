@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tidewrack.llm.groups import link_groups, record_keys
 from tidewrack.llm.leakage import leaked_items
 from tidewrack.llm.lookalike import alike_pairs
+from tidewrack.llm.mixing import mixture, reached, token_counts
 from tidewrack.llm.names import author_pairs, entries, trimmed
+from tidewrack.llm.sample import SEED, bucket, place, sample_key, stable_sample
 from tidewrack.llm.sentences import split_sentences
 from tidewrack.llm.survivors import survivors
 from tidewrack.operators.packed import split_values
@@ -27,6 +29,42 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors(records, p1_found(spark, sf_dir)).select("group_id", "field_name", "occurrence_id")
 
 
+SHARE = 0.1
+
+
+def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the screening records that keeps its members as rows arrive or repeat."""
+    rows = table(spark, sf_dir, "benchmark_validation_blinded", "corpus_id", "calibration_record_id")
+    key = sample_key(F.col("corpus_id"), F.col("calibration_record_id"))
+    return stable_sample(rows, key, SHARE).select(key.alias("sample_key"), "calibration_record_id", "sample_bucket", "sample_place").distinct()
+
+
+def p4_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of the sample per share: each share holds all of the smaller ones."""
+    rows = table(spark, sf_dir, "benchmark_validation_blinded", "corpus_id", "calibration_record_id")
+    keys = rows.select(sample_key(F.col("corpus_id"), F.col("calibration_record_id")).alias("k")).where("k is not null").distinct()
+    at = place(bucket(F.col("k"), SEED), SEED)
+    shares = [0.01, 0.05, 0.1, 0.2, 0.5, 1.0]
+    counts = [F.count_if(at < round(65_536 * s)).alias(f"in_{round(100 * s)}_percent") for s in shares]
+    return keys.agg(*counts)
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, sf_dir, "mix_targets")
+    documents = token_counts(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return mixture(documents, targets), targets
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture and how often each is used."""
+    return _mixed(spark, sf_dir)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of the mixture that were reached."""
+    return reached(*_mixed(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of different spellings of one author, over records and the sponge table."""
     records = table(spark, sf_dir, "records", "authors", "system")
@@ -51,5 +89,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_sentences(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_sample": p4_sample, "p4_nested": p4_nested, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found}
 SQL: dict[str, str] = {}
