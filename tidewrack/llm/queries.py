@@ -10,7 +10,7 @@ from tidewrack.llm.leakage import leaked_items
 from tidewrack.llm.lookalike import alike_pairs
 from tidewrack.llm.mixing import mixture, reached, token_counts
 from tidewrack.llm.names import author_pairs, entries, trimmed
-from tidewrack.llm.sample import SEED, bucket, place, sample_key, stable_sample
+from tidewrack.llm.sample import BUCKETS, SEED, bucket, place, sample_key, stable_sample
 from tidewrack.llm.sentences import split_sentences
 from tidewrack.llm.survivors import survivors
 from tidewrack.operators.packed import split_values
@@ -45,7 +45,7 @@ def p4_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = rows.select(sample_key(F.col("corpus_id"), F.col("calibration_record_id")).alias("k")).where("k is not null").distinct()
     at = place(bucket(F.col("k"), SEED), SEED)
     shares = [0.01, 0.05, 0.1, 0.2, 0.5, 1.0]
-    counts = [F.count_if(at < round(65_536 * s)).alias(f"in_{round(100 * s)}_percent") for s in shares]
+    counts = [F.count_if(at < round(BUCKETS * s)).alias(f"in_{round(100 * s)}_percent") for s in shares]
     return keys.agg(*counts)
 
 
@@ -90,4 +90,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_sample": p4_sample, "p4_nested": p4_nested, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found}
-SQL: dict[str, str] = {}
+_STEP, _SHIFT = (int.from_bytes(SEED.encode()[:3], "big") | 1) % BUCKETS, len(SEED) * 7919
+_KEYS = """select distinct calibration_record_id, coalesce('C:' || nullif(regexp_replace(upper(coalesce(corpus_id, '')), '[^A-Z0-9]', '', 'g'), ''), 'R:' || nullif(regexp_replace(upper(coalesce(calibration_record_id, '')), '[^A-Z0-9]', '', 'g'), '')) as sample_key from benchmark_validation_blinded"""
+_PLACED = f"select *, ('0x' || sha256('{SEED}|' || sample_key)[1:4])::int as sample_bucket, (('0x' || sha256('{SEED}|' || sample_key)[1:4])::bigint * {_STEP} + {_SHIFT}) % {BUCKETS} as sample_place from ({_KEYS}) where sample_key is not null"
+SQL: dict[str, str] = {"p4_sample": f"select sample_key, calibration_record_id, sample_bucket, sample_place from ({_PLACED}) where sample_place < {round(BUCKETS * SHARE)}"}
