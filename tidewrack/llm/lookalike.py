@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.functions import unicode as U
+from tidewrack.session import Scratch
 
 # Marks that look like another one.
 MARKS_FROM, MARKS_TO = "‐‑−﹘ʼ՚＇ʹ‚٫ǃ։׃∶ꓸ․", "---–’’''"  # the rest is cut to the shorter
@@ -28,25 +29,36 @@ def look(x: Column) -> Column:
 
     Letters, case, accents, marks and spacing stay, outer blanks included.
     """
-    x = F.regexp_replace(U.visible(x), r"[\p{Zs}\t\u000b\u000c\u0085  ]", " ")
+    x = F.regexp_replace(U.visible(x), r"[\p{Zs}\t\u000b\u000c\u0085\u2028\u2029]", " ")
     return F.translate(U.lookalikes(U.compatibility(x)), MARKS_FROM[:_N], MARKS_TO[:_N])
 
 
-def looks(values: DataFrame) -> DataFrame:
+def coarse(x: Column) -> Column:
+    """A binary key that values of one class share: the ASCII letters and digits of a look, without case and accents."""
+    return F.xxhash64(F.regexp_replace(U.without_accents(F.lower(x)), "[^a-z0-9]", ""))
+
+
+def looks(values: DataFrame, shared: bool = False) -> DataFrame:
     """(field, value, canonical, members) of every distinct value of ``values`` (field, value).
 
     The canonical member is the value of its class that is its own look if there is
-    one, else the one with the fewest characters beyond ASCII, then the smallest by
-    code point. Null values are left out; an empty value is its own class.
+    one, else the one with the fewest characters beyond ASCII, then the shortest,
+    then the smallest by code point. Null values are left out; an empty value is its own class. With
+    ``shared`` only values are compared that another one may equal: those whose
+    coarse key is not theirs alone, found by plain hashing.
     """
     distinct = values.where("value is not null").select("field", "value").distinct()
-    seen = distinct.withColumn("look", look(F.col("value"))).withColumn("plain", (F.col("value") != F.col("look")).cast("int")).withColumn("odd", F.length(F.regexp_replace("value", r"[\x00-\x7f]", "")))
+    seen = distinct.withColumn("look", look(F.col("value"))).withColumn("plain", (F.col("value") != F.col("look")).cast("int")).withColumn("odd", F.length(F.regexp_replace("value", r"[\x00-\x7f]", ""))).withColumn("size", F.length("value"))
+    if shared:
+        seen = seen.withColumn("coarse", coarse(F.col("look")))
+        several = seen.groupBy("field", "coarse").agg(F.count("*").alias("n")).where("n > 1").select("field", "coarse")
+        seen = seen.join(several, ["field", "coarse"], "left_semi")
     spark = values.sparkSession
     view = f"looks_{id(seen)}"
     seen.createOrReplaceTempView(view)
-    keyed = spark.sql(f"SELECT field, value, plain, odd, look COLLATE UNICODE AS class FROM {view}")
+    keyed = spark.sql(f"SELECT field, value, plain, odd, size, look COLLATE UNICODE AS class FROM {view}")
     spark.catalog.dropTempView(view)
-    classes = keyed.groupBy("field", "class").agg(F.min(F.struct("plain", "odd", "value")).alias("best"), F.count("*").alias("members"))
+    classes = keyed.groupBy("field", "class").agg(F.min(F.struct("plain", "odd", "size", "value")).alias("best"), F.count("*").alias("members"))
     return keyed.select("field", "value", "class").join(classes, ["field", "class"]).select("field", "value", F.col("best.value").alias("canonical"), "members")
 
 
@@ -66,10 +78,14 @@ def alike_pairs(df: DataFrame, key: str, *columns: str) -> DataFrame:
     """
     both = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").alias("value")) for c in columns])).alias("f")
     long = df.select(F.col(key).alias("key"), both).select("key", "f.field", "f.value").where("key is not null and trim(value) <> ''")
-    seen = looks(long).where("members > 1").select("field", "value", F.xxhash64("field", "canonical").alias("class"), F.xxhash64("field", "value").alias("value_id"))
+    scratch = Scratch(df.sparkSession, "looks")
+    classes = looks(long, shared=True).where("members > 1")
+    seen = scratch.keep(classes.select("field", "value", F.xxhash64("field", "canonical").alias("class"), F.xxhash64("field", "value").alias("value_id")))
     named = long.join(seen.select("field", "value", "value_id"), ["field", "value"]).select("key", "field", "value_id")
     pairs = seen.select("class", F.col("value_id").alias("va")).join(seen.select("class", F.col("value_id").alias("vb")), "class").where("va < vb").select("va", "vb")
     left = named.select(F.col("key").alias("ka"), "field", F.col("value_id").alias("va"))
     right = named.select(F.col("key").alias("kb"), F.col("value_id").alias("vb"))
     found = pairs.join(left, "va").join(right, "vb").where("ka <> kb")
-    return found.select(F.least("ka", "kb").alias(f"{key}_a"), F.greatest("ka", "kb").alias(f"{key}_b"), F.col("field").alias("field_name"))
+    out = found.select(F.least("ka", "kb").alias(f"{key}_a"), F.greatest("ka", "kb").alias(f"{key}_b"), F.col("field").alias("field_name"))
+    out._scratch = scratch
+    return out
