@@ -166,3 +166,22 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame([("b", 5, 3)], "query_id string, v int, loaded_at int").write.mode("append").parquet(str(tmp_path / "in"))
     run()
     assert {r.query_id: r.v for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a": 2, "b": 5}
+
+
+def test_similar_pairs_lose_no_mergeable_pair(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(70):
+        words = ["effects", "of", *(rng.choice("silt mud clay sand dust") + str(rng.randrange(2)) for _ in range(rng.randrange(4, 8)))]
+        rows.append((i, " ".join(words), "2000", rng.choice(["roe", "doe", ""]), ""))
+    titles = spark.createDataFrame(rows, "occ_idx long, norm_title string, year string, author1 string, doi string")
+    key = lambda df: {(r.l_occ_idx, r.r_occ_idx, r.decision) for r in df.where("jaccard >= 0.8").collect()}
+    every = resolution.similar_pairs(titles, every=True)
+    assert key(resolution.similar_pairs(titles)) == key(every)
+    want = set()
+    for i, a, *_ in rows:
+        for j, b, *_ in rows:
+            x, y = set(a.split()), set(b.split())
+            if i < j and min(len(a), len(b)) >= 20 and len(x & y) / len(x | y) >= 0.8 and " ".join(a.split()[:2]) == " ".join(b.split()[:2]):
+                want.add((i, j))
+    assert {(a, b) for a, b, _ in key(every)} == want

@@ -37,7 +37,7 @@ def doi_key(x: Column) -> Column:
 
     Stand-ins link nothing: a suffix of zeros only, a word for unknown, or none.
     """
-    plain = F.lower(U.compatibility(U.visible(unquoted(x))))
+    plain = F.lower(U.beyond_ascii(unquoted(x), lambda v: U.compatibility(U.visible(v))))
     found = F.regexp_extract(plain, r"10\.\d{4,9}/[^\s\"<>]+", 0)
     found = F.regexp_replace(found, r"[.,;:\]}'\"]+$", "")
     found = U.let(found, lambda d: F.when(d.rlike(r"^[^(]*\)+$"), F.regexp_replace(d, r"\)+$", "")).otherwise(d))
@@ -52,7 +52,7 @@ def url_doi_key(x: Column) -> Column:
 
 def page_key(x: Column) -> Column:
     """A page address without what does not change the page; null for none, portals and resolvers."""
-    bare = F.regexp_replace(U.visible(F.trim(x)), r"#.*$|(?i)^(?:https?:)?//|^\s+", "")
+    bare = F.regexp_replace(U.beyond_ascii(F.trim(x), U.visible), r"#.*$|(?i)^(?:https?:)?//|^\s+", "")
     parts = lambda b: F.struct(
         F.regexp_replace(F.lower(F.regexp_extract(b, r"^([^/?\s]+)", 1)), r"^www\d?\.|:(?:80|443)$|\.(?=:|$)", "").alias("host"),
         F.regexp_replace(F.regexp_replace(F.regexp_extract(b, r"^[^/?\s]+(/[^?]*)", 1), "/{2,}", "/"), "/+$", "").alias("path"),
@@ -69,10 +69,13 @@ def title_key(x: Column) -> Column:
 
     Null where there is no title or one that names no work.
     """
-    plain = F.regexp_replace(x, r"(?i)</?[a-z][a-z0-9]{0,9}/?>", "")
-    plain = F.regexp_replace(F.regexp_replace(plain, r"(?i)&amp;|＆", "&"), r"(?i)&(?:nbsp|#160|thinsp|ensp|emsp);", " ")
-    plain = F.regexp_replace(F.regexp_replace(plain, r"(?i)&(?:quot|apos|lt|gt|ndash|mdash|rsquo|lsquo|ldquo|rdquo|#\d+);", " "), r"&", " and ")
-    plain = U.without_accents(U.folded_lookalikes(U.compatibility(U.visible(plain))))
+
+    def unmarked(v: Column) -> Column:
+        v = U.let(v, lambda t: F.when(t.contains("<"), F.regexp_replace(t, r"(?i)</?[a-z][a-z0-9]{0,9}/?>", "")).otherwise(t))
+        ands = lambda t: F.replace(F.regexp_replace(F.regexp_replace(F.replace(t, F.lit("＆"), F.lit("&")), "(?i)&amp;", "&"), r"(?i)&(?:nbsp|thinsp|ensp|emsp|quot|apos|lt|gt|ndash|mdash|rsquo|lsquo|ldquo|rdquo|#\d+);", " "), F.lit("&"), F.lit(" and "))
+        return U.let(v, lambda t: F.when(t.contains("&") | t.contains("＆"), ands(t)).otherwise(t))
+
+    plain = F.lower(U.beyond_ascii(unmarked(x), lambda v: U.without_accents(U.folded_lookalikes(U.compatibility(U.visible(v))))))
     words = F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "))
     words = F.regexp_replace(words, r"^(?:the|an|a) (?=.)", "")
     return U.let(words, lambda w: F.when((w != "") & ~w.isin(*NO_WORK), w))

@@ -30,6 +30,11 @@ def let(x: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(x), body)[0]
 
 
+def beyond_ascii(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of texts with any character beyond ASCII; others, most of them, stay as they are."""
+    return let(x, lambda v: F.when(F.octet_length(v) > F.length(v), body(v)).otherwise(v))
+
+
 @functools.cache
 def compatibility_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     """Compatibility characters: one-to-one ``translate`` strings and the few that expand.

@@ -95,18 +95,35 @@ def block_key(title: Column) -> Column:
     return F.substring(F.array_join(F.slice(F.split(title, " "), 1, 2), " "), 1, 28)
 
 
-def similar_pairs(titles: DataFrame, idx: str = "occ_idx") -> DataFrame:
-    """Pairs of distinct titles of one block with token overlap or length fit to be reviewed, with both measures and a decision.
+def similar_pairs(titles: DataFrame, idx: str = "occ_idx", every: bool = False) -> DataFrame:
+    """Pairs of titles of one block that may be one work, with both measures and a decision.
 
-    ``titles`` has idx, norm_title, year, author1, doi: one row per cluster. The
-    length bound never loses a pair of the asked ratio; only pairs that pass it go
-    through the sequence comparison.
+    ``titles`` has idx, norm_title, year, author1, doi: one row per cluster. A merge
+    asks for at least ``REVIEW_JACCARD`` of common words, so pairs meet on the rarest
+    words of their titles: two titles so alike share one of the first
+    n - ceil(share * n) + 1, whatever else they hold. No such pair is lost, and no
+    block is paired with itself as a whole.
+
+    ``every`` also lists pairs that only the sequence ratio puts up for review (they
+    are always kept separate); that compares all pairs of a block whose lengths fit.
     """
-    one = titles.where(F.length("norm_title") >= 20).withColumn("block", block_key(F.col("norm_title")))
-    left, right = one.select(*[F.col(c).alias(f"l_{c}") for c in one.columns if c != "block"], "block"), one.select(*[F.col(c).alias(f"r_{c}") for c in one.columns if c != "block"], "block")
-    pairs = left.join(right, "block").where(F.col(f"l_{idx}") < F.col(f"r_{idx}"))
+    one = titles.where(F.length("norm_title") >= 20).withColumn("block", block_key(F.col("norm_title"))).withColumn("words", F.array_distinct(F.split("norm_title", " ")))
+    side = lambda df, p: df.select("block", *[F.col(c).alias(f"{p}{c}") for c in (idx, "norm_title", "year", "author1", "doi")])
     la, lb = F.length("l_norm_title"), F.length("r_norm_title")
-    pairs = pairs.withColumn("jaccard", X.token_jaccard(F.col("l_norm_title"), F.col("r_norm_title"))).where((2 * F.least(la, lb) / (la + lb) >= REVIEW_RATIO) | (F.col("jaccard") >= REVIEW_JACCARD))
+    fit = 2 * F.least(la, lb) / (la + lb) >= REVIEW_RATIO
+    if every:
+        pairs = side(one, "l_").join(side(one, "r_"), "block").where(F.col(f"l_{idx}") < F.col(f"r_{idx}"))
+    else:
+        words = one.select(idx, "block", F.size("words").alias("n"), F.explode("words").alias("word"))
+        counts = words.groupBy("word").agg(F.count("*").alias("held"))
+        order = F.array_sort(F.collect_list(F.struct("held", "word")))
+        rare = words.join(counts, "word").groupBy(idx, "block", "n").agg(order.alias("order"))
+        first = rare.select(idx, "block", "n", F.explode(F.slice("order", 1, (F.col("n") - F.ceil(F.col("n") * REVIEW_JACCARD) + 1).cast("int"))).alias("w")).select(idx, "block", "n", "w.word")
+        a, b = (first.select("block", "word", F.col(idx).alias(f"{p}_{idx}"), F.col("n").alias(f"{p}_n")) for p in "lr")
+        met = a.join(b, ["block", "word"]).where((F.col(f"l_{idx}") < F.col(f"r_{idx}")) & (F.least("l_n", "r_n") >= REVIEW_JACCARD * F.greatest("l_n", "r_n"))).select(f"l_{idx}", f"r_{idx}").distinct()
+        pairs = met.join(side(one, "l_"), f"l_{idx}").join(side(one, "r_").drop("block"), f"r_{idx}")
+    pairs = pairs.withColumn("jaccard", X.token_jaccard(F.col("l_norm_title"), F.col("r_norm_title")))
+    pairs = pairs.where((F.col("jaccard") >= REVIEW_JACCARD) | fit if every else F.col("jaccard") >= REVIEW_JACCARD)
     pairs = pairs.withColumn("ratio", X.sequence_ratio("l_norm_title", "r_norm_title")).where((F.col("ratio") >= REVIEW_RATIO) | (F.col("jaccard") >= REVIEW_JACCARD))
     return pairs.withColumn("decision", decision())
 
