@@ -16,6 +16,7 @@ size is checked before it is broadcast, and larger item sets go in blocks.
 
 from __future__ import annotations
 
+import functools
 import pickle
 import re
 import unicodedata
@@ -187,11 +188,17 @@ def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", te
     return found
 
 
+@functools.lru_cache(maxsize=2)
+def _leaks(packed: bytes) -> Leaks:
+    """The automaton of a block, built once in a worker however many tasks it runs."""
+    return Leaks(pickle.loads(packed))
+
+
 def _scanner(packed, key: str, item: str, items: DataFrame):  # noqa: ANN001, ANN202
     kind = pa.int64() if items.schema[item].dataType.simpleString() == "bigint" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaks = Leaks(pickle.loads(packed.value))
+        leaks = _leaks(packed.value)
         for batch in batches:
             rows, out = [], []
             for row, value in enumerate(batch.column(1).to_pylist()):
