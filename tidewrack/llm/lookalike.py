@@ -29,13 +29,13 @@ def look(x: Column) -> Column:
 
     Letters, case, accents, marks and spacing stay, outer blanks included.
     """
-    x = F.regexp_replace(U.visible(x), r"[\p{Zs}\t\u000b\u000c\u0085\u2028\u2029]", " ")
-    return F.translate(U.lookalikes(U.compatibility(x)), MARKS_FROM[:_N], MARKS_TO[:_N])
+    every = lambda v: F.translate(U.lookalikes(U.compatibility(F.regexp_replace(U.visible(v), r"[\p{Zs}\u0085\u2028\u2029]", " "))), MARKS_FROM[:_N], MARKS_TO[:_N])
+    return F.translate(U.beyond_ascii(x, every), "\t\u000b\u000c\u0000", "   ")
 
 
 def coarse(x: Column) -> Column:
     """A binary key that values of one class share: the ASCII letters and digits of a look, without case and accents."""
-    return F.xxhash64(F.regexp_replace(U.without_accents(F.lower(x)), "[^a-z0-9]", ""))
+    return F.xxhash64(F.regexp_replace(F.lower(U.beyond_ascii(x, U.without_accents)), "[^a-z0-9]", ""))
 
 
 def looks(values: DataFrame, shared: bool = False) -> DataFrame:
