@@ -185,3 +185,9 @@ def test_similar_pairs_lose_no_mergeable_pair(spark):
             if i < j and min(len(a), len(b)) >= 20 and len(x & y) / len(x | y) >= 0.8 and " ".join(a.split()[:2]) == " ".join(b.split()[:2]):
                 want.add((i, j))
     assert {(a, b) for a, b, _ in key(every)} == want
+
+
+def test_round_trips(spark, data):
+    assert reference.QUERIES["inverted_index_rebuild"](spark, data).where("not same").count() == 0
+    back = reference.QUERIES["ris_import"](spark, data)
+    assert back.count() == reference.QUERIES["ris_export"](spark, data).count() > 0

@@ -151,14 +151,15 @@ def exploded_family_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 _ORG = r"\b(coral|corals|octocoral|gorgonian|sea pen|sea pens|pennatul|scleractin|lophelia|desmophyllum|madrepora|solenosmilia|sponge|sponges|porifera)\b"
 _STR = r"\b(sediment|sedimentation|suspended solids|turbidity|turbid|burial|buried|smother|dredg|drill cuttings|drilling mud|resuspension|resuspended|tailings|particle loading|sediment plume)\b"
-_TXT = "coalesce(title,'')||' '||coalesce(abstract_or_snippet,'')"
+_TXT = r"regexp_replace(coalesce(title,'')||' '||coalesce(abstract_or_snippet,''),'[^\x00-\x7f]+',' ','g')"
 
 
 @query(f"""
 select tier, count(*) as records from (select case when o and s then 'ORGANISM_AND_STRESSOR' when o then 'ORGANISM_ONLY' when s then 'STRESSOR_ONLY' else 'NEITHER_SIGNAL' end tier
 from (select regexp_matches({_TXT},'(?i){_ORG}') o, regexp_matches({_TXT},'(?i){_STR}') s from records)) group by 1""")
 def signal_tier(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("abstract_or_snippet", F.lit("")))
+    # Engines differ in what bounds a word beyond ASCII, so that is blanked here.
+    t = F.regexp_replace(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("abstract_or_snippet", F.lit(""))), r"[^\x00-\x7f]+", " ")
     s = table(spark, sf, "records", "title", "abstract_or_snippet").select(t.rlike(f"(?i){_ORG}").alias("o"), t.rlike(f"(?i){_STR}").alias("s"))
     tier = F.when(F.col("o") & F.col("s"), "ORGANISM_AND_STRESSOR").when(F.col("o"), "ORGANISM_ONLY").when(F.col("s"), "STRESSOR_ONLY").otherwise("NEITHER_SIGNAL")
     return s.groupBy(tier.alias("tier")).agg(F.count("*").alias("records"))
@@ -276,8 +277,10 @@ def first_seen_distinct(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def inverted_index_rebuild(spark: SparkSession, sf: str) -> DataFrame:
     """Texts taken apart into word positions and put together again; ``same`` must hold."""
-    t = F.col("text")
-    return table(spark, sf, "documents", "doc_id", "text").select("doc_id", X.rebuild_abstract(X.inverted_index(t)).alias("rebuilt"), X.clean(t).alias("clean")).select("doc_id", (F.col("rebuilt") == F.col("clean")).alias("same"), F.length("rebuilt").alias("chars"))
+    rows = table(spark, sf, "documents", "doc_id", "text")
+    rebuilt = X.inverted_index(rows, "doc_id", "text").select("doc_id", X.rebuild_abstract(F.col("index")).alias("rebuilt"))
+    both = rows.select("doc_id", X.clean(F.col("text")).alias("clean")).join(rebuilt, "doc_id")
+    return both.select("doc_id", (F.col("rebuilt") == F.col("clean")).alias("same"), F.length("rebuilt").alias("chars"))
 
 
 # A query of each dialect.
