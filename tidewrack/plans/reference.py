@@ -18,7 +18,7 @@ from tidewrack.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-SEED = "coldwatercoral-stage5-calibration-v1"
+SEED = "tidewrack-calibration-1"
 
 
 def query(sql: str | None = None):  # noqa: ANN201
