@@ -187,6 +187,65 @@ def test_similar_pairs_lose_no_mergeable_pair(spark):
     assert {(a, b) for a, b, _ in key(every)} == want
 
 
+def sequential(rows):
+    """The similar-title pass as a loop: rows of (first, occ_idx, p, l, norm_title, year, author1, doi); reviews and the cluster of each."""
+    root, group, best, doi = {r[0]: r[0] for r in rows}, {r[0]: [r] for r in rows}, {r[0]: r for r in rows}, {r[0]: r[7] for r in rows}
+    blocks, seen = {}, []
+    for r in sorted(rows):
+        if len(r[4]) >= 20:
+            blocks.setdefault(" ".join(r[4].split()[:2])[:28], []).append(r[0])
+    for b in blocks.values():
+        for i, x in enumerate(b):
+            for y in b[i + 1 :]:
+                p, q = root[x], root[y]
+                if p == q:
+                    continue
+                u, v = best[p], best[q]
+                ratio, s, t = difflib.SequenceMatcher(None, u[4], v[4]).ratio(), set(u[4].split()), set(v[4].split())
+                jaccard = len(s & t) / len(s | t)
+                if ratio < 0.88 and jaccard < 0.80:
+                    continue
+                same, none = u[6] == v[6] != "", not u[6] or not v[6]
+                free = not (doi[p] and doi[q] and doi[p] != doi[q]) and (not u[5] or not v[5] or abs(int(u[5]) - int(v[5])) <= 1)
+                merge = free and (same and ratio >= 0.965 and jaccard >= 0.88 or (same or none) and ratio >= 0.985 and jaccard >= 0.94)
+                seen.append((u[1], v[1], "MERGE" if merge else "KEEP_SEPARATE"))
+                if merge:
+                    for m in group[q]:
+                        root[m[0]] = p
+                    group[p] += group.pop(q)
+                    best[p], doi[p] = max(u, v, key=lambda r: (r[2], r[3], -r[1])), doi[p] or doi[q]
+    return sorted(seen), root
+
+
+def similar_rows():
+    rng = random.Random(4)
+    words = ["effects", "of", "fine", "sediment", "burial", "on", "cold", "water", "corals", "and", "sponges", "in", "the", "northern", "fjords", "after", "dredging", "works"]
+    rows = []
+    for i in range(90):
+        w = list(words)
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 6])):
+            k = rng.randrange(2, len(w))
+            w[k] = w[k] + rng.choice("sx")
+        title = " ".join(w)
+        rows.append((i, i, rng.randrange(5), len(title) + rng.randrange(2), title, rng.choice(["", "2000", "2001", "2003"]), rng.choice(["", "roe"]), rng.choice(["", "", "", "d1", "d2", "d3"])))
+    return rows
+
+
+def passed(spark, rows):
+    reps = spark.createDataFrame([(r[0], *r) for r in rows], "cluster long, first long, occ_idx long, p int, l int, norm_title string, year string, author1 string, doi string")
+    return reps, resolution.similar_clusters(reps)
+
+
+def test_reviews_follow_the_sequential_loop(spark, monkeypatch):
+    monkeypatch.setattr(resolution, "PART", 20)
+    rows = similar_rows()
+    reps, states = passed(spark, rows)
+    got = resolution.reviews(reps, states).collect()
+    want, _ = sequential(rows)
+    assert sorted((r.l_occ_idx, r.r_occ_idx, r.decision) for r in got) == want
+    assert any(r.jaccard < 0.8 for r in got) and any(r.l_norm_title == r.r_norm_title for r in got)
+
+
 def test_round_trips(spark, data):
     assert reference.QUERIES["inverted_index_rebuild"](spark, data).where("not same").count() == 0
     back = reference.QUERIES["ris_import"](spark, data)

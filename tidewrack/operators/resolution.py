@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ PRIORITY = {"OpenAlex": 4, "Citation chaining": 4, "Semantic Scholar": 3, "Web o
 STATUSES = ("ARCHIVED", "OPEN_ACCESS_PDF", "OPEN_ACCESS_LANDING_PAGE", "LIKELY_FULL_DOCUMENT_URL", "NOT_IDENTIFIED")
 REVIEW_RATIO, REVIEW_JACCARD = 0.88, 0.80
 SAME_AUTHOR, NEAR_IDENTICAL = (0.965, 0.88), (0.985, 0.94)
+#: Titles of a block that one task compares with as many others, and an index after all others.
+PART, NEVER = 400, 2**62
 
 
 def priority(system: Column) -> Column:
@@ -95,39 +98,222 @@ def block_key(title: Column) -> Column:
     return F.substring(F.array_join(F.slice(F.split(title, " "), 1, 2), " "), 1, 28)
 
 
+def representatives(df: DataFrame, clusters: DataFrame, idx: str = "occ_idx") -> DataFrame:
+    """One row per cluster: its first record, its DOI, and the record whose title stands for it, with that record's fields."""
+    best = F.max(F.struct(priority(F.col("system")).alias("p"), F.length("title").alias("l"), F.negative(idx).alias("n"), "norm_title", "year", "author1"))
+    found = df.join(clusters.select(idx, "cluster"), idx).groupBy("cluster").agg(best.alias("b"), F.max("doi").alias("doi"), F.min(idx).alias("first"))
+    return found.select("cluster", "first", (-F.col("b.n")).alias(idx), "b.p", "b.l", "b.norm_title", "b.year", "b.author1", "doi")
+
+
+def _words(titles: DataFrame) -> DataFrame:
+    return titles.where(F.length("norm_title") >= 20).withColumn("block", block_key(F.col("norm_title"))).withColumn("words", F.array_distinct(F.split("norm_title", " ")))
+
+
+def _overlapping(one: DataFrame, idx: str) -> DataFrame:
+    """(l_, r_, jaccard): pairs of one block with ``REVIEW_JACCARD`` of common words or more, l_ < r_.
+
+    Two titles so alike share one of the first n - ceil(share * n) + 1 of their
+    rarest words, whatever else they hold, so they meet on those.
+    """
+    words = one.select(idx, "block", F.size("words").alias("n"), F.explode("words").alias("word"))
+    counts = words.groupBy("word").agg(F.count("*").alias("held"))
+    order = F.array_sort(F.collect_list(F.struct("held", "word")))
+    rare = words.join(counts, "word").groupBy(idx, "block", "n").agg(order.alias("order"))
+    first = rare.select(idx, "block", "n", F.explode(F.slice("order", 1, (F.col("n") - F.ceil(F.col("n") * REVIEW_JACCARD) + 1).cast("int"))).alias("w")).select(idx, "block", "n", "w.word")
+    a, b = (first.select("block", "word", F.col(idx).alias(f"{p}_{idx}"), F.col("n").alias(f"{p}_n")) for p in "lr")
+    met = a.join(b, ["block", "word"]).where((F.col(f"l_{idx}") < F.col(f"r_{idx}")) & (F.least("l_n", "r_n") >= REVIEW_JACCARD * F.greatest("l_n", "r_n"))).select(f"l_{idx}", f"r_{idx}").distinct()
+    side = lambda p: one.select(F.col(idx).alias(f"{p}_{idx}"), F.col("norm_title").alias(f"{p}_title"))
+    both = met.join(side("l"), f"l_{idx}").join(side("r"), f"r_{idx}")
+    return both.select(f"l_{idx}", f"r_{idx}", X.token_jaccard(F.col("l_title"), F.col("r_title")).alias("jaccard")).where(F.col("jaccard") >= REVIEW_JACCARD)
+
+
+def _places(a: str) -> dict[str, int]:
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    return at
+
+
+def _common(at: dict[str, int], size: int, b: str) -> int:
+    """Length of the longest common subsequence of the text with letters ``at`` and ``b``: no sequence of matching blocks is longer."""
+    full = (1 << size) - 1
+    free = full
+    for c in b:
+        hit = free & at.get(c, 0)
+        free = (free + hit | free - hit) & full
+    return size - free.bit_count()
+
+
+def _counted(texts: list[str], letters: dict[str, int]) -> np.ndarray:
+    out = np.zeros((len(letters), len(texts)), dtype=np.int16)
+    for i, t in enumerate(texts):
+        for c in set(t):
+            out[letters[c], i] = t.count(c)
+    return out
+
+
+def _bigrams(texts: list[str]) -> np.ndarray:
+    out = np.zeros((len(texts), 256), dtype=np.int16)
+    for i, t in enumerate(texts):
+        codes = np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32)
+        out[i] = np.bincount((codes[:-1] * 31 + codes[1:]) % 256, minlength=256)
+    return out
+
+
+def _close(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of two parts of a block with ``REVIEW_RATIO`` or more, in both orders (the ratio is not symmetric).
+
+    Bounds that no such pair fails come before the ratio itself: letters in common
+    whatever their order, letter pairs in common (m matched letters of two texts of s
+    letters leave at most s - 2m gaps, so 3m - s - 1 pairs stay whole), then the longest
+    common subsequence.
+    """
+    low, high = pdf["low"].iloc[0], pdf["high"].iloc[0]
+    (ia, ta), (ib, tb) = ((d["id"].to_numpy(), d["norm_title"].tolist()) for d in (pdf[pdf["part"] == x] for x in (low, high)))
+    letters = {c: i for i, c in enumerate(set("".join(ta + tb)))}
+    common = np.zeros((len(ta), len(tb)), dtype=np.int16)
+    for x, y in zip(_counted(ta, letters), _counted(tb, letters)):
+        common += np.minimum(x[:, None], y)
+    take = 2.0 * common / (np.array([len(t) for t in ta], dtype=float)[:, None] + np.array([len(t) for t in tb])) >= REVIEW_RATIO
+    if low == high:
+        take = np.triu(take, 1)
+    rows, ga, gb, lb = [], _bigrams(ta), _bigrams(tb), np.array([len(t) for t in tb])
+    for i in range(len(ta)):
+        a, at, left = ta[i], _places(ta[i]), np.nonzero(take[i])[0]
+        whole = np.minimum(ga[i], gb[left]).sum(axis=1)
+        for j in left[whole >= (1.5 * REVIEW_RATIO - 1) * (len(a) + lb[left]) - 1.001]:
+            b = tb[j]
+            if 2.0 * _common(at, len(a), b) / (len(a) + len(b)) < REVIEW_RATIO:
+                continue
+            for x, y, s, t in ((ia[i], ib[j], a, b), (ib[j], ia[i], b, a)):
+                ratio = fuzzy_ratio(s, t)
+                if ratio >= REVIEW_RATIO:
+                    rows.append((x, y, ratio))
+    return pd.DataFrame(rows, columns=["l_id", "r_id", "ratio"])
+
+
+def reviewed_titles(titles: DataFrame, idx: str = "occ_idx") -> DataFrame:
+    """(l_title, r_title, jaccard, ratio): distinct titles up for review, in both orders, and every title with itself.
+
+    A block is dealt into parts of about ``PART`` titles, and each two parts are one
+    task's work, so a hot block is spread over the cluster.
+    """
+    one = titles.where(F.length("norm_title") >= 20).groupBy("norm_title").agg(F.min(idx).alias("id")).withColumn("block", block_key(F.col("norm_title")))
+    parts = one.groupBy("block").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    dealt = one.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("norm_title"), F.col("parts")).cast("int"))
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("id", "norm_title", "block", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    close = spread.groupBy("block", "low", "high").applyInPandas(lambda pdf: _close(pdf), "l_id long, r_id long, ratio double")
+    same = one.select(F.col("id").alias("l_id"), F.col("id").alias("r_id"), F.lit(1.0).alias("ratio"))
+    worded = _overlapping(_words(one), "id").select("l_id", "r_id")
+    worded = worded.unionByName(worded.select(F.col("r_id").alias("l_id"), F.col("l_id").alias("r_id")))
+    name = lambda p: one.select(F.col("id").alias(f"{p}_id"), F.col("norm_title").alias(f"{p}_norm_title"))
+    measured = lambda df: df.join(name("l"), "l_id").join(name("r"), "r_id")
+    by_words = measured(worded).withColumn("ratio", X.sequence_ratio("l_norm_title", "r_norm_title")).where(F.col("ratio") < REVIEW_RATIO)
+    found = measured(close.unionByName(same)).unionByName(by_words)
+    return found.select("l_norm_title", "r_norm_title", X.token_jaccard(F.col("l_norm_title"), F.col("r_norm_title")).alias("jaccard"), "ratio")
+
+
 def similar_pairs(titles: DataFrame, idx: str = "occ_idx", every: bool = False) -> DataFrame:
     """Pairs of titles of one block that may be one work, with both measures and a decision.
 
-    ``titles`` has idx, norm_title, year, author1, doi: one row per cluster. A merge
-    asks for at least ``REVIEW_JACCARD`` of common words, so pairs meet on the rarest
-    words of their titles: two titles so alike share one of the first
-    n - ceil(share * n) + 1, whatever else they hold. No such pair is lost, and no
-    block is paired with itself as a whole.
-
-    ``every`` also lists pairs that only the sequence ratio puts up for review (they
-    are always kept separate); that compares all pairs of a block whose lengths fit.
+    ``titles`` has idx, norm_title, year, author1, doi: one row per cluster. Without
+    ``every`` these are the pairs with ``REVIEW_JACCARD`` of common words, which holds
+    every merge; with it also those that only the sequence ratio puts up for review.
     """
-    one = titles.where(F.length("norm_title") >= 20).withColumn("block", block_key(F.col("norm_title"))).withColumn("words", F.array_distinct(F.split("norm_title", " ")))
-    side = lambda df, p: df.select("block", *[F.col(c).alias(f"{p}{c}") for c in (idx, "norm_title", "year", "author1", "doi")])
-    la, lb = F.length("l_norm_title"), F.length("r_norm_title")
-    fit = 2 * F.least(la, lb) / (la + lb) >= REVIEW_RATIO
+    side = lambda p: titles.select(*[F.col(c).alias(f"{p}{c}") for c in (idx, "norm_title", "year", "author1", "doi")])
     if every:
-        pairs = side(one, "l_").join(side(one, "r_"), "block").where(F.col(f"l_{idx}") < F.col(f"r_{idx}"))
+        pairs = reviewed_titles(titles, idx).join(side("l_"), "l_norm_title").join(side("r_"), "r_norm_title").where(F.col(f"l_{idx}") < F.col(f"r_{idx}"))
     else:
-        words = one.select(idx, "block", F.size("words").alias("n"), F.explode("words").alias("word"))
-        counts = words.groupBy("word").agg(F.count("*").alias("held"))
-        order = F.array_sort(F.collect_list(F.struct("held", "word")))
-        rare = words.join(counts, "word").groupBy(idx, "block", "n").agg(order.alias("order"))
-        first = rare.select(idx, "block", "n", F.explode(F.slice("order", 1, (F.col("n") - F.ceil(F.col("n") * REVIEW_JACCARD) + 1).cast("int"))).alias("w")).select(idx, "block", "n", "w.word")
-        a, b = (first.select("block", "word", F.col(idx).alias(f"{p}_{idx}"), F.col("n").alias(f"{p}_n")) for p in "lr")
-        met = a.join(b, ["block", "word"]).where((F.col(f"l_{idx}") < F.col(f"r_{idx}")) & (F.least("l_n", "r_n") >= REVIEW_JACCARD * F.greatest("l_n", "r_n"))).select(f"l_{idx}", f"r_{idx}").distinct()
-        pairs = met.join(side(one, "l_"), f"l_{idx}").join(side(one, "r_").drop("block"), f"r_{idx}")
-    pairs = pairs.withColumn("jaccard", X.token_jaccard(F.col("l_norm_title"), F.col("r_norm_title")))
-    pairs = pairs.where((F.col("jaccard") >= REVIEW_JACCARD) | fit if every else F.col("jaccard") >= REVIEW_JACCARD)
-    pairs = pairs.withColumn("ratio", X.sequence_ratio("l_norm_title", "r_norm_title")).where((F.col("ratio") >= REVIEW_RATIO) | (F.col("jaccard") >= REVIEW_JACCARD))
+        pairs = _overlapping(_words(titles), idx).join(side("l_"), f"l_{idx}").join(side("r_"), f"r_{idx}").withColumn("ratio", X.sequence_ratio("l_norm_title", "r_norm_title"))
     return pairs.withColumn("decision", decision())
 
 
+def _merge_in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The similar-title pass over one component, pair by pair as the clusters come; see ``similar_clusters``."""
+    rows = pdf.sort_values("first").to_dict("records")
+    root, members, top = list(range(len(rows))), {i: [i] for i in range(len(rows))}, {i: i for i in range(len(rows))}
+    doi, since = {i: r["doi"] for i, r in enumerate(rows)}, [(-1, -1)] * len(rows)
+    words = [set(r["norm_title"].split(" ")) for r in rows]
+    ratios: dict[tuple[str, str], float] = {}
+    out = []
+
+    def close(i: int, until: tuple[int, int]) -> None:
+        r = root[i]
+        out.append((rows[i]["cluster"], rows[i]["first"], min(rows[m]["cluster"] for m in members[r]), rows[top[r]]["occ_idx"], doi[r], *since[i], *until))
+
+    def merges(x: int, y: int) -> bool:
+        a, b, (p, q) = rows[top[x]], rows[top[y]], (words[top[x]], words[top[y]])
+        if doi[x] and doi[y] and doi[x] != doi[y] or a["year"] and b["year"] and abs(int(a["year"]) - int(b["year"])) > 1:
+            return False
+        match, missing = bool(a["author1"]) and a["author1"] == b["author1"], not a["author1"] or not b["author1"]
+        jaccard = len(p & q) / len(p | q)
+        if not (match or missing) or jaccard < SAME_AUTHOR[1]:
+            return False
+        pair = (a["norm_title"], b["norm_title"])
+        if pair not in ratios:
+            ratios[pair] = fuzzy_ratio(*pair)
+        return match and ratios[pair] >= SAME_AUTHOR[0] or ratios[pair] >= NEAR_IDENTICAL[0] and jaccard >= NEAR_IDENTICAL[1]
+
+    for i in range(len(rows)):
+        for j in range(i + 1, len(rows)):
+            x, y = root[i], root[j]
+            if x == y or not merges(x, y):
+                continue
+            at = (rows[i]["first"], rows[j]["first"])
+            for m in members[x] + members[y]:
+                close(m, at)
+                since[m] = at
+            best = max(top[x], top[y], key=lambda t: (rows[t]["p"], rows[t]["l"], -rows[t]["occ_idx"]))
+            for m in members[y]:
+                root[m] = x
+            members[x], top[x], doi[x] = members[x] + members.pop(y), best, doi[x] or doi[y]
+    for i in range(len(rows)):
+        close(i, (NEVER, NEVER))
+    return pd.DataFrame(out, columns=["cluster", "first", "joined", "top", "doi", "from_l", "from_r", "until_l", "until_r"])
+
+
+def similar_clusters(reps: DataFrame) -> DataFrame:
+    """How the similar-title pass joins clusters: per cluster one row for each state it goes through.
+
+    ``reps`` is what ``representatives`` gives (idx ``occ_idx``). The pass takes the
+    pairs of a block in order; a merged cluster goes on under the better of the two
+    representatives. What merges is always a pair of those, so only clusters linked
+    by pairs that may merge depend on order; each such component is replayed. A state
+    (``joined`` cluster, ``top`` record, ``doi``) holds for pairs of first records
+    after ``from`` up to ``until``. Clusters that nothing can join give no row.
+    """
+    titles = reps.where(F.length("norm_title") >= 20)
+    one = titles.groupBy("norm_title").agg(F.min("occ_idx").alias("occ_idx"))
+    name = lambda p: one.select(F.col("occ_idx").alias(f"{p}_occ_idx"), F.col("norm_title").alias(f"{p}_norm_title"))
+    met = _overlapping(_words(one), "occ_idx").where(F.col("jaccard") >= SAME_AUTHOR[1])
+    alike = met.join(name("l"), "l_occ_idx").join(name("r"), "r_occ_idx").select("l_norm_title", "r_norm_title").unionByName(one.select(F.col("norm_title").alias("l_norm_title"), F.col("norm_title").alias("r_norm_title")))
+    side = lambda p: titles.select(*[F.col(c).alias(f"{p}{c}") for c in ("cluster", "norm_title", "year", "author1", "doi")])
+    author = (F.col("l_author1") == "") | (F.col("r_author1") == "") | (F.col("l_author1") == F.col("r_author1"))
+    doi = (F.col("l_doi") == "") | (F.col("r_doi") == "") | (F.col("l_doi") == F.col("r_doi"))
+    edges = alike.join(side("l_"), "l_norm_title").join(side("r_"), "r_norm_title").where((F.col("l_cluster") != F.col("r_cluster")) & author & doi & X.compatible_year(F.col("l_year"), F.col("r_year")))
+    reach = smallest_members(edges.select(F.col("l_cluster").alias("a"), F.col("r_cluster").alias("b")))
+    out = titles.join(reach.withColumnRenamed("node", "cluster"), "cluster").groupBy("component").applyInPandas(lambda pdf: _merge_in_order(pdf), "cluster long, first long, joined long, top long, doi string, from_l long, from_r long, until_l long, until_r long")
+    out._scratch = reach
+    return out
+
+
+def reviews(reps: DataFrame, states: DataFrame) -> DataFrame:
+    """Every pair of clusters that the similar-title pass reviews, as the clusters stand when their turn comes.
+
+    A pair whose clusters have merged with others by then may come up again, as in
+    the sequential pass.
+    """
+    titles = reps.where(F.length("norm_title") >= 20)
+    alone = titles.join(states.select("cluster").distinct(), "cluster", "left_anti").select("cluster", "first", F.col("cluster").alias("joined"), F.col("occ_idx").alias("top"), "doi", *[F.lit(v).cast("long").alias(n) for n, v in (("from_l", -1), ("from_r", -1), ("until_l", NEVER), ("until_r", NEVER))])
+    shown = alone.unionByName(states).join(titles.select(F.col("occ_idx").alias("top"), "norm_title", "year", "author1"), "top").withColumnRenamed("top", "occ_idx")
+    side = lambda p: shown.select(*[F.col(c).alias(f"{p}{c}") for c in shown.columns])
+    pairs = reviewed_titles(titles).join(side("l_"), "l_norm_title").join(side("r_"), "r_norm_title")
+    now = F.struct("l_first", "r_first")
+    holds = lambda p: (F.struct(f"{p}from_l", f"{p}from_r") < now) & (now <= F.struct(f"{p}until_l", f"{p}until_r"))
+    due = pairs.where((F.col("l_first") < F.col("r_first")) & (F.col("l_joined") != F.col("r_joined")) & holds("l_") & holds("r_"))
+    return due.withColumn("decision", decision())
+
+
 def decision() -> Column:
     """What becomes of a reviewed pair."""
     unlike = (F.col("l_doi") != "") & (F.col("r_doi") != "") & (F.col("l_doi") != F.col("r_doi"))

@@ -125,14 +125,24 @@ def identifier_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     return resolution.conflicts(rows.where(F.length("norm_title") >= 15), F.col("norm_title"))
 
 
+def _three_passes(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    exact = _keep(spark, resolution.exact_clusters(rows))
+    joined = resolution.url_clusters(rows, exact)
+    final = _keep(spark, exact.join(joined, "cluster", "left").select("occ_idx", F.coalesce("joined", "cluster").alias("cluster"), F.col("cluster").alias("exact")))
+    final._before = exact
+    return final
+
+
 @query()
 def fuzzy_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Reviewed pairs of similar titles, between one representative per distinct title."""
-    rows = _occurrences(spark, sf).where(F.length("norm_title") >= 20)
-    best = F.max(F.struct(resolution.priority(F.col("system")).alias("p"), F.negative("occ_idx").alias("n"), "year", "author1"))
-    titles = rows.groupBy("norm_title").agg(best.alias("b"), F.max("doi").alias("doi")).select((-F.col("b.n")).alias("occ_idx"), "norm_title", F.col("b.year").alias("year"), F.col("b.author1").alias("author1"), "doi")
-    found = resolution.similar_pairs(titles)
-    return found.select("l_occ_idx", "r_occ_idx", F.round("jaccard", 4).alias("jaccard"), F.round("ratio", 4).alias("ratio"), "decision")
+    """Reviewed pairs of similar titles, between the representatives of the clusters as they stand when compared."""
+    rows = _keep(spark, _occurrences(spark, sf))
+    clusters = _three_passes(spark, rows)
+    reps = _keep(spark, resolution.representatives(rows, clusters))
+    states = _keep(spark, resolution.similar_clusters(reps))
+    out = resolution.reviews(reps, states).select("l_occ_idx", "r_occ_idx", F.round("jaccard", 4).alias("jaccard"), F.round("ratio", 4).alias("ratio"), "decision")
+    out._scratch = (rows, clusters, reps, states)
+    return out
 
 
 @query("""
