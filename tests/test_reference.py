@@ -246,6 +246,20 @@ def test_reviews_follow_the_sequential_loop(spark, monkeypatch):
     assert any(r.jaccard < 0.8 for r in got) and any(r.l_norm_title == r.r_norm_title for r in got)
 
 
+def test_similar_titles_join_clusters(spark):
+    rows = similar_rows()
+    reps, states = passed(spark, rows)
+    _, root = sequential(rows)
+    clusters = reps.select("occ_idx", "cluster", F.col("cluster").alias("exact"))
+    final = resolution.after_similar(clusters, states)
+    got = {r.occ_idx: r.cluster for r in final.collect()}
+    low = {c: min(x for x in root if root[x] == c) for c in root.values()}
+    assert got == {x: low[root[x]] for x in root} and len(set(got.values())) < len(rows)
+    joined = {c for c in got.values() if list(got.values()).count(c) > 1}
+    found = {r.cluster for r in resolution.basis(reps.select("occ_idx", F.lit("").alias("doi")), final).where("deduplication_basis = 'FUZZY_TITLE_AUTHOR'").collect()}
+    assert found == joined
+
+
 def test_round_trips(spark, data):
     assert reference.QUERIES["inverted_index_rebuild"](spark, data).where("not same").count() == 0
     back = reference.QUERIES["ris_import"](spark, data)

@@ -297,6 +297,24 @@ def similar_clusters(reps: DataFrame) -> DataFrame:
     return out
 
 
+def after_similar(clusters: DataFrame, states: DataFrame, idx: str = "occ_idx") -> DataFrame:
+    """(idx, cluster, exact, third): clusters after the similar-title pass, beside those after the passes before."""
+    last = states.where(F.col("until_l") == NEVER).select("cluster", "joined")
+    return clusters.join(last, "cluster", "left").select(idx, F.coalesce("joined", "cluster").alias("cluster"), "exact", F.col("cluster").alias("third"))
+
+
+def basis(df: DataFrame, final: DataFrame, idx: str = "occ_idx") -> DataFrame:
+    """(cluster, deduplication_basis): the passes that joined anything in a cluster, or SINGLETON.
+
+    A pass joined something where a cluster holds more clusters of the pass before
+    it than of its own; the DOI pass starts from the records.
+    """
+    rows = df.select(idx, "doi").join(final, idx).withColumn("first", F.when(F.col("doi") != "", F.col("doi")).otherwise(F.col(idx).cast("string")))
+    n = rows.groupBy("cluster").agg(F.count("*").alias("n0"), F.countDistinct("first").alias("n1"), F.countDistinct("exact").alias("n2"), F.countDistinct("third").alias("n3"))
+    reasons = [F.when(F.col("n2") > F.col("n3"), "CANONICAL_URL"), F.when(F.col("n0") > F.col("n1"), "DOI"), F.when(F.col("n1") > F.col("n2"), "EXACT_TITLE_YEAR"), F.when(F.col("n3") > 1, "FUZZY_TITLE_AUTHOR")]
+    return n.select("cluster", F.coalesce(F.nullif(F.concat_ws(" | ", *reasons), F.lit("")), F.lit("SINGLETON")).alias("deduplication_basis"))
+
+
 def reviews(reps: DataFrame, states: DataFrame) -> DataFrame:
     """Every pair of clusters that the similar-title pass reviews, as the clusters stand when their turn comes.
 

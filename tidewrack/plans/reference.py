@@ -109,13 +109,15 @@ def _keep(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 @query()
 def resolved_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """Clusters of the first three passes, with survivors."""
+    """Clusters of the four passes, with survivors and the passes that joined them."""
     rows = _keep(spark, _occurrences(spark, sf))
-    exact = _keep(spark, resolution.exact_clusters(rows))
-    joined = resolution.url_clusters(rows, exact)
-    final = exact.join(joined, "cluster", "left").select("occ_idx", F.coalesce("joined", "cluster").alias("cluster"))
-    out = resolution.survivors(rows, final)
-    out._scratch = (rows, exact)
+    clusters = _three_passes(spark, rows)
+    reps = _keep(spark, resolution.representatives(rows, clusters))
+    states = _keep(spark, resolution.similar_clusters(reps))
+    final = _keep(spark, resolution.after_similar(clusters, states))
+    basis = resolution.basis(rows, final)
+    out = resolution.survivors(rows, final).join(basis, "cluster")
+    out._scratch = (rows, clusters, reps, states, final)
     return out
 
 
