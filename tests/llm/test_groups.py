@@ -68,6 +68,14 @@ def test_groups_and_survivors(spark):
     assert survivors(records.limit(0), groups).count() == 0
 
 
+def test_abstract_shared_by_many_groups_survives(spark):
+    text = "Fragments buried under crushed rock dust varied more than expected while respiration stayed flat."
+    rows = [(f"o{i:03d}", "OpenAlex", None, text if i % 2 else "A shorter one.", None, None) for i in range(60)]
+    records = spark.createDataFrame(rows, "occurrence_id string, system string, doi string, abstract_or_snippet string, full_text_status string, retrieved_date string")
+    groups = records.select("occurrence_id", F.format_string("g%02d", (F.substring("occurrence_id", 2, 3).cast("int") / 2).cast("int")).alias("group_id"))
+    assert {r.occurrence_id for r in survivors(records, groups).collect()} == {r[0] for r in rows if r[3] == text}
+
+
 def test_extra_columns_do_not_clash(spark):
     records = spark.createDataFrame([(*r, "x", "y") for r in ROWS], COLUMNS + ", keys string, group_id string")
     assert link_groups(record_keys(records)).count() == 5

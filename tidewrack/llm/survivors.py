@@ -2,8 +2,9 @@
 
 Every member of a group claims a value for each field. Sources have accuracies,
 and may copy from one another; copies show in *false* values they share: wrong
-minority values, stand-ins and page furniture, and values spread over so many
-unrelated groups that they cannot be about any one work. From these counts come
+minority values, stand-ins and page furniture. Whether a text is real is judged by
+what it says, never by how many groups claim it: that number grows with the input,
+and real abstracts are shared as well. From these counts come
 the probability that two sources depend on each other, the votes of sources with
 copied ones discounted, the posterior of every value, and again the accuracies,
 for a fixed number of rounds.
@@ -32,12 +33,10 @@ from tidewrack.session import Scratch
 
 #: More sources than this are no sources but values; the tables about them come to the driver.
 MAX_SOURCES = 64
-#: A text claimed in this many unrelated groups is about none of them.
-SPREAD_GROUPS = 20
 #: Chance that a source copies at all, share of its values then copied, and false values a field can take.
 COPY_PRIOR, COPY_SHARE, FALSE_VALUES = 0.1, 0.8, 20.0
 START_ACCURACY, ROUNDS = 0.8, 2
-#: Log-odds against a value that looks like a stand-in, or is spread over unrelated groups.
+#: Log-odds against a value that looks like a stand-in.
 AGAINST_FALSE = -40.0
 
 # The reference's priority of systems and order of full-text statuses.
@@ -158,11 +157,7 @@ def fuse(claimed: DataFrame, prior: str = "order", rounds: int = ROUNDS) -> Data
     Null or unknown sources count as one source named ``?``.
     """
     scratch = Scratch(claimed.sparkSession, "fusion")
-    voted = scratch.keep(claimed.groupBy("group_id", "field", "value_id").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.max("suspect").alias("suspect"), F.min("place").alias("place")))
-    spread = voted.where("field = 1 or suspect").groupBy("field", "value_id").agg(F.count("*").alias("groups")).where(F.col("groups") >= SPREAD_GROUPS).select("field", "value_id", F.lit(True).alias("spread"))
-    few = spread.limit(10_001).count() <= 10_000
-    votes = scratch.keep(voted.join(F.broadcast(spread) if few else spread, ["field", "value_id"], "left").withColumn("untrue", F.col("suspect") | F.coalesce("spread", F.lit(False))).drop("spread", "suspect"))
-    scratch.drop(voted)
+    votes = scratch.keep(claimed.groupBy("group_id", "field", "value_id").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.max("suspect").alias("untrue"), F.min("place").alias("place")))
     names = _sources(votes)
     if not names:
         return votes.select("group_id", "field", "value_id", F.col("place.occurrence_id").alias("occurrence_id"), F.lit(0.0).alias("posterior"))
