@@ -17,8 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.functions import identifiers as I
 from tidewrack.functions import unicode as U
+from tidewrack.llm import identifiers as I
 from tidewrack.session import Scratch
 
 

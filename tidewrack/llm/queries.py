@@ -29,6 +29,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors(records, p1_found(spark, sf_dir)).select("group_id", "field_name", "occurrence_id")
 
 
+def p3_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p3_found, but among real values the greatest posterior survives, not the stated order."""
+    records = table(spark, sf_dir, "records", "occurrence_id", "system", "doi", "abstract_or_snippet", "full_text_status", "retrieved_date")
+    chosen = survivors(records, p1_found(spark, sf_dir), prior="votes")
+    return chosen.select("group_id", "field_name", "occurrence_id", F.round("posterior", 6).alias("posterior"))
+
+
 SHARE = 0.1
 
 
@@ -89,7 +96,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_sentences(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_sample": p4_sample, "p4_nested": p4_nested, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_votes": p3_votes, "p4_sample": p4_sample, "p4_nested": p4_nested, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found}
 _STEP, _SHIFT = (int.from_bytes(SEED.encode()[:3], "big") | 1) % BUCKETS, len(SEED) * 7919
 _KEYS = """select distinct calibration_record_id, coalesce('C:' || nullif(regexp_replace(upper(coalesce(corpus_id, '')), '[^A-Z0-9]', '', 'g'), ''), 'R:' || nullif(regexp_replace(upper(coalesce(calibration_record_id, '')), '[^A-Z0-9]', '', 'g'), '')) as sample_key from benchmark_validation_blinded"""
 _PLACED = f"select *, ('0x' || sha256('{SEED}|' || sample_key)[1:4])::int as sample_bucket, (('0x' || sha256('{SEED}|' || sample_key)[1:4])::bigint * {_STEP} + {_SHIFT}) % {BUCKETS} as sample_place from ({_KEYS}) where sample_key is not null"
