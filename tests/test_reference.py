@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tidewrack.functions import identifiers as I
 from tidewrack.functions import text as X
 from tidewrack.operators import export, graph, recovery, resolution, sampling, search
 from tidewrack.plans import reference
@@ -54,11 +53,6 @@ def test_identifiers(spark):
     assert one(spark, X.normalize_year, "in 1999 or 2001") == "1999"
     assert one(spark, X.cited_title, "Roe, A. (2010). Fine silt: a study. J Reef 2.") == "Fine silt: a study"
     assert one(spark, X.clean_space, None) == ""
-    assert one(spark, I.doi_key, "10.0000/0000000") is None
-    assert one(spark, I.page_key, "https://www.a.example:443//x/?utm_medium=q#s") == "a.example/x"
-    assert one(spark, I.page_key, "https://a.example/login") is None
-    assert one(spark, I.title_key, "Editorial.") is None
-    assert one(spark, I.title_key, "A <i>Rееf</i> &amp; Silt") == "reef and silt"
 
 
 def test_sequence_ratio_is_not_symmetric(spark):
