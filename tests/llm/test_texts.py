@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewrack.llm import leakage
 from tidewrack.llm.leakage import leaked_items
 from tidewrack.llm.lookalike import alike_pairs, canonical_values
-from tidewrack.llm.sentences import sentences, split_sentences
+from tidewrack.llm.sentences import Words, sentences, split_sentences
 
 UNITS = {
     "Dr. Roe saw 4 p.m. light. No. 9 fell (see Fig. 7a). Really?! Yes.": ["Dr. Roe saw 4 p.m. light.", "No. 9 fell (see Fig. 7a).", "Really?!", "Yes."],
@@ -33,6 +33,50 @@ def test_sentences(text):
     assert [text[a:b] for a, b in sentences(text)] == UNITS[text]
 
 
+GAPS = {
+    "นักวิจัยสำรวจพื้นที่ ตะกอนลดลง": ["นักวิจัยสำรวจพื้นที่", "ตะกอนลดลง"],
+    "นักวิจัยพบฟองน้ำที่ อ่อนแอมาก": ["นักวิจัยพบฟองน้ำที่ อ่อนแอมาก"],
+    "ตัวอย่างต่าง ๆ ถูกเก็บแล้ว น้ำขุ่น": ["ตัวอย่างต่าง ๆ ถูกเก็บแล้ว", "น้ำขุ่น"],
+    "「流れは弱い。」とても濁った海だ。": ["「流れは弱い。」", "とても濁った海だ。"],
+    "「流れは弱い。」と記録した。": ["「流れは弱い。」と記録した。"],
+    "海綿を採集した しかし濁度は超えた。": ["海綿を採集した", "しかし濁度は超えた。"],
+    "海綿の ろ過速度を採集した。": ["海綿の ろ過速度を採集した。"],
+}
+
+
+@pytest.mark.parametrize("text", list(GAPS))
+def test_gaps_are_judged_by_the_words_beside_them(text):
+    assert [text[a:b] for a, b in sentences(text)] == GAPS[text]
+
+
+def test_the_word_lattice_decides():
+    assert Words().segment("สำรวจพื้นที่")[-1] == "พื้นที่" and Words().segment("ฟองน้ำที่")[-1] == "ที่"
+    assert Words().segment("とても濁った")[0] == "とても" and Words().segment("と記録した") == ["と", "記録", "した"]
+    none = Words(frozenset())
+    assert sum(sentences(t, none) != sentences(t) for t in GAPS) >= 4
+    assert sentences("「流れは弱い。」と観測員は記録した。なんと濁った海だ！", none) != sentences("「流れは弱い。」と観測員は記録した。なんと濁った海だ！")
+
+
+def test_the_terminator_lattice_weighs_what_a_path_breaks():
+    held = 'He wrote: "It fell. It rose." Then rest.'
+    assert [held[a:b] for a, b in sentences(held)] == ['He wrote: "It fell. It rose."', "Then rest."]
+    lost = 'The 5" core broke. ' + "It was cold there. " * 12 + 'The 7" core held.'
+    assert len(sentences(lost)) == 14  # two inch marks are no quote over fourteen sentences
+
+
+def test_long_texts_cost_time_in_proportion():
+    import time
+
+    def took(text):
+        start = time.perf_counter()
+        sentences(text)
+        return time.perf_counter() - start
+
+    for unit in ("(See it. ) ", "“A b.” ", "Dr. A. ", "a.b.", "ก ข ", "A (b. C [d] e) f. "):
+        small, large = took(unit * 1000), took(unit * 8000)
+        assert large < 25 * small + 0.5, unit
+
+
 def test_sentences_cover_every_visible_character():
     rng = random.Random(2)
     letters = string.ascii_letters + " .?!\n\"'()«»“”。！ ก" + "​😀"

@@ -1,16 +1,26 @@
 """Sentence boundaries across languages and scripts.
 
-A text is cut into blocks (paragraphs, list entries) and every block into
-sentences. Spaced scripts go through a *terminator lattice*: every mark that may
-end a sentence is an edge whose cost depends on the token before it
-(abbreviation, initial, unit, number, word), on what follows (case, opener,
-blank or none) and on the quotes and brackets it stands in. Scripts without
-spaces go through a *word lattice*: the characters around a gap are segmented by
-a dictionary of function words, and the gap is classified by the particle that
-ends its left side and the word that opens its right one. The script is judged
-around each mark, not per document, so mixed and mislabelled texts work.
-
-Everything is a function of one text, run over Arrow batches without a shuffle.
+A text is cut into blocks (paragraphs, list entries), and every block is a lattice:
+its nodes are the places where a sentence may end, an edge is a sentence between
+two of them, and the cheapest path is the segmentation. What may end a sentence is
+a terminator, a blank in Thai, and in Chinese or Japanese also a gap without any
+mark. Every such place has a score, the evidence that a sentence ends there; a path
+pays for ending against the evidence and for passing over it, and for every quote or
+bracket it breaks open.
+
+*Terminator lattice* (spaced scripts): the score adds up what the token before the
+mark is (abbreviation, initial, unit, number, label, word), what follows (case, opener, blank
+or none), and whether the sentence opens with the quote that closes here.
+
+*Word lattice* (Thai, Chinese, Japanese): the runs on both sides of a gap are segmented
+by a dictionary, by the cheapest path over its words and unknown letters. The gap is
+classified by the word that ends its left side (a final particle, or a linker that
+cannot end anything) and the word that opens its right side (an opener, or a word that
+goes on with what was said). So a blank after `พื้นที่` ends a sentence although one
+after `ที่` does not, and a quote before `とても` stands alone although one before `と` does not.
+
+The script is judged around each gap, not per document, so mixed and mislabelled
+texts work. Everything is a function of one text, run over Arrow batches without a shuffle.
 """
 
 from __future__ import annotations
@@ -43,66 +53,134 @@ _LIST = re.compile(r"\n[^\S\n]*[-–—•*·◦▪‣‐‑][^\S\n]+(?=\S)")
 _NUMBERED = re.compile(r"\n[^\S\n]*\(?(?:\d{1,3}|[a-zA-Z])[.)][^\S\n]+(?=\S)")
 _PARAGRAPH = re.compile(r"[^\S\n]*\n[^\S\n]*\n\s*")
 
-# Words that open a sentence or cannot end one, and particles that end one, of scripts without spaces.
-OPENERS = {"ก่อนหน้านี้", "จากนั้น", "ดังนั้น", "นอกจากนี้", "อย่างไรก็ตาม", "แต่", "เมื่อ", "ในปี", "นักวิจัย", "但是", "然而", "因此", "此外", "同时", "在", "我们", "本文", "しかし", "また", "そして", "さらに", "この", "その", "これ"}
-LINKERS = {"และ", "หรือ", "ของ", "ใน", "ที่", "จาก", "กับ", "เป็น", "คือ", "เพื่อ", "โดย", "ถึง", "ต่อ", "และ/หรือ", "ซึ่ง", "的", "和", "与", "及", "或", "在", "对", "从", "は", "が", "を", "に", "の", "と", "で", "へ", "も", "から", "まで"}
-FINALS = {"แล้ว", "ครับ", "ค่ะ", "นะ", "เลย", "了", "吗", "吧", "呢", "啊", "だ", "です", "ます", "た", "か", "ね", "よ", "である", "ました"}
-_LEXICON = OPENERS | LINKERS | FINALS
-_LONGEST = max(map(len, _LEXICON))
+# Words of scripts without spaces, by what they say about the gap beside them.
+# OPENERS begin a sentence, LINKERS cannot end one, FINALS end one, REPORTS go on from a closed quote.
+OPENERS = frozenset("ก่อนหน้านี้ จากนั้น ดังนั้น นอกจากนี้ อย่างไรก็ตาม แต่ เมื่อ ต่อมา ทั้งนี้ ขณะเดียวกัน ในที่สุด อนึ่ง 但是 然而 因此 此外 同时 另外 随后 最后 首先 其次 不过 所以 我们 本文 しかし また そして さらに この その これ それ ただし なお 一方 次に まず 最後に".split())
+LINKERS = frozenset("และ หรือ ของ ใน ที่ จาก กับ เป็น คือ เพื่อ โดย ถึง ต่อ ซึ่ง เพราะ ตาม บน ด้วย ว่า 的 和 与 及 或 在 对 从 把 被 向 は が を に の と で へ も から まで より".split())
+FINALS = frozenset("แล้ว ครับ ค่ะ นะ เลย ด้วยกัน เท่านั้น 了 吗 吧 呢 啊 だ です ます た か ね よ である ました でした ません だった いる ある する した".split())
+REPORTS = frozenset("と の って という との".split())
+REPEATS = frozenset("ๆ ฯ ฯลฯ".split())
+# Other words of everyday and technical use, which keep the words above from being read out of them.
+WORDS = frozenset("""
+พื้นที่ ที่สุด ที่นี่ ที่นั่น ทันที หน้าที่ เจ้าหน้าที่ สถานที่ แผนที่ คงที่ เต็มที่ กะทันหัน ภายใน ภายนอก ในขณะที่ ของเสีย สิ่งของ ปะการัง น้ำลึก น้ำ ตะกอน ปกคลุม นาน ชั่วโมง นาที
+ความขุ่น ความ การ สูง ต่ำ มิลลิกรัม ลิตร กระแสน้ำ อ่อน มาก น้อย ฤดูหนาว ฤดูร้อน ฟองน้ำ ลด เพิ่ม อัตรา สูบ ลง ขึ้น ร้อยละ นักวิจัย เก็บ ตัวอย่าง ชิ้น ปี เดือน วัน โพลิป หดตัว จึง ฟื้นตัว
+ทะเล ชายฝั่ง ระบบ ผล ผลกระทบ การศึกษา พบ ว่าง ต่อเนื่อง ต่อไป โดยเฉพาะ โดยทั่วไป ถึงแม้ มาตรฐาน ตามปกติ ตามธรรมชาติ สถานี สังเกต บันทึก เมตร กิโลเมตร เซนติเมตร ตารางเมตร ประมาณ ระดับ คุณภาพ นะคะ
+珊瑚 海绵 沉积物 悬浮物 浓度 达到 持续 小时 分钟 钻屑 覆盖 平方米 采集 样本 附近 下降 水流 很弱 日志 写道 能见度 太差 观察员 记录 承受 多少 息肉 收缩 恢复 泵水 速率 了解 为了 除了 罢了 目的 的确 现在 存在 正在 所在 在于 和平 和谐 总和 与其 参与 给与 从事 从而 自从 对于 对照 针对 相对 及时 以及 或者 或许 把握 被动 方向 方面 研究 影响 结果 实验 海水 深海 底部
+とても ところ とき とも として とりわけ とくに どれほど のち のみ のど もの ものの ここ そこ どこ なんと 流れ 弱い 観測員 記録 濁度 超え 続い 回復 時間 要し 海綿 ろ過 速度 低下 採集 個体 サンゴ 堆積物 耐え られる 濁っ 海 図 参照 沖 日間 から見て までに でも では には とは ながら ために について によって において はず はじめ がら かなり からだ にわたり へこむ もっと もし もちろん よく より多く かつて たち たとえば ため
+""".split())
+#: What an unknown letter of a run costs, a dictionary word costing 1.
+UNKNOWN = 1.6
+
+#: What a path pays for every quote or bracket that it breaks open: more than for passing over three certain ends.
+BREAK = 14.0
+# Scores of what speaks for (positive) or against an end.
+CERTAIN, LIKELY, WEAK = 4.0, 2.0, 1.0
 
 _OPEN = "“„«「『‘‚([（【《〈｢"
 _CLOSE = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "(": ")", "[": "]", "（": "）", "【": "】", "《": "》", "〈": "〉", "｢": "｣"}
 _QUOTES = frozenset("“„«「『\"｢")
 _CLOSERS = "”“»」』\"'’)]）】》〉｣"
-_MARK = re.compile(r"[.!?…。！？｡．।॥؟۔;⁇⁈⁉]+")
 _PAIR = re.compile(r"[“”„«»「」『』\"()\[\]（）【】《》〈〉｢｣]")
-_BEFORE = re.compile(r"[^\s“”„«»「」『』\"()\[\]（）,;:，、：]+\Z")
-_AFTER = re.compile(r"\w[\w.\-]*")
+_TOKEN = re.compile(r"[^\s“”„«»「」『』\"()\[\]（）,;:，、：]+")
+_AFTER = re.compile(r"\w[\w.\-]{0,40}")
 _URL = re.compile(r"(?:https?://|www\.)[^\s“”«»\"<>，。]*[^\s“”«»\"<>，。.,;:!?)]|\b[\w.+-]+@[\w-]+\.[\w.-]*\w")
-_INVISIBLE = "​‌‍‎‏⁠﻿­"
-_THAI = re.compile(r"[฀-๿]")
-_CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿ｦ-ﾟ]")
-_GREEK = re.compile(r"[Ͱ-Ͽἀ-῿]")
-_GAP = re.compile(r"\s+")
+_INVISIBLE = "\u200b\u200c\u200d\u200e\u200f\u2060\ufeff\u00ad"
+_THAI = re.compile(r"[\u0e00-\u0e7f]")
+_KANA_HAN = "\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f"
+_CJK = re.compile(f"[{_KANA_HAN}]")
+_GREEK = re.compile(r"[\u0370-\u03ff\u1f00-\u1fff]")
+_BLANK = re.compile(r"\s")
+_RUN = re.compile(f"[\u0e00-\u0e7f]+|[{_KANA_HAN}]+")
+_MARK = re.compile(r"[.!?…。！？｡．।॥؟۔;⁇⁈⁉]+|(?<=[\u0e00-\u0e7f])\s+|\s+(?=[\u0e00-\u0e7f])" + f"|(?<=[{_KANA_HAN}])[\\s]+(?=[{_KANA_HAN}])")
+#: Thai letters that do not stand without the one before them.
+_BOUND = frozenset("ะัาำิีึืฺุู็่้๊๋์ํ๎ๅ")
+#: A token longer than any abbreviation, unit or number is a plain word, whatever it is.
+_LONG = 48
+
+
+class Words:
+    """The word lattice: the first and last word of any run of a script without spaces."""
 
+    def __init__(self, dictionary: frozenset[str] = OPENERS | LINKERS | FINALS | REPORTS | REPEATS | WORDS):
+        self.dictionary = dictionary
+        self.longest = max(map(len, dictionary), default=0)
 
-def _words_back(text: str, at: int) -> str | None:
-    """The dictionary word that the best path through the lattice left of ``at`` ends with."""
-    for n in range(min(_LONGEST, at), 0, -1):
-        if text[at - n : at] in _LEXICON:
-            return text[at - n : at]
-    return None
+    def segment(self, run: str) -> list[str]:
+        """The run as words, by the cheapest path: a dictionary word costs 1, any other letter ``UNKNOWN``."""
+        n = len(run)
+        best, back = [0.0] + [float("inf")] * n, [0] * (n + 1)
+        for a in range(n):
+            if a and run[a] in _BOUND:
+                continue
+            b = a + 1
+            while b < n and run[b] in _BOUND:
+                b += 1
+            if best[a] + UNKNOWN < best[b]:
+                best[b], back[b] = best[a] + UNKNOWN, a
+            for b in range(a + 1, min(n, a + self.longest) + 1):
+                if run[a:b] in self.dictionary and not (b < n and run[b] in _BOUND) and best[a] + 1.0 < best[b]:
+                    best[b], back[b] = best[a] + 1.0, a
+        words, at = [], n
+        while at:
+            words.append(run[back[at] : at])
+            at = back[at]
+        return words[::-1]
 
 
-def _words_on(text: str, at: int) -> str | None:
-    for n in range(min(_LONGEST, len(text) - at), 0, -1):
-        if text[at : at + n] in _LEXICON:
-            return text[at : at + n]
-    return None
+class _Text:
+    """One block and what its gaps are judged by, each found in one pass."""
+
+    def __init__(self, text: str, words: Words):
+        self.text, self.words = text, words
+        self.pairs = _pairs(text)
+        self.opened = {a: (b, quote) for a, b, quote in self.pairs}
+        self.closes = {b for _, b, _ in self.pairs}
+        self.runs: dict[int, list[str]] = {}
+        self.run_from: dict[int, tuple[int, int]] = {}
+        if _RUN.search(text):
+            for m in _RUN.finditer(text):
+                self.run_from[m.start()] = self.run_from[-m.end()] = m.span()
+
+    def _segmented(self, span: tuple[int, int]) -> list[str]:
+        if span[0] not in self.runs:
+            self.runs[span[0]] = self.words.segment(self.text[span[0] : span[1]])
+        return self.runs[span[0]]
+
+    def word_before(self, at: int) -> str:
+        """The last word of the run that ends at ``at``; '' if the dictionary does not have it."""
+        span = self.run_from.get(-at)
+        word = self._segmented(span)[-1] if span else ""
+        return word if word in self.words.dictionary else ""
+
+    def word_after(self, at: int) -> str:
+        """The first word of the run that begins at ``at``; '' if the dictionary does not have it."""
+        span = self.run_from.get(at)
+        word = self._segmented(span)[0] if span else ""
+        return word if word in self.words.dictionary else ""
 
 
 def _pairs(text: str) -> list[tuple[int, int, bool]]:
-    """Matched quotes and brackets as (open, close, is quote); what has no partner is ignored."""
+    """Matched quotes and brackets as (open, close, is quote), by where they open; what has no partner is ignored.
+
+    Of every mark its open places are kept apart, so each step costs as much as it closes.
+    """
     stack: list[tuple[str, int]] = []
+    waiting: dict[str, list[int]] = {}
     found = []
     for m in _PAIR.finditer(text):
         c, at = m.group(), m.start()
+        opener = max((o for o in _CLOSE if c in _CLOSE[o] and waiting.get(o)), key=lambda o: waiting[o][-1], default=None)
         if c == '"':
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == '"':
-                    found.append((stack[k][1], at, True))
-                    del stack[k:]
-                    break
-            else:
-                stack.append((c, at))
-            continue
-        closes = next((k for k in range(len(stack) - 1, -1, -1) if c in _CLOSE.get(stack[k][0], "")), -1)
-        if closes >= 0:
-            found.append((stack[closes][1], at, stack[closes][0] in _QUOTES))
-            del stack[closes:]
-        elif c in _OPEN:
+            opener = c if waiting.get(c) else None
+        if opener is not None:
+            k = waiting[opener][-1]
+            found.append((stack[k][1], at, opener in _QUOTES))
+            while len(stack) > k:
+                waiting[stack.pop()[0]].pop()
+        elif c == '"' or c in _OPEN:
+            waiting.setdefault(c, []).append(len(stack))
             stack.append((c, at))
-    return found
+    return sorted(found)
 
 
 def _opens(text: str, at: int) -> bool | None:
@@ -118,132 +196,203 @@ def _opens(text: str, at: int) -> bool | None:
     return None if c.isalpha() else c not in ",;:)%]/"
 
 
-def _ends(text: str, start: int, mark: int, run: str, after: int, blank: bool, pairs: list[tuple[int, int, bool]], closed: bool) -> bool:
-    """Whether the marks ``run`` at ``mark`` end the sentence that began at ``start``.
+def _gap_score(block: _Text, left: int, right: int) -> float:
+    """Whether a blank between two runs of a script without spaces ends a sentence, by the words beside it."""
+    text = block.text
+    before, after = block.word_before(left), block.word_after(right)
+    finals = (before in FINALS) + (after in OPENERS)
+    if _THAI.match(text[left - 1 : left]) or _THAI.match(text[right : right + 1]):
+        if text[left - 1 : left] in ".!?":
+            return -CERTAIN  # the mark itself is judged
+        return LIKELY + LIKELY * finals - 2 * CERTAIN * (before in LINKERS) - 2 * CERTAIN * (after in REPEATS) - (LIKELY + WEAK) * (before in REPEATS)
+    return -LIKELY - WEAK + LIKELY * finals - CERTAIN * (before in LINKERS)
 
-    ``after`` is where the text goes on, past closing quotes and blanks; ``blank``
-    whether there was a blank; ``closed`` whether closing quotes or brackets came.
-    """
-    opens = _opens(text, after)
-    first = run[0]
-    if first in "。！？｡．।॥؟۔⁇⁈⁉" or (first in "!?…" and _CJK.match(text[mark - 1 : mark] or " ") and (first != "…" or opens is not False)):
-        if closed:
-            held = next((p for p in pairs if p[0] == start and p[2] and p[1] >= mark), None)
-            if held and opens is not True:
-                return False  # the quote opens the sentence: who says it follows
-            if held and _CJK.search(text, after, after + 2):
-                return False
-            if held and first in "。！？｡．" and text[after - 1] in "”」』" and not blank:
-                return False
-            if _words_on(text, after) in ("と", "の"):
-                return False
-        return opens is not False or first in "।॥"
-    if first == ";":
-        return bool(opens is not False and blank and _GREEK.search(text, start, mark))
-    if opens is False:
-        if first == "?" and run[-1] == "?" and blank and not closed:
-            return True
-        if first != "." or len(run) > 1 or not blank or closed:
-            return False
-        # Lower-cased text: only a plain word, a number that is no day, or a label lets a sentence end here.
-        before = _BEFORE.search(text, max(start, mark - 40), mark)
-        low = before.group().lower() if before else ""
-        if low in ABBREVIATIONS or low in CLOSING_ABBREVIATIONS or re.search(r"[ऀ-ॿ]", low):
-            return False
-        if len(low) == 1:
-            return text[max(start, mark - 20) : mark - 1].split(" ")[-2:][0].strip().lower() in LABELS
-        if re.fullmatch(r"\w*\d[\d.,:]*%?", low):
-            word = _AFTER.match(text, after)
-            return not (word and word.group().lower() in MONTHS)
-        return len(low) > 2 and low.replace("-", "").replace("'", "").replace("’", "").isalpha()
-    if first in "!?":
-        return blank or opens is True
-    if first == "…" or run.startswith(".."):
-        return opens is True and (blank or text[after].isupper() or text[after] in _QUOTES)
-    # one full stop
-    before = _BEFORE.search(text, max(start, mark - 40), mark)
-    token = before.group() if before else ""
+
+def _full_stop(block: _Text, token: str, mark: int, after: int, blank: bool, closed: bool, opens: bool | None) -> float:
+    """The score of one full stop after ``token``."""
+    text = block.text
     for c in _INVISIBLE:
         if c in token:
             token = token.replace(c, "")
     low = token.lower().lstrip("'’‘-–")
+    number = bool(re.fullmatch(r"\d+(?:[.,:]\d+)*", low)) or low.replace("-", "").isdigit()
+    word = _AFTER.match(text, after)
+    month = bool(word) and word.group().lower() in MONTHS
+    back = lambda n: text[max(0, mark - len(token) - n) : max(0, mark - len(token))].rstrip()
+    if opens is False:
+        # Lower-cased text: only a plain word, a number that is no day, or a label lets a sentence end here.
+        if not blank or closed:
+            return -CERTAIN
+        if low in ABBREVIATIONS or low in CLOSING_ABBREVIATIONS or re.search(r"[\u0900-\u097f]", low):
+            return -CERTAIN
+        if len(low) == 1:
+            return WEAK if back(20).split(" ")[-1].lower() in LABELS else -CERTAIN
+        if re.fullmatch(r"\w*\d[\d.,:]*%?", low):
+            return -CERTAIN if month else WEAK
+        return WEAK if len(low) > 2 and low.replace("-", "").replace("'", "").replace("’", "").isalpha() else -LIKELY
+    score = LIKELY if blank or closed else -CERTAIN
     if not blank and not closed:
         nxt = text[after : after + 2]
-        if not (nxt[:1].isupper() and (nxt[1:].islower() or nxt[1:] == " " or nxt[1:].isspace()) or nxt[:1] in "¿¡“«„" or (nxt[:1] == '"' and any(p[0] == after for p in pairs))):
-            return False
+        capital = nxt[:1].isupper() and (nxt[1:].islower() or nxt[1:] == " " or nxt[1:].isspace())
+        if capital or nxt[:1] in "¿¡“«„" or (nxt[:1] == '"' and after in block.opened):
+            score += CERTAIN + LIKELY
         if (len(low) < 2 and not low.isdigit()) or "." in low or low in ABBREVIATIONS:
-            return bool(re.fullmatch(r"\d+(?:\.\d+)?%?", low)) or (low in CLOSING_ABBREVIATIONS and low[-1:] in "ms")
+            kept = re.fullmatch(r"\d+(?:\.\d+)?%?", low) or (low in CLOSING_ABBREVIATIONS and low[-1:] in "ms")
+            return score if kept else score - 2 * CERTAIN
+        if score < 0:
+            return score
     if low in ABBREVIATIONS and not (low in ("st", "no", "s") and closed):
-        return False
-    if low.replace("-", "").isdigit() or re.fullmatch(r"\d+(?:[.,:]\d+)*", low):
-        word = _AFTER.match(text, after)
-        if word and word.group().lower() in MONTHS:
-            return False
-        return True
+        return score - 2 * CERTAIN
+    if number:
+        return score - 2 * CERTAIN if month else score
     if len(low) == 1 and low.isalpha():
-        gap = text[max(start, mark - 14) : mark - 1].rstrip()
-        return (token.islower() and gap[-1:].isdigit()) or gap.split(" ")[-1].lower() in LABELS
+        named = (token.islower() and back(14)[-1:].isdigit()) or back(14).split(" ")[-1].lower() in LABELS
+        return score if named else score - CERTAIN
     if low in CLOSING_ABBREVIATIONS:
         if len(low) <= 3 and "." not in low and low not in ("etc", "inc", "ltd", "sp", "spp", "nov"):
-            gap = text[max(start, mark - len(token) - 12) : mark - len(token)].rstrip()
-            return gap[-1:].isdigit() or low in ("др", "etc") or len(low) > 2
-        return True
+            return score if back(12)[-1:].isdigit() or low in ("др", "etc") or len(low) > 2 else score - CERTAIN
+        return score
     if re.fullmatch(r"(?:\w\.)+\w", low):
-        return not token.islower() and len(low) <= 5 and token.replace(".", "").isupper() and not re.fullmatch(r"\w\.\w", token) or (opens is True and low in CLOSING_ABBREVIATIONS)
-    if re.search(r"[ऀ-ॿ]\Z", token):
-        return False  # Devanagari ends sentences with a danda; its stops abbreviate
-    return True
+        ends = not token.islower() and len(low) <= 5 and token.replace(".", "").isupper() and not re.fullmatch(r"\w\.\w", token)
+        return score if ends or (opens is True and low in CLOSING_ABBREVIATIONS) else score - CERTAIN
+    if re.search(r"[\u0900-\u097f]\Z", token):
+        return score - 2 * CERTAIN  # Devanagari ends sentences with a danda; its stops abbreviate
+    return score
+
 
+def _score(block: _Text, token: str, mark: int, run: str, at: int, after: int, blank: bool, closed: bool, held: bool, greek: bool) -> float:
+    """Evidence that the marks ``run`` at ``mark`` end a sentence: above nought for, below against.
 
-def _block(text: str, base: int, out: list[tuple[int, int]]) -> None:
-    """Sentences of one block, whose first character stands at ``base``."""
+    ``after`` is where the text goes on, past closing quotes (up to ``at``) and blanks;
+    ``held`` whether the sentence opens with the quote that closes here, ``greek`` whether
+    it has a Greek letter.
+    """
+    text = block.text
+    opens = _opens(text, after)
+    first = run[0]
+    wide = first in "。！？｡．।॥؟۔⁇⁈⁉"
+    if wide or (first in "!?…" and _CJK.match(text[mark - 1 : mark] or " ") and (first != "…" or opens is not False)):
+        score = CERTAIN if opens is not False or first in "।॥" else -LIKELY
+        if closed:
+            follows = block.word_after(after)
+            if text[at - 1] in "」』":
+                score -= 2 * CERTAIN * (follows in REPORTS)  # a Japanese report goes on with a particle
+            elif held and (opens is not True or _CJK.search(text, after, after + 2) or (first in "。！？｡．" and text[at - 1] == "”" and not blank)):
+                score -= 2 * CERTAIN  # the quote opens the sentence: who says it follows
+        return score
+    if first == ";":
+        return LIKELY if opens is not False and blank and greek else -CERTAIN
+    if first in "!?":
+        if opens is False:
+            return LIKELY if run[0] == run[-1] == "?" and blank and not closed else -CERTAIN
+        return LIKELY + WEAK if blank or opens is True else -CERTAIN
+    if first == "…" or run.startswith(".."):
+        return LIKELY if opens is True and (blank or text[after].isupper() or text[after] in _QUOTES) else -CERTAIN
+    if len(run) > 1 and opens is False:
+        return -CERTAIN
+    return _full_stop(block, token, mark, after, blank, closed, opens)
+
+
+def _block(text: str, base: int, out: list[tuple[int, int]], words: Words) -> None:
+    """Sentences of one block, whose first character stands at ``base``: the cheapest path through its lattice.
+
+    A state of the path is its current sentence's start as far as that still matters:
+    the quote it opens with, how many of the quotes and brackets around the mark it
+    lies in, and the start itself while no blank has come. The cheapest way to each
+    state is kept, so the number of states is bounded by the depth of nesting.
+    """
     heading = _LABEL.match(text)
     guard = heading.end() if heading else 0
-    pairs = _pairs(text)
+    block = _Text(text, words)
+    size = len(text)
     urls = [m.span() for m in _URL.finditer(text)] if "http" in text or "www." in text or "@" in text else []
-    start, size = 0, len(text)
-    cuts: list[tuple[int, int]] = []
-    thai = bool(_THAI.search(text))
-    marks = [(m.start(), m.end()) for m in _MARK.finditer(text)]
-    if thai:
-        for m in _GAP.finditer(text):
-            left, right = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
-            if (_THAI.match(left) or _THAI.match(right)) and _words_back(text, m.start()) not in LINKERS and left not in ".!?":
-                marks.append((m.start(), -m.end()))
-        marks.sort()
-    for mark, end in marks:
-        if mark < start or mark < guard:
-            continue
-        if end < 0:
-            cuts.append((start, mark))
-            start = -end
+    url = pair = token_at = blank_at = greek_at = 0
+    tokens = [m.span() for m in _TOKEN.finditer(text)]
+    blanks = [m.end() for m in _BLANK.finditer(text)]
+    greeks = [m.end() for m in _GREEK.finditer(text)] if ";" in text else []
+    around: list[tuple[int, int, bool]] = []
+    paths: list[tuple[float, int, tuple | None]] = [(0.0, 0, None)]  # cost, start, (cuts before, cut)
+    for m in _MARK.finditer(text):
+        mark, end = m.span()
+        run = m.group()
+        if mark < guard or mark == 0 and run.isspace():
             continue
-        if any(a <= mark < b for a, b in urls):
+        while url < len(urls) and urls[url][1] <= mark:
+            url += 1
+        if url < len(urls) and urls[url][0] <= mark:
             continue
-        at = end
-        # French sets a blank before the closing quote.
-        while at < size and (text[at] in _CLOSERS or text[at] in _INVISIBLE or (text[at] in "    " and text[at + 1 : at + 2] in ("»", "”") and any(p[1] == at + 1 for p in pairs))):
-            if text[at] in '"“”»' or text[at] in "'’":
-                # A quote that opens here belongs to what follows.
-                if text[at] in '"“' and any(p[0] == at for p in pairs):
-                    break
-            at += 1
-        closed = at > end and any(c in _CLOSERS for c in text[end:at])
-        after = at
-        while after < size and (text[after].isspace() or text[after] in _INVISIBLE):
-            after += 1
-        if after >= size:
-            cuts.append((start, size))
-            start = size
-            break
-        if any(a < mark < b and not (b < at) for a, b, _ in pairs if a >= start):
-            continue  # inside a quote or bracket that goes on
-        if _ends(text, start, mark, text[mark:end], after, after > at and any(c.isspace() for c in text[at:after]), pairs, closed):
-            cuts.append((start, at))
-            start = after
-    if start < size:
-        cuts.append((start, size))
-    for a, b in cuts:
+        while pair < len(block.pairs) and block.pairs[pair][0] < mark:
+            around.append(block.pairs[pair])
+            pair += 1
+        if around:
+            around = [p for p in around if p[1] >= mark]
+        while blank_at < len(blanks) and blanks[blank_at] <= end:
+            blank_at += 1
+        last_blank = blanks[blank_at - 1] if blank_at else -1
+        low = mark
+        if run.isspace():
+            at, after, closed, blank, greek = mark, end, False, True, -1
+            gap: float | None = _gap_score(block, mark, end)
+        else:
+            at, gap = end, None
+            # French sets a blank before the closing quote.
+            while at < size and (text[at] in _CLOSERS or text[at] in _INVISIBLE or (text[at] in " \u00a0\u202f\u2009" and text[at + 1 : at + 2] in ("»", "”") and at + 1 in block.closes)):
+                if text[at] in '"“' and at in block.opened:
+                    break  # a quote that opens here belongs to what follows
+                at += 1
+            closed = at > end and any(c in _CLOSERS for c in text[end:at])
+            after = at
+            while after < size and (text[after].isspace() or text[after] in _INVISIBLE):
+                after += 1
+            if after >= size:
+                break
+            blank = any(c.isspace() for c in text[at:after])
+            while token_at < len(tokens) and tokens[token_at][1] < mark:
+                token_at += 1
+            if token_at < len(tokens) and tokens[token_at][0] < mark:
+                low = tokens[token_at][0]
+            while greek_at < len(greeks) and greeks[greek_at] <= mark:
+                greek_at += 1
+            greek = greeks[greek_at - 1] if greek_at else -1
+        still = [p for p in around if p[1] >= at] if around else around
+        following: dict[tuple[int, int, int], tuple[float, int, tuple | None]] = {}
+        ended: tuple[float, int, tuple | None] | None = None
+        scores: dict[tuple[int, bool, bool], float] = {}
+        for cost, start, before in paths:
+            quote = block.opened.get(start)
+            quoted = quote is not None and quote[1] and quote[0] >= mark
+            begin = start if start > low else low
+            if start > mark:
+                score = -CERTAIN
+            elif gap is not None:
+                score = gap
+            else:
+                seen = (begin, quoted, greek >= start)
+                if seen not in scores:
+                    token = text[begin:mark] if mark - begin <= _LONG else "x" * _LONG
+                    scores[seen] = _score(block, token, mark, run, at, after, blank, closed, quoted and closed, seen[2])
+                score = scores[seen]
+            if start <= mark:
+                stop = cost + (-score if score < 0 else 0.0) + (BREAK * sum(1 for p in still if p[0] >= start) if still else 0.0)
+                if ended is None or stop < ended[0]:
+                    ended = (stop, after, (before, (start, at)))
+            if score > 0:
+                cost += score
+            key = (start if quoted else -1, sum(1 for p in around if p[0] >= start) if around else 0, start if last_blank <= start and end - start <= _LONG else -1)
+            if key not in following or cost < following[key][0]:
+                following[key] = (cost, start, before)
+        paths = list(following.values())
+        if ended is not None:
+            paths.append(ended)
+        if len(paths) > 1:
+            bound = min(p[0] for p in paths) + BREAK * (len(around) + 1) + 4 * CERTAIN
+            paths = [p for p in paths if p[0] <= bound]
+    _, start, before = min(paths, key=lambda p: p[0])
+    cuts = [(start, size)] if start < size else []
+    while before is not None:
+        before, cut = before
+        cuts.append(cut)
+    for a, b in reversed(cuts):
         while a < b and text[a].isspace():
             a += 1
         while b > a and text[b - 1].isspace():
@@ -252,7 +401,11 @@ def _block(text: str, base: int, out: list[tuple[int, int]]) -> None:
             out.append((base + a, base + b))
 
 
-def sentences(text: str | None) -> list[tuple[int, int]]:
+#: The lattice with the whole dictionary, as used over tables.
+DICTIONARY = Words()
+
+
+def sentences(text: str | None, words: Words = DICTIONARY) -> list[tuple[int, int]]:
     """(start, end) of every sentence, heading and list entry, in code points, end exclusive, without outer blanks.
 
     Null, empty and blank texts have none. A text without any mark is one unit per
@@ -274,7 +427,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
             edges = [*([0] if lists[0] > 0 else []), *lists, len(part)]
             for a, b in zip(edges, edges[1:]):
                 if a == 0 and lists[0] > 0:
-                    _block(part[a:b], at + a, out)
+                    _block(part[a:b], at + a, out, words)
                 else:
                     s, e = at + a, at + b
                     while s < e and text[s].isspace():
@@ -285,7 +438,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
                         out.append((s, e))
         elif part:
             lead = len(part) - len(part.lstrip())
-            _block(part[lead:], at + lead, out)
+            _block(part[lead:], at + lead, out, words)
         if not found:
             break
         at = found.end()
