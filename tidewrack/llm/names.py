@@ -5,13 +5,17 @@ initials), through token order, particles, look-alikes, accents, legal and
 stop words. Every reading is rewritten into all its canonical forms: the formal
 names a nickname stands for, each initial, and the forms with one letter left
 out, which two spellings one slip apart share. Forms are exploded and
-equi-joined; a link made by a slip is scored by the rarity of its rewriting, so
-that two well-attested names one letter apart stay two.
+equi-joined; a link made by a slip is scored by the rarity of its rewriting: the
+support of the rarer form, the number of distinct readings that have it, is weighed
+against that of its neighbour, so that two well-attested names one letter apart stay
+two at any size of the data. A short form of a corporate name links only if it is a
+rewriting of one full name of that seat.
 
 Spellings that read the same are merged before any join, links are found between
 these readings, components are hooked, and only the result is spelt out again.
 Nothing is gathered per name: a surname that a third of all authors share is a
-skewed join key at worst, never one task's group.
+skewed join key at worst, never one task's group. Readings are 64-bit hashes; at n
+readings two of them collide with a chance of about n*n/2**65.
 """
 
 from __future__ import annotations
@@ -31,10 +35,8 @@ from tidewrack.llm.survivors import source_label
 from tidewrack.operators.packed import CORPORATE, PARTICLES
 from tidewrack.session import Scratch
 
-#: A surname spelt in at most this many ways may be a slip of another one.
-RARE = 2
-#: A given name follows this many surnames at least.
-GIVEN_SURNAMES = 3
+#: A form is no slip if, two standard deviations off chance, it still has this share of its neighbour's support.
+ATTESTED = 0.1
 #: Slips are only looked for in words of this length or more.
 SLIP_LENGTH = 5
 #: Given names are broadcast up to this many; beyond it the join shuffles.
@@ -105,7 +107,7 @@ def read(name: str) -> tuple[str, ...] | None:
         return None
     folded = [SHORT.get(_fold(w), _fold(w)) for w in words]
     if any(f in _TYPES for f in folded) and len([f for f in folded if f]) >= 3:
-        return _read_body(words, folded)
+        return _read_body(words, folded, [w.endswith(".") and len(f) > 2 and _fold(w) == f for w, f in zip(words, folded)])
     comma = words.index(",") if "," in words else -1
     words = [w for w in words if w not in ",;"] if comma < 0 else words
     other = False
@@ -138,8 +140,9 @@ def read(name: str) -> tuple[str, ...] | None:
     return "p", surname, _first(next((w for w in given if not _is_initials(w)), "")), _initials(given), *turned
 
 
-def _read_body(words: list[str], folded: list[str]) -> tuple[str, ...]:
+def _read_body(words: list[str], folded: list[str], cut: list[bool]) -> tuple[str, ...]:
     comma = words.index(",") if "," in words else -1
+    short = {f for f, c in zip(folded, cut) if c}
     seat = ""
     if comma > 0 and any(f in _TYPES for f in folded[:comma]) and not any(f in _TYPES for f in folded[comma + 1 :]):
         seat, folded = "".join(folded[comma + 1 :]), folded[:comma]
@@ -148,8 +151,8 @@ def _read_body(words: list[str], folded: list[str]) -> tuple[str, ...]:
         at = next((i for i, f in enumerate(rest) if f not in _TYPES), 0)
         seat, rest = rest[at], rest[:at] + rest[at + 1 :]
     kind = next((f for f in rest if f in _TYPES and f not in SUBJECTS), next((f for f in rest if f in _TYPES), ""))
-    subjects = [f[:4] for f in rest if f != kind]
-    return "c", seat, ".".join([kind[:4], *(subjects[:1] + subjects[-1:] if len(subjects) > 1 else subjects)]), "", "", "", ""
+    subjects = [f + "." * (f in short) for f in rest if f != kind]
+    return "c", seat, "|".join([kind, *(subjects[:1] + subjects[-1:] if len(subjects) > 1 else subjects)]), "", "", "", ""
 
 
 def _readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,8 +191,35 @@ def _agree(a: Column, b: Column) -> Column:
     return a.startswith(b) | b.startswith(a)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
+def _rare(n: Column, m: Column) -> Column:
+    """Whether the rarer of two forms with supports ``n`` and ``m`` may be a slip of the other one.
+
+    Its support less two standard deviations of a Poisson count must not exceed
+    ``ATTESTED`` of the other's; what is seen a few times only is never attested.
+    """
+    low, high = F.least(n, m).cast("double"), F.greatest(n, m)
+    return low - 2 * F.sqrt(low) <= ATTESTED * high
+
+
+def _small_as(kept: DataFrame, df: DataFrame) -> DataFrame:
+    """``df``, made of the written table ``kept``, to be broadcast if that is small."""
+    return F.broadcast(df) if kept.measured["rows"] <= MAX_BROADCAST else df
+
+
+def _full_bodies(full: DataFrame) -> DataFrame:
+    """(a, b): corporate names with words cut short, and the one full name of their seat that they rewrite.
+
+    They meet on the canonical rewriting of both, three letters of each subject; a
+    short form that fits several full names links none of them.
+    """
+    parts = full.where("kind = 'c'").select("node", "surname", F.split("given", r"\|").alias("parts"))
+    head = F.transform("parts", lambda w, i: F.when(i == 0, w).otherwise(F.substring(w, 1, 3)))
+    keyed = parts.withColumn("key", F.concat_ws("|", head)).withColumn("cut", F.exists("parts", lambda w: w.endswith(".")))
+    short = keyed.where("cut").select(F.col("node").alias("a"), "surname", "key", F.col("parts").alias("pa"))
+    whole = keyed.where("not cut").select(F.col("node").alias("b"), "surname", "key", F.col("parts").alias("pb"))
+    fits = F.forall(F.arrays_zip("pa", "pb"), lambda z: F.when(z["pa"].endswith("."), z["pb"].startswith(F.rtrim(z["pa"], F.lit(".")))).otherwise(z["pa"] == z["pb"]))
+    met = short.join(whole, ["surname", "key"]).where(fits)
+    return met.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("most")).where("b = most").select("a", "b")
 
 
 def entries(records: DataFrame) -> DataFrame:
@@ -204,69 +234,86 @@ def trimmed(names: DataFrame) -> DataFrame:
     return names.select(F.regexp_replace("name", r"\A[\s ]+|[\s ]+\z", "").alias("name")).where("name <> ''").distinct()
 
 
-def author_pairs(names: DataFrame) -> DataFrame:
-    """(name_a, name_b): two spellings that denote one author, the smaller first.
+def author_members(names: DataFrame) -> DataFrame:
+    """(author, name): every spelling under the author it denotes, a 64-bit id; the same on every run.
 
-    ``names`` is (name). Null and empty names, and those without a letter, are in no
-    pair; repeated names count once.
+    A spelling with initials only stands under every author it may denote. ``names``
+    is (name); null and empty names, and those without a letter, are left out, and
+    repeated names count once.
     """
     scratch = Scratch(names.sparkSession, "names")
     parts = "name string, kind string, surname string, given string, initials string, other string, other_given string, other_initials string"
     read_ = scratch.keep(names.where("name is not null").distinct().mapInArrow(_readings, parts))
 
-    # What stands after a comma is a given name; where the order is open, the word known as one is.
-    sure = read_.where("kind = 'p' and given <> '' and other = ''")
-    known = _small(sure.groupBy("given").agg(F.approx_count_distinct("surname").alias("n")).where(F.col("n") >= GIVEN_SURNAMES).select(F.col("given").alias("word"), F.lit(True).alias("known")))
-    open_ = read_.where("other <> ''")
-    flagged = open_.join(known.withColumnsRenamed({"word": "given", "known": "first"}), "given", "left").join(known.withColumnsRenamed({"word": "other_given", "known": "last"}), "other_given", "left")
-    turned = F.coalesce("last", F.lit(False)) & ~F.coalesce("first", F.lit(False))
+    # Where the order is open, the words' use in names of known order decides: as given name, of so many surnames, or as surname.
+    sure = read_.where("kind = 'p' and given <> '' and other = ''").select("surname", "given").distinct()
+    uses = sure.select(F.explode(F.array(F.struct(F.col("given").alias("word"), F.lit(1).alias("g"), F.lit(0).alias("s")), F.struct(F.col("surname").alias("word"), F.lit(0).alias("g"), F.lit(1).alias("s")))).alias("u")).select("u.*")
+    known = scratch.keep(uses.groupBy("word").agg((F.sum("g") + 0.5).alias("as_given"), (F.sum("s") + 0.5).alias("as_surname")))
+    use = lambda word, p: _small_as(known, known.select(F.col("word").alias(word), F.col("as_given").alias(f"{p}_given"), F.col("as_surname").alias(f"{p}_surname")))
+    flagged = read_.where("other <> ''").join(use("given", "first"), "given", "left").join(use("other_given", "last"), "other_given", "left").na.fill(0.5)
+    turned = F.col("last_given") * F.col("first_surname") > F.col("first_given") * F.col("last_surname")
     settled = flagged.select("name", "kind", *[F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("surname", "other"), ("given", "other_given"), ("initials", "other_initials"))])
     people = read_.where("other = ''").select("name", "kind", "surname", "given", "initials").unionByName(settled)
-    formal = _small(names.sparkSession.createDataFrame([(k, f) for k, v in formal_names().items() for f in v], "given string, formal string"))
+    formal = F.broadcast(names.sparkSession.createDataFrame([(k, f) for k, v in formal_names().items() for f in v], "given string, formal string"))  # a fixed list
     people = people.withColumn("node", F.xxhash64("kind", "surname", F.when(F.col("given") != "", F.col("given")).otherwise(F.concat(F.lit("~"), "initials"))))
     people = scratch.keep(people)
 
-    support = people.groupBy("kind", "surname").agg(F.count("*").alias("spellings"))
-    nodes = people.groupBy("node", "kind", "surname", "given").agg(F.collect_set("initials").alias("initials")).join(support, ["kind", "surname"])
-    nodes = scratch.keep(nodes.withColumn("rare", F.col("spellings") <= RARE))
+    # The support of a surname: its distinct readings; of a given name: the surnames it stands beside.
+    merged = scratch.keep(people.groupBy("node", "kind", "surname", "given").agg(F.collect_set("initials").alias("initials")))
+    support = merged.groupBy("kind", "surname").agg(F.count("*").alias("readings"))
+    beside = merged.where("given <> '' and kind = 'p'").groupBy("given").agg(F.count("*").alias("beside"))
+    nodes = scratch.keep(merged.join(support, ["kind", "surname"]).join(beside, "given", "left").na.fill(0, ["beside"]))
     full = nodes.where("given <> ''")
 
     # Full names: a nickname and its formal name, or one slip in surname or given name.
     alias = full.join(formal, "given").where("kind = 'p'").select("kind", "surname", F.col("formal").alias("given"), "node")
     nick = alias.join(full.select("kind", "surname", "given", F.col("node").alias("other")), ["kind", "surname", "given"]).select(F.col("node").alias("a"), F.col("other").alias("b"))
-    forms = full.unionByName(alias.join(nodes.select("node", "initials", "spellings", "rare"), "node"), allowMissingColumns=True)
-    by_surname = forms.select("node", "kind", "surname", "given", "rare", F.explode(without_one(F.col("surname"))).alias("form"))
-    left = by_surname.where(F.col("rare") | F.col("surname").rlike("a[ae]|[ou]e")).select("kind", "form", "given", "rare", F.col("node").alias("a"), F.col("surname").alias("sa"))
-    right = by_surname.select("kind", "form", "given", F.col("node").alias("b"), F.col("surname").alias("sb"))
-    slips = left.join(right, ["kind", "form", "given"]).where((F.col("a") != F.col("b")) & (F.col("sa") != F.col("sb")) & ((F.col("rare") & _one_slip(F.col("sa"), F.col("sb"))) | _spelt_alike(F.col("sa"), F.col("sb")))).select("a", "b")
-    by_given = forms.where("kind = 'p'").select("node", "surname", "given", F.explode(without_one(F.col("given"))).alias("form"))
-    givens = by_given.alias("x").join(by_given.alias("y"), ["surname", "form"]).where((F.col("x.node") < F.col("y.node")) & (F.col("x.given") != F.col("y.given")) & _one_slip(F.col("x.given"), F.col("y.given"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    edges = nick.unionByName(slips).unionByName(givens)
-    rooted = full.join(components(edges), "node", "left").select("node", "kind", "surname", "given", "initials", "rare", F.coalesce("root", "node").alias("entity"))
+    called = alias.join(beside, "given", "left").na.fill(0, ["beside"]).join(nodes.select("node", "readings"), "node")
+    forms = scratch.keep(full.select("node", "kind", "surname", "given", "readings", "beside").unionByName(called.select("node", "kind", "surname", "given", "readings", "beside")))
+    by_surname = forms.select("node", "kind", "surname", "given", "readings", F.explode(without_one(F.col("surname"))).alias("form"))
+    x, y = by_surname.alias("x"), by_surname.alias("y")
+    slipped = (_rare(F.col("x.readings"), F.col("y.readings")) & _one_slip(F.col("x.surname"), F.col("y.surname"))) | _spelt_alike(F.col("x.surname"), F.col("y.surname"))
+    slips = x.join(y, ["kind", "form", "given"]).where((F.col("x.surname") < F.col("y.surname")) & slipped).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    by_given = forms.where("kind = 'p'").select("node", "surname", "given", "beside", F.explode(without_one(F.col("given"))).alias("form"))
+    x, y = by_given.alias("x"), by_given.alias("y")
+    givens = x.join(y, ["surname", "form"]).where((F.col("x.given") < F.col("y.given")) & (F.col("x.node") != F.col("y.node")) & _rare(F.col("x.beside"), F.col("y.beside")) & _one_slip(F.col("x.given"), F.col("y.given"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    edges = nick.unionByName(slips).unionByName(givens).unionByName(_full_bodies(full))
+    rooted = full.join(components(edges), "node", "left").select("node", "kind", "surname", "given", "initials", "readings", F.coalesce("root", "node").alias("entity"))
     rooted = scratch.keep(rooted)
 
     # Initials only: every full name of the surname, or one slip from it, whose initials agree.
-    short = nodes.where("given = '' and kind = 'p'").select("node", "surname", "rare", F.explode("initials").alias("i"))
-    asks = short.select("node", "i", "surname", "rare", F.explode(without_one(F.col("surname"))).alias("form"))
+    short = nodes.where("given = '' and kind = 'p'").select("node", "surname", "readings", F.explode("initials").alias("i"))
+    asks = short.select("node", "i", "surname", "readings", F.explode(without_one(F.col("surname"))).alias("form"))
     initial = F.array_distinct(F.concat(F.transform("initials", lambda i: F.substring(i, 1, 1)), F.array(F.substring("given", 1, 1))))
-    as_formal = F.transform("initials", lambda i: F.concat(F.substring("formal", 1, 1), F.substring(i, 2, 9)))
+    as_formal = F.transform("initials", lambda i: F.concat(F.substring("formal", 1, 1), i.substr(F.lit(2), F.length(i))))
     called = rooted.join(formal, "given").withColumn("initials", as_formal).withColumn("given", F.col("formal")).drop("formal")
-    offers = rooted.unionByName(called.select(rooted.columns)).where("kind = 'p'").select("entity", F.col("surname").alias("sb"), F.col("rare").alias("rb"), F.col("initials").alias("known"), F.explode(without_one(F.col("surname"))).alias("form"), initial.alias("firsts")).select("entity", "sb", "rb", "known", "form", F.explode("firsts").alias("first"))
+    offers = rooted.unionByName(called.select(rooted.columns)).where("kind = 'p'").select("entity", F.col("surname").alias("sb"), F.col("readings").alias("rb"), F.col("initials").alias("known"), F.explode(without_one(F.col("surname"))).alias("form"), initial.alias("firsts")).select("entity", "sb", "rb", "known", "form", F.explode("firsts").alias("first"))
     met = asks.withColumn("first", F.substring("i", 1, 1)).join(offers, ["form", "first"])
     same = F.col("surname") == F.col("sb")
     fits = F.exists("known", lambda k: _agree(F.col("i"), k))
-    met = met.where((same | ((F.col("rare") | F.col("rb")) & _one_slip(F.col("surname"), F.col("sb"))) | _spelt_alike(F.col("surname"), F.col("sb"))) & fits)
-    belongs = met.select("node", "entity").distinct()
+    met = met.where((same | (_rare(F.col("readings"), F.col("rb")) & _one_slip(F.col("surname"), F.col("sb"))) | _spelt_alike(F.col("surname"), F.col("sb"))) & fits)
+    belongs = scratch.keep(met.select("node", "entity").distinct())
 
     # Initials only, without any full name: those that agree, under the longest.
     alone = short.join(belongs.select("node").distinct(), "node", "left_anti")
-    asks = alone.select("node", "i", "surname", "rare", F.substring("i", 1, 1).alias("first"), F.explode(without_one(F.col("surname"))).alias("form"))
-    pair = asks.alias("x").join(asks.alias("y"), ["form", "first"]).where("x.node <> y.node").where((F.col("x.surname") == F.col("y.surname")) | ((F.col("x.rare") | F.col("y.rare")) & _one_slip(F.col("x.surname"), F.col("y.surname"))))
+    asks = alone.select("node", "i", "surname", "readings", F.substring("i", 1, 1).alias("first"), F.explode(without_one(F.col("surname"))).alias("form"))
+    pair = asks.alias("x").join(asks.alias("y"), ["form", "first"]).where("x.node <> y.node").where((F.col("x.surname") == F.col("y.surname")) | (_rare(F.col("x.readings"), F.col("y.readings")) & _one_slip(F.col("x.surname"), F.col("y.surname"))))
     pair = pair.where(F.col("y.i").startswith(F.col("x.i")))
     longest = pair.select(F.col("x.node").alias("node"), F.col("y.node").alias("entity")).distinct()
     members = rooted.select("node", "entity").unionByName(belongs).unionByName(longest).unionByName(alone.select("node", F.col("node").alias("entity"))).distinct()
-    spelt = members.join(people.select("node", "name"), "node").select("entity", "name").distinct()
-    spelt = scratch.keep(spelt)
-    found = spelt.alias("x").join(spelt.alias("y"), "entity").where("x.name < y.name").select(F.col("x.name").alias("name_a"), F.col("y.name").alias("name_b")).distinct()
+    spelt = members.join(people.select("node", "name"), "node").select(F.col("entity").alias("author"), "name").distinct()
+    spelt._scratch = scratch
+    return spelt
+
+
+def author_pairs(names: DataFrame) -> DataFrame:
+    """(name_a, name_b): two spellings that denote one author, the smaller first.
+
+    ``names`` as for ``author_members``, whose rows grow with the names only; use
+    those where pairs are not asked for.
+    """
+    scratch = Scratch(names.sparkSession, "authors")
+    spelt = scratch.keep(author_members(names))
+    found = spelt.alias("x").join(spelt.alias("y"), "author").where("x.name < y.name").select(F.col("x.name").alias("name_a"), F.col("y.name").alias("name_b")).distinct()
     found._scratch = scratch
     return found
