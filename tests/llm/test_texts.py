@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewrack.llm import leakage
 from tidewrack.llm.leakage import leaked_items
-from tidewrack.llm.lookalike import alike_pairs, canonical_values
+from tidewrack.llm.lookalike import alike_classes, alike_pairs, canonical_values
 from tidewrack.llm.sentences import Words, sentences, split_sentences
 
 UNITS = {
@@ -132,6 +132,7 @@ def test_leaks_against_brute_force(spark):
     held = spark.createDataFrame([*((i, " ".join(w)) for i, w in items.items()), (99, None), (98, "")], "item_id long, text string")
     out = leaked_items(documents, held)
     assert {(r.doc_id, r.item_id) for r in out.collect()} == want
+    assert {(r.doc_id, r.item_id) for r in leaked_items(documents, held, block=500).collect()} == want
     assert leaked_items(documents.limit(0), held).count() == 0 and leaked_items(documents, held.limit(0)).count() == 0
 
 
@@ -148,6 +149,24 @@ def test_moulds_are_no_leak():
     assert [h[0] for h in leakage.Leaks(items).found(items[3][1])] == [3]
 
 
+def test_leaks_do_not_depend_on_the_blocks(spark):
+    rng = random.Random(6)
+    mould = ["net", "caught", "coral", "nubbins", "yet", "logged", "just", "per", "cent", "of", "all", "tagged", "ones", "in", "may"]
+    items = [(i, " ".join([*mould[:5], *words(rng, 3), *mould[5:10], *words(rng, 2), *mould[10:]])) for i in range(40)]
+    docs = [(d, " ".join(words(rng, 20) + items[d % 40][1].split()[: 6 + d % 15] + words(rng, 20))) for d in range(120)]
+    documents, held = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = [sorted((r.doc_id, r.item_id) for r in leaked_items(documents, held, block=b).collect()) for b in (1 << 20, 2000, 300)]
+    assert found[0] == found[1] == found[2] and found[0]
+
+
+def test_look_alike_marks(spark):
+    pairs = ["Stop!", "Stopǃ", "a:b", "a∶b", "low ,", "low ‚", "Part IV", "Part Ⅳ", "What?!", "What⁈"]
+    rows = spark.createDataFrame([(f"k{i:02d}", v) for i, v in enumerate(pairs)], "k string, title string")
+    assert {(r.k_a, r.k_b) for r in alike_pairs(rows, "k", "title").collect()} == {(f"k{i:02d}", f"k{i + 1:02d}") for i in range(0, len(pairs), 2)}
+    classes = alike_classes(rows, "k", "title").collect()
+    assert len(classes) == len(pairs) and {r.canonical for r in classes} == set(pairs[::2])
+
+
 def test_rows_keep_their_place(spark):
     df = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("Number "), "id", F.lit(". Next one.")).alias("text")).repartition(9)
     assert split_sentences(df).groupBy("doc_id").count().where("count <> 2").count() == 0

@@ -8,10 +8,13 @@ dropped or added) are bridged. An item leaks where at most two passages of a
 document hold the asked share of its words.
 
 Items made from one mould share n-grams, so a passage only counts if it also
-holds enough of the item's own n-grams, which few other items have.
+holds enough of the item's own n-grams, which few other items have. That is counted
+over all items, before they are dealt into automata, so the result does not depend
+on how many automata there are.
 
-The automaton grows with the held-out items only, never with the corpus; its
-size is checked before it is broadcast, and larger item sets go in blocks.
+The automaton grows with the held-out items only, never with the corpus; the bytes
+of the items are summed before any comes to the driver, and where they are more than
+one automaton takes, the items go in blocks, one scan per block.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from collections.abc import Iterator
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidewrack.functions import unicode as U
 
@@ -38,8 +42,8 @@ COMMON = 3
 BRIDGE, PLACES = 3, 2
 #: A run of words shorter than this is a stray phrase.
 SHORTEST = 5
-#: Items in one automaton; more items go in blocks, one scan per block.
-BLOCK = 20_000
+#: Bytes of items in one automaton; more go in blocks, one scan per block.
+BLOCK = 16 << 20
 
 _LOOK = str.maketrans(U.LOOKALIKE_FROM, U.LOOKALIKE_TO)
 _WORD = re.compile(r"[㐀-鿿぀-ヿ฀-๿]|[^\W_㐀-鿿぀-ヿ฀-๿]+(?:[.,](?=\d)[0-9]+)*")
@@ -78,36 +82,58 @@ def words(text: str | None) -> tuple[list[str], list[tuple[int, int]]]:
     return [w for w, _, _ in found], [(at[a], at[b - 1] + 1) for _, a, b in found]
 
 
+def grams(text: str, gram: int = GRAM) -> list[str]:
+    """The n-grams of an item as patterns, by their place; of an item shorter than n one of all its words."""
+    got = words(text)[0]
+    n = min(gram, len(got))
+    return [" " + " ".join(got[k : k + n]) + " " for k in range(len(got) - n + 1)] if got else []
+
+
 class Leaks:
-    """The automaton of a block of items and what is needed to judge its matches."""
+    """The automaton of a block of items and what is needed to judge its matches.
+
+    ``moulds`` are the n-grams that too many items have, of all items; without it they
+    are counted over ``items``.
+    """
 
-    def __init__(self, items: list[tuple[int, str]], gram: int = GRAM):
+    def __init__(self, items: list[tuple[int, str]], gram: int = GRAM, moulds: frozenset[str] | None = None):
         self.gram = gram
         self.sizes: dict[int, int] = {}
-        places: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        holders: dict[str, set[int]] = defaultdict(set)
+        self.own: dict[int, list[bool]] = {}
+        places: dict[str, dict[int, list[int]]] = defaultdict(dict)
         for item, text in items:
-            got = words(text)[0]
-            if not got:
+            keys = grams(text, gram)
+            if not keys:
                 continue
-            self.sizes[item] = len(got)
-            n = min(gram, len(got))
-            for k in range(len(got) - n + 1):
-                key = " " + " ".join(got[k : k + n]) + " "
-                places[key].append((item, k))
-                holders[key].add(item)
-        self.own: dict[int, list[bool]] = {}
+            self.sizes[item] = len(words(text)[0])
+            for k, key in enumerate(keys):
+                places[key].setdefault(item, []).append(k)
+        if moulds is None:
+            moulds = frozenset(k for k, held in places.items() if len(held) > COMMON)
+        self.own = {item: [False] * size for item, size in self.sizes.items()}
+        for key, held in places.items():
+            if key not in moulds:
+                for item, at in held.items():
+                    for k in at:
+                        self.own[item][k] = True
+        # Items that may leak by passages that hold nothing of their own: only these are looked for in moulds alone.
+        self.bare = {item for item, size in self.sizes.items() if self._bare(item) >= SHARE * size}
         self.automaton = ahocorasick.Automaton()
-        for item, size in self.sizes.items():
-            self.own[item] = [False] * size
-        for key, where in places.items():
-            own = len(holders[key]) <= COMMON
-            for item, k in where:
-                self.own[item][k] = own
-            self.automaton.add_word(key, (key.count(" ") - 1, where))
+        for key, held in places.items():
+            bare = {i: at for i, at in held.items() if i in self.bare} if key in moulds else {}
+            self.automaton.add_word(key, (key.count(" ") - 1, key in moulds, held, bare))
         if len(self.automaton):
             self.automaton.make_automaton()
 
+    def _bare(self, item: int) -> int:
+        """How many words of the item its ``PLACES`` longest rows of n-grams hold that are not its own."""
+        rows, now = [], 0
+        for own in [*self.own[item][: max(1, self.sizes[item] - self.gram + 1)], True]:
+            if own and now:
+                rows.append(now + min(self.gram, self.sizes[item]) - 1)
+            now = 0 if own else now + 1
+        return sum(sorted(rows)[-PLACES:])
+
     def found(self, text: str | None) -> list[tuple[int, float, int, int]]:
         """(item, share, start, end) of every item that leaks into ``text``, with the span of its largest passage."""
         got, spans = words(text)
@@ -119,12 +145,20 @@ class Leaks:
             starts[at] = i
             at += len(w) + 1
         hits: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for end, (n, where) in self.automaton.iter(line):
+        moulds: list[tuple[int, int, dict[int, list[int]]]] = []
+        for end, (n, mould, held, bare) in self.automaton.iter(line):
             # A pattern ends with the blank after its last word.
             k = starts.get(end)
             first = (len(got) if k is None else k) - n
-            for item, place in where:
-                hits[item].append((first, place, n))
+            if mould:
+                moulds.append((first, n, held))
+            for item, where in (bare if mould else held).items():
+                hits[item] += [(first, place, n) for place in where]
+        # Of a mould only the items count that the text has something of; the fewer of the two are gone through.
+        named = [i for i in hits if i not in self.bare]
+        for first, n, held in moulds:
+            for item in named if len(named) < len(held) else [i for i in held if i in hits and i not in self.bare]:
+                hits[item] += [(first, place, n) for place in held.get(item, ())]
         out = []
         for item, matched in hits.items():
             size = self.sizes[item]
@@ -143,9 +177,13 @@ class Leaks:
     def _passages(self, item: int, matched: list[tuple[int, int, int]]) -> list[tuple[set[int], int, int]]:
         """Passages as (item words held, first and last word of the document), the largest first."""
         matched.sort()
+        done: list[list] = []
         open_: list[list] = []  # [first, last in text, last in item, words held, own matched, item places matched]
         for first, place, n in matched:
             best = None
+            if open_ and any(first - p[1] > BRIDGE + 3 for p in open_):  # nothing can run on in these any more
+                done += [p for p in open_ if first - p[1] > BRIDGE + 3]
+                open_ = [p for p in open_ if first - p[1] <= BRIDGE + 3]
             for p in open_:
                 gap_text, gap_item = first - p[1] - 1, place - p[2] - 1
                 if -n <= gap_text <= BRIDGE + 2 and -n <= gap_item <= BRIDGE + 2 and abs(gap_text - gap_item) <= BRIDGE and (best is None or p[1] > best[1]):
@@ -159,7 +197,7 @@ class Leaks:
             best[4] += self.own[item][place]
             best[1], best[2] = max(best[1], first + n - 1), max(best[2], place + n - 1)
         kept = []
-        for first, last, _, held, own, _ in open_:
+        for first, last, _, held, own, _ in done + open_:
             low, high = min(held), max(held)
             asked = sum(self.own[item][low : high - self.gram + 2])
             if (len(held) >= SHORTEST or len(held) == self.sizes[item]) and (own >= OWN * asked and own > 0 or asked == 0):
@@ -168,30 +206,46 @@ class Leaks:
         return kept
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
+def _moulds(items: DataFrame) -> frozenset[str]:
+    """The n-grams that more than ``COMMON`` items have; counted over all items."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([k for text in batch.column(0).to_pylist() for k in set(grams(text))], pa.string())], ["gram"])
+
+    held = items.where("text <> ''").groupBy("item").agg(F.min("text").alias("text")).select("text").mapInArrow(cut, "gram string")
+    return frozenset(r.gram for r in held.groupBy("gram").count().where(F.col("count") > COMMON).collect())  # at most 1 / COMMON of the items' words
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, share, leak_start, leak_end) of every item that leaks into a document.
 
     Offsets are code points of the original text. Null and empty texts leak and
-    hold nothing; repeated rows of either table change nothing but repeat. Items
-    are few by nature: they come to the driver, ``BLOCK`` to an automaton.
+    hold nothing; repeated rows of the items change nothing, of the documents they
+    repeat; of several texts under one item id the smallest counts. Items are few by nature:
+    they come to the driver in blocks of about ``block`` bytes, an automaton each.
     """
     spark = documents.sparkSession
-    rows = [(r[0], r[1]) for r in items.select(item, "text").distinct().toLocalIterator() if r[0] is not None and r[1]]
-    rows.sort()
+    asked = items.select(F.col(item).alias("item"), "text").where("item is not null and text <> ''").groupBy("item").agg(F.min("text").alias("text"))
+    size = asked.agg(F.sum(F.octet_length("text")).alias("bytes")).first().bytes or 0
+    blocks = -(-size // block)
     kinds = documents.schema[key].dataType, items.schema[item].dataType
     schema = f"`{key}` {kinds[0].simpleString()}, `{item}` {kinds[1].simpleString()}, share double, leak_start bigint, leak_end bigint"
     found = spark.createDataFrame([], schema)
-    for k in range(0, len(rows), BLOCK):
-        packed = spark.sparkContext.broadcast(pickle.dumps(rows[k : k + BLOCK]))
-        block = documents.select(key, text).mapInArrow(_scanner(packed, key, item, items.select(item)), schema)
-        found = block if k == 0 else found.unionByName(block)
+    moulds = _moulds(asked) if blocks > 1 else None
+    for k in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()  # some ``block`` bytes
+        packed = spark.sparkContext.broadcast(pickle.dumps((sorted(map(tuple, rows)), moulds)))
+        part = documents.select(key, text).mapInArrow(_scanner(packed, key, item, items.select(item)), schema)
+        found = part if k == 0 else found.unionByName(part)
     return found
 
 
 @functools.lru_cache(maxsize=2)
 def _leaks(packed: bytes) -> Leaks:
     """The automaton of a block, built once in a worker however many tasks it runs."""
-    return Leaks(pickle.loads(packed))
+    items, moulds = pickle.loads(packed)
+    return Leaks(items, moulds=moulds)
 
 
 def _scanner(packed, key: str, item: str, items: DataFrame):  # noqa: ANN001, ANN202

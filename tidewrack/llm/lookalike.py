@@ -13,15 +13,26 @@ of records come from pairs of different *values*, never from all pairs of a clas
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.functions import unicode as U
 from tidewrack.session import Scratch
 
-# Marks that look like another one.
-MARKS_FROM, MARKS_TO = "‐‑−﹘ʼ՚＇ʹ‚٫ǃ։׃∶ꓸ․", "---–’’''"  # the rest is cut to the shorter
-_N = min(len(MARKS_FROM), len(MARKS_TO))
+# Marks and what they look like.
+MARKS = {
+    "‐": "-", "‑": "-", "−": "-", "﹘": "–", "ʼ": "’", "՚": "’", "＇": "'", "ʹ": "'", "‚": ",", "٫": ",", "ǃ": "!", "։": ":", "׃": ":", "∶": ":", "ꓸ": ".", "․": ".",
+}
+# Characters that stand for several; and the Roman numerals, by rule.
+SEVERAL = {"‼": "!!", "⁇": "??", "⁈": "?!", "⁉": "!?", "…": "...", "‥": ".."} | {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0x2160, 0x2180)}
+
+
+def _expanded(x: Column) -> Column:
+    for char, plain in SEVERAL.items():
+        x = F.replace(x, F.lit(char), F.lit(plain))
+    return x
 
 
 def look(x: Column) -> Column:
@@ -29,7 +40,12 @@ def look(x: Column) -> Column:
 
     Letters, case, accents, marks and spacing stay, outer blanks included.
     """
-    every = lambda v: F.translate(U.lookalikes(U.compatibility(F.regexp_replace(U.visible(v), r"[\p{Zs}\u0085\u2028\u2029]", " "))), MARKS_FROM[:_N], MARKS_TO[:_N])
+    source = "".join(MARKS)
+
+    def every(v: Column) -> Column:
+        out = F.translate(U.lookalikes(U.compatibility(F.regexp_replace(U.visible(v), r"[\p{Zs}\u0085\u2028\u2029]", " "))), source, "".join(MARKS.values()))
+        return U.let(out, lambda t: F.when(t.rlike("[" + "".join(SEVERAL) + "]"), _expanded(t)).otherwise(t))
+
     return F.translate(U.beyond_ascii(x, every), "\t\u000b\u000c\u0000", "   ")
 
 
@@ -47,19 +63,23 @@ def looks(values: DataFrame, shared: bool = False) -> DataFrame:
     ``shared`` only values are compared that another one may equal: those whose
     coarse key is not theirs alone, found by plain hashing.
     """
-    distinct = values.where("value is not null").select("field", "value").distinct()
-    seen = distinct.withColumn("look", look(F.col("value"))).withColumn("plain", (F.col("value") != F.col("look")).cast("int")).withColumn("odd", F.length(F.regexp_replace("value", r"[\x00-\x7f]", ""))).withColumn("size", F.length("value"))
-    if shared:
-        seen = seen.withColumn("coarse", coarse(F.col("look")))
-        several = seen.groupBy("field", "coarse").agg(F.count("*").alias("n")).where("n > 1").select("field", "coarse")
-        seen = seen.join(several, ["field", "coarse"], "left_semi")
     spark = values.sparkSession
+    scratch = Scratch(spark, "classes")
+    seen = values.where("value is not null").select("field", "value").distinct().withColumn("look", look(F.col("value")))
+    if shared:
+        # Looks are dear: of every value once for its key, then again only of those that meet another one.
+        keyed = scratch.keep(seen.select("field", "value", coarse(F.col("look")).alias("coarse")))
+        several = keyed.groupBy("field", "coarse").agg(F.count("*").alias("n")).where("n > 1").select("field", "coarse")
+        seen = keyed.join(several, ["field", "coarse"], "left_semi").select("field", "value").withColumn("look", look(F.col("value")))
+    seen = scratch.keep(seen.withColumn("plain", (F.col("value") != F.col("look")).cast("int")).withColumn("odd", F.length(F.regexp_replace("value", r"[\x00-\x7f]", ""))).withColumn("size", F.length("value")))
     view = f"looks_{id(seen)}"
     seen.createOrReplaceTempView(view)
-    keyed = spark.sql(f"SELECT field, value, plain, odd, size, look COLLATE UNICODE AS class FROM {view}")
+    classes = spark.sql(f"SELECT field, look COLLATE UNICODE AS class, min(struct(plain, odd, size, value)) AS best, count(*) AS members FROM {view} GROUP BY field, look COLLATE UNICODE")
+    keyed = spark.sql(f"SELECT field, value, look COLLATE UNICODE AS class FROM {view}")
     spark.catalog.dropTempView(view)
-    classes = keyed.groupBy("field", "class").agg(F.min(F.struct("plain", "odd", "size", "value")).alias("best"), F.count("*").alias("members"))
-    return keyed.select("field", "value", "class").join(classes, ["field", "class"]).select("field", "value", F.col("best.value").alias("canonical"), "members")
+    out = keyed.join(classes, ["field", "class"]).select("field", "value", F.col("best.value").alias("canonical"), "members")
+    out._scratch = scratch
+    return out
 
 
 def canonical_values(df: DataFrame, *columns: str) -> DataFrame:
@@ -80,7 +100,9 @@ def alike_pairs(df: DataFrame, key: str, *columns: str) -> DataFrame:
     long = df.select(F.col(key).alias("key"), both).select("key", "f.field", "f.value").where("key is not null and trim(value) <> ''")
     scratch = Scratch(df.sparkSession, "looks")
     classes = looks(long, shared=True).where("members > 1")
-    seen = scratch.keep(classes.select("field", "value", F.xxhash64("field", "canonical").alias("class"), F.xxhash64("field", "value").alias("value_id")))
+    # Joined on by 128-bit digests, so that no two values are taken for one.
+    digest = lambda v: F.unhex(F.md5(F.concat_ws("|", "field", v)))
+    seen = scratch.keep(classes.select("field", "value", digest("canonical").alias("class"), digest("value").alias("value_id")))
     named = long.join(seen.select("field", "value", "value_id"), ["field", "value"]).select("key", "field", "value_id")
     pairs = seen.select("class", F.col("value_id").alias("va")).join(seen.select("class", F.col("value_id").alias("vb")), "class").where("va < vb").select("va", "vb")
     left = named.select(F.col("key").alias("ka"), "field", F.col("value_id").alias("va"))
@@ -89,3 +111,16 @@ def alike_pairs(df: DataFrame, key: str, *columns: str) -> DataFrame:
     out = found.select(F.least("ka", "kb").alias(f"{key}_a"), F.greatest("ka", "kb").alias(f"{key}_b"), F.col("field").alias("field_name"))
     out._scratch = scratch
     return out
+
+
+def alike_classes(df: DataFrame, key: str, *columns: str) -> DataFrame:
+    """(<key>, field_name, canonical): rows whose value reads like another string, under their class's canonical form.
+
+    One row for each such row and field, where ``alike_pairs`` has one for every two.
+    """
+    both = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").alias("value")) for c in columns])).alias("f")
+    long = df.select(F.col(key).alias("key"), both).select("key", "f.field", "f.value").where("key is not null and trim(value) <> ''")
+    found = looks(long, shared=True)
+    out = long.join(found.where("members > 1"), ["field", "value"]).select(F.col("key").alias(key), F.col("field").alias("field_name"), "canonical").distinct()
+    out._scratch = found
+    return out

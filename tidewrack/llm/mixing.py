@@ -6,9 +6,11 @@ random order. Token sizes are summed along that order, and documents are taken u
 to the source's token budget. A budget beyond the source's size is met by complete
 epochs first, then by one fractional selection, up to the source's cap.
 
-The order is never made in one task: keys fall into fixed ranges, the sizes of
-the ranges (a few thousand rows per source) are summed first, and only within one
-range are documents sorted, so a source with a third of all rows is many tasks.
+The order is never made in one task: keys fall into ranges of equal width, the sizes
+of the ranges (at most RANGES rows per source) are summed first, and only within one
+range are documents sorted. A weight is at most 1, so no range is expected to hold more
+than 1 / STEPS of a source, whatever the weights, and a source with a third of all rows
+is many tasks.
 """
 
 from __future__ import annotations
@@ -29,31 +31,39 @@ TOKENIZERS = "/opt/tokenizers"
 TOKENIZER = "byte_bpe_50k.tiktoken"
 #: How the public vocabulary of that file splits text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Ranges of keys per source. A range holds about rows / RANGES documents.
-RANGES = 4096
+#: Ranges of keys to a key of 1, and in all; the last one holds what is beyond, e ** (-RANGES / STEPS / 4) of a source at most.
+STEPS, RANGES = 1024, 65_536
+#: The vocabulary is shipped to the executors up to this many bytes.
+MAX_VOCABULARY = 64 << 20
 SEED = "tidewrack-mix-1"
 
 
-@functools.cache
-def _encoding(path: str):  # noqa: ANN202
+@functools.lru_cache(maxsize=2)
+def _encoding(vocabulary: bytes):  # noqa: ANN202
     import tiktoken
 
-    with open(path, "rb") as file:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("mix", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_counts(df: DataFrame, text: str = "text", out: str = "tokens", path: str = f"{TOKENIZERS}/{TOKENIZER}") -> DataFrame:
-    """``df`` with the number of tokens of the whole text; null and empty texts have none."""
+    """``df`` with the number of tokens of the whole text; null and empty texts have none.
+
+    The vocabulary at ``path`` is read by the driver and shipped to the executors.
+    """
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"no tokenizer at {path}; give its path")
+    if os.path.getsize(path) > MAX_VOCABULARY:
+        raise ValueError(f"more than {MAX_VOCABULARY} bytes at {path}")
+    with open(path, "rb") as file:
+        shipped = df.sparkSession.sparkContext.broadcast(file.read())
 
     @F.pandas_udf("bigint")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoding = _encoding(path)
+        encoding = _encoding(shipped.value)
         for texts in batches:
             yield pd.Series([len(encoding.encode_ordinary(t)) if t else 0 for t in texts], dtype="int64")
 
-    if not os.path.exists(path):
-        raise FileNotFoundError(f"no tokenizer at {path}; give its path")
     return df.withColumn(out, count(F.col(text)))
 
 
@@ -104,8 +114,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total: float | None = None
     scratch = Scratch(documents.sparkSession, "mixture")
     u = (F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), F.col("key").cast("string")), 256), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(16**13))
     known = documents.where("tokens > 0").select(F.col(key).alias("key"), source_name(F.col("source")).alias("source"), "tokens", quality(F.col("text")).alias("weight"), F.xxhash64("text").alias("tie"))
-    # 1 - exp(-key) rises with the key and lies in 0 to 1, so it both sorts and finds the range.
-    keyed = scratch.keep(known.withColumn("rank", 1 - F.pow(u, 1 / F.col("weight"))).withColumn("range", F.floor(F.col("rank") * RANGES)))
+    keyed = scratch.keep(known.withColumn("rank", -F.log(u) / F.col("weight")).withColumn("range", F.least(F.floor(F.col("rank") * STEPS), F.lit(RANGES - 1))))
     ranges = keyed.groupBy("source", "range").agg(F.sum("tokens").alias("held"))
     named = targets.withColumn("source", source_name(F.col("source")))
     planned = scratch.keep(plan(ranges.groupBy("source").agg(F.sum("held").alias("size")), named, total))
