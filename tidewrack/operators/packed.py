@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewrack.functions import unicode as U
+from tidewrack.session import Scratch
 
 #: Broadcast of the rules is only allowed up to this many skeletons; beyond it the join shuffles.
 MAX_BROADCAST_SKELETONS = 50_000
@@ -204,12 +205,16 @@ def split_values(df: DataFrame, key: Column, fields: dict[str, bool]) -> DataFra
     long = long.withColumn("skeleton", cut[0])
     # A hash of every row's skeleton keeps the same few rows together before they are counted.
     rules = long.groupBy("names", "skeleton").agg(F.count("*").alias("rows")).mapInPandas(_rules, "names boolean, skeleton string, kind string, pattern string")
-    ruled = long.join(_bounded(rules), ["names", "skeleton"])
+    scratch = Scratch(df.sparkSession, "rules")
+    rules = scratch.keep(rules)
+    ruled = long.join(F.broadcast(rules) if rules.measured["rows"] <= MAX_BROADCAST_SKELETONS else rules, ["names", "skeleton"])
     plain = F.split(F.col("packed"), F.col("pattern"))
     rich = _unpack_udf(F.when(F.col("kind") != "split", F.col("packed")), F.col("kind"), F.col("pattern"))
     values = F.when(F.col("kind") == "split", F.filter(F.transform(plain, lambda v: F.regexp_replace(v, "\\A[\\s\\u00a0]+|[\\s\\u00a0]+\\z", "")), lambda v: v != "")).otherwise(rich)
     out = ruled.select("field_name", "record_key", F.posexplode(values).alias("at", "value"))
-    return out.select("field_name", "record_key", (F.col("at") + 1).cast("int").alias("value_pos"), "value").distinct()
+    out = out.select("field_name", "record_key", (F.col("at") + 1).cast("int").alias("value_pos"), "value").distinct()
+    out._scratch = scratch
+    return out
 
 
 def _rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,8 +222,3 @@ def _rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = [resolve(s, bool(n)) for s, n in zip(batch["skeleton"], batch["names"])]
         yield pd.DataFrame({"names": batch["names"], "skeleton": batch["skeleton"], "kind": [k for k, _ in got], "pattern": [p for _, p in got]})
 
-
-def _bounded(rules: DataFrame) -> DataFrame:
-    """Broadcast only if the count of skeletons is checked to be small."""
-    few = rules.limit(MAX_BROADCAST_SKELETONS + 1).count() <= MAX_BROADCAST_SKELETONS
-    return F.broadcast(rules) if few else rules
