@@ -249,9 +249,76 @@ def test_similar_titles_join_clusters(spark):
     got = {r.occ_idx: r.cluster for r in final.collect()}
     low = {c: min(x for x in root if root[x] == c) for c in root.values()}
     assert got == {x: low[root[x]] for x in root} and len(set(got.values())) < len(rows)
+    edges = states.where("edge_l is not null").select(F.col("edge_l").alias("a"), F.col("edge_r").alias("b"), F.lit("FUZZY_TITLE_AUTHOR").alias("reason"))
+    _, by_cluster = resolution.basis(edges, final)
     joined = {c for c in got.values() if list(got.values()).count(c) > 1}
-    found = {r.cluster for r in resolution.basis(reps.select("occ_idx", F.lit("").alias("doi")), final).where("deduplication_basis = 'FUZZY_TITLE_AUTHOR'").collect()}
-    assert found == joined
+    assert {r.cluster for r in by_cluster.where("deduplication_basis = 'FUZZY_TITLE_AUTHOR'").collect()} == joined
+
+
+def resolve(rows):
+    """All passes as loops over rows of (i, system, title, year, doi, url, author): clusters, reasons of each record, conflicts and reviews."""
+    root, dois, reasons, conflicts, reviews = {r[0]: r[0] for r in rows}, {r[0]: r[4] for r in rows}, {r[0]: set() for r in rows}, set(), []
+    by = {r[0]: r for r in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    def join(a, b, reason, key):
+        x, y = find(a), find(b)
+        if x == y:
+            return
+        if dois[x] and dois[y] and dois[x] != dois[y]:
+            conflicts.add((key, reason, dois[x], dois[y], by[a][2], by[b][2]))
+            return
+        root[y], dois[x] = x, dois[x] or dois[y]
+        reasons[a].add(reason)
+        reasons[b].add(reason)
+
+    def buckets(key, reason, years=False):
+        held = {}
+        for r in rows:
+            if key(r):
+                held.setdefault(key(r), []).append(r)
+        for k, (first, *others) in held.items():
+            for o in others:
+                if not years or not first[3] or not o[3] or abs(int(first[3]) - int(o[3])) <= 1:
+                    join(first[0], o[0], reason, k)
+
+    buckets(lambda r: r[4], "DOI")
+    buckets(lambda r: r[2] if len(r[2]) >= 15 else "", "EXACT_TITLE_YEAR", years=True)
+    buckets(lambda r: r[5], "CANONICAL_URL")
+    groups = {}
+    for r in rows:
+        groups.setdefault(find(r[0]), []).append(r[0])
+    top = {x: max(g, key=lambda i: (resolution.PRIORITY[by[i][1]], len(by[i][2]), -i)) for x, g in groups.items()}
+    reps = [(g[0], top[x], resolution.PRIORITY[by[top[x]][1]], len(by[top[x]][2]), by[top[x]][2], by[top[x]][3], by[top[x]][6], dois[x]) for x, g in groups.items()]
+    seen, fuzzy = sequential(reps)
+    final = {i: fuzzy[g[0]] for g in groups.values() for i in g}
+    return final, reasons, conflicts, seen
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_resolution_follows_the_sequential_loops(spark, seed):
+    rng = random.Random(seed)
+    base = ["effects of fine sediment burial on corals", "effects of fine sediment burial on sponges and corals of the deep fjord", "short title", "drill cuttings and the growth of sponges", ""]
+    rows = []
+    for i in range(1, 141):
+        title = rng.choice(base) + rng.choice(["", "", " north", " south"]) * bool(rng.randrange(2))
+        url = rng.choice(["", "", *(f"https://a.example/{k}" for k in range(25)), "https://a.example/hot", "https://a.example/hot"])
+        rows.append((i, rng.choice(list(resolution.PRIORITY)), title.strip(), rng.choice(["", "2000", "2001", "2004"]), rng.choice([""] * 5 + [f"10.1000/{k}" for k in range(9)]), url, rng.choice(["", "roe", "doe"])))
+    df = spark.createDataFrame([(f"OCC{r[0]:06d}", r[0], r[1], r[2], r[6], r[3], r[4], r[5], r[2], r[5], r[6], "", "", "q") for r in rows], "occurrence_id string, occ_idx long, system string, title string, authors string, year string, doi string, url string, norm_title string, canonical_url string, author1 string, abstract_or_snippet string, full_text_status string, query_id string")
+    got = resolution.Resolution(df)
+    final, reasons, conflicts, seen = resolve(rows)
+    parts = lambda m: {frozenset(k for k in m if m[k] == v) for v in set(m.values())}
+    assert parts({r.occ_idx: r.cluster for r in got.final.collect()}) == parts(final)
+    assert {tuple(r) for r in got.conflicts().collect()} == conflicts and conflicts
+    assert sorted((r.l_occ_idx, r.r_occ_idx, r.decision) for r in got.reviews().collect()) == sorted(seen)
+    fuzzy_free = {r.occ_idx: set(r.deduplication_basis.split(" | ")) - {"SINGLETON", "FUZZY_TITLE_AUTHOR"} for r in got.provenance().collect()}
+    assert fuzzy_free == reasons
+    corpus = got.corpus().collect()
+    assert len(corpus) == len(set(final.values())) == len({r.corpus_id for r in corpus}) and sum(r.occurrence_count for r in corpus) == len(rows)
 
 
 def test_round_trips(spark, data):

@@ -2,9 +2,14 @@
 
 Records join by DOI, exact title, address and similar title; two clusters with
 different DOIs never join, and each refusal is a conflict. The first two passes
-have a closed form over windows. The order of the buckets decides in the third,
-so the few components that share an address are replayed in that order; the
-fourth compares cluster representatives within blocks of two leading words.
+have a closed form of pre-aggregated minima. In the third the order of the buckets
+decides, but only for clusters with several addresses: those, with the first cluster
+and the first DOI of each address, are replayed in that order, and all others, however
+many share one page, follow from these by a join. The fourth compares cluster
+representatives within blocks of two leading words.
+
+Every union leaves an edge with its reason; the edges give the basis of each
+occurrence and cluster.
 """
 
 from __future__ import annotations
@@ -13,11 +18,12 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.functions import text as X
 from tidewrack.operators.graph import smallest_members
+from tidewrack.session import Scratch
 
 # Priority of systems, and thresholds of the similar-title pass.
 PRIORITY = {"OpenAlex": 4, "Citation chaining": 4, "Semantic Scholar": 3, "Web of Science": 2, "Grey literature": 1, "Benchmark remediation": 1}
@@ -39,7 +45,9 @@ def finalize(df: DataFrame) -> DataFrame:
 
 
 def exact_clusters(df: DataFrame, idx: str = "occ_idx", least: int = 15) -> DataFrame:
-    """(idx, cluster, reason): clusters after the DOI and exact-title passes, named by their smallest index.
+    """(idx, cluster, reason): clusters after the DOI and exact-title passes.
+
+    A cluster is named by the first record of its DOI, or of its title where it has none.
 
     In a title bucket the first record is the anchor; records whose year agrees with
     it take part. Those without a DOI join the cluster of the bucket's first DOI, or
@@ -56,42 +64,110 @@ def exact_clusters(df: DataFrame, idx: str = "occ_idx", least: int = 15) -> Data
     return out.select(idx, F.coalesce("doi_first", "title_cluster", idx).alias("cluster"), F.when(F.col("doi_first").isNotNull(), "DOI").when(F.col("title_cluster").isNotNull(), "EXACT_TITLE_YEAR").otherwise("SINGLETON").alias("reason"))
 
 
-def conflicts(df: DataFrame, key: Column, idx: str = "occ_idx") -> DataFrame:
-    """Distinct records of a bucket whose DOI differs from the bucket's first: (match_key, kept_doi, other_doi)."""
-    keyed = df.select(key.alias("match_key"), "doi", idx).where("match_key <> '' and doi <> ''")
-    first = keyed.groupBy("match_key").agg(F.min_by("doi", idx).alias("kept_doi"))
-    return keyed.join(first, "match_key").where("doi <> kept_doi").select("match_key", "kept_doi", F.col("doi").alias("other_doi")).distinct()
+def _title_buckets(df: DataFrame, idx: str, least: int) -> DataFrame:
+    """Members of every title bucket that take part, with the anchor and the bucket's first DOI: idx, norm_title, doi, title, a, d."""
+    long = df.where(F.length("norm_title") >= least).select(idx, "doi", "year", "norm_title", "title")
+    anchor = long.groupBy("norm_title").agg(F.min(F.struct(idx, "year", "doi", "title")).alias("a"), F.count("*").alias("n")).where("n > 1")
+    members = long.join(anchor, "norm_title").where(X.compatible_year(F.col("a.year"), F.col("year")))
+    first = members.groupBy("norm_title").agg(F.min(F.when(F.col("doi") != "", F.struct(idx, "doi"))).alias("d"))
+    return members.join(first, "norm_title").select(idx, "norm_title", "doi", "title", "a", "d")
+
+
+def exact_edges(df: DataFrame, idx: str = "occ_idx", least: int = 15) -> DataFrame:
+    """(a, b, reason): the unions of the DOI and exact-title passes."""
+    first = df.where("doi <> ''").groupBy("doi").agg(F.min(idx).alias("a"))
+    by_doi = df.where("doi <> ''").select("doi", F.col(idx).alias("b")).join(first, "doi").where("a <> b").select("a", "b", F.lit("DOI").alias("reason"))
+    bucket = _title_buckets(df, idx, least)
+    joins = (F.col("doi") == "") | ((F.col("a.doi") == "") & (F.col(idx) == F.col(f"d.{idx}")))
+    by_title = bucket.where(joins & (F.col(idx) != F.col(f"a.{idx}"))).select(F.col(f"a.{idx}").alias("a"), F.col(idx).alias("b"), F.lit("EXACT_TITLE_YEAR").alias("reason"))
+    return by_doi.unionByName(by_title)
+
+
+def title_conflicts(df: DataFrame, idx: str = "occ_idx", least: int = 15) -> DataFrame:
+    """Refusals of the exact-title pass: members whose DOI is not the bucket's first; those whose year does not agree take no part."""
+    rows = _title_buckets(df, idx, least).where("doi <> '' and doi <> d.doi")
+    return rows.select(F.col("norm_title").alias("match_key"), F.lit("EXACT_TITLE_YEAR").alias("reason"), F.col("d.doi").alias("left_dois"), F.col("doi").alias("right_dois"), F.col("a.title").alias("left_title"), F.col("title").alias("right_title")).distinct()
+
+
+_UNIONS = "what string, cluster long, joined long, a long, b long, canonical_url string, left_doi string, right_doi string"
 
 
 def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
     """Join clusters of one component by address, in bucket order, refusing unlike DOIs."""
     root = {c: c for c in pdf["cluster"]}
     dois = dict(zip(pdf["cluster"], pdf["doi"]))
+    rows = []
 
     def find(c: int) -> int:
         while root[c] != c:
+            root[c] = root[root[c]]
             c = root[c]
         return c
 
-    for _, rows in sorted(((g["idx"].min(), g.sort_values("idx")) for _, g in pdf.groupby("canonical_url")), key=lambda t: t[0]):
-        anchor = rows["cluster"].iloc[0]
-        for other in rows["cluster"].iloc[1:]:
+    for url, bucket in sorted(((u, g.sort_values("idx")) for u, g in pdf.groupby("canonical_url")), key=lambda t: t[1]["idx"].iloc[0]):
+        anchor, at = bucket["cluster"].iloc[0], bucket["idx"].iloc[0]
+        for other, i in zip(bucket["cluster"].iloc[1:], bucket["idx"].iloc[1:]):
             a, b = find(anchor), find(other)
-            if a != b and not (dois[a] and dois[b] and dois[a] != dois[b]):
-                low, high = min(a, b), max(a, b)
-                root[high], dois[low] = low, dois[a] or dois[b]
-    return pd.DataFrame({"cluster": list(root), "joined": [find(c) for c in root]})
+            if a == b:
+                continue
+            if dois[a] and dois[b] and dois[a] != dois[b]:
+                rows.append(("conflict", other, None, at, i, url, dois[a], dois[b]))
+                continue
+            low, high = min(a, b), max(a, b)
+            root[high], dois[low] = low, dois[a] or dois[b]
+            rows.append(("edge", None, None, at, i, url, None, None))
+    rows += [("join", c, find(c), None, None, None, None, dois[find(c)]) for c in root]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in _UNIONS.split(", ")])
+
+
+def url_unions(df: DataFrame, clusters: DataFrame, idx: str = "occ_idx") -> DataFrame:
+    """What the address pass does: rows of kind join (cluster to joined), edge (a, b) and conflict (cluster refused at an address).
+
+    Of an address, only its first cluster, its first cluster with a DOI and those that
+    have another shared address too bear on anything else; components of these are
+    replayed, one task each. Any other cluster joins the first one if it has no DOI,
+    and is refused if it has one.
+    """
+    scratch = Scratch(df.sparkSession, "addresses")
+    rows = df.select(idx, "canonical_url", "doi").join(clusters.select(idx, "cluster"), idx)
+    doi = rows.groupBy("cluster").agg(F.max("doi").alias("doi"))
+    known = rows.where("canonical_url <> ''").groupBy("cluster", "canonical_url").agg(F.min(idx).alias("idx")).join(doi, "cluster")
+    per_url = known.groupBy("canonical_url").agg(F.min(F.struct("idx", "cluster")).alias("first"), F.min(F.when(F.col("doi") != "", F.struct("idx", "cluster"))).alias("with_doi"), F.count("*").alias("n")).where("n > 1")
+    shared = known.join(per_url, "canonical_url")
+    urls = shared.groupBy("cluster").agg(F.count("*").alias("urls"))
+    shared = scratch.keep(shared.join(urls, "cluster"))
+    core = (F.col("cluster") == F.col("first.cluster")) | (F.col("urls") > 1) | F.coalesce(F.col("cluster") == F.col("with_doi.cluster"), F.lit(False))
+    reach = smallest_members(shared.where(core).select(F.col("cluster").alias("a"), F.col("first.cluster").alias("b")))
+    work = shared.where(core).select("cluster", "canonical_url", "idx", "doi").join(reach.withColumnRenamed("node", "cluster"), "cluster")
+    done = scratch.keep(work.groupBy("component").applyInPandas(lambda pdf: _replay(pdf), _UNIONS))
+    state = done.where("what = 'join'").select(F.col("cluster").alias("first_cluster"), "joined", F.col("right_doi").alias("held"))
+    rest = shared.where(~core).withColumn("first_cluster", F.col("first.cluster")).join(state, "first_cluster")
+    free = F.col("doi") == ""
+    null = lambda kind: F.lit(None).cast(kind)
+    joins = rest.select(F.lit("join").alias("what"), "cluster", F.when(free, F.col("joined")).otherwise(F.col("cluster")).alias("joined"), null("long").alias("a"), null("long").alias("b"), null("string").alias("canonical_url"), null("string").alias("left_doi"), F.col("held").alias("right_doi"))
+    edges = rest.where(free).select(F.lit("edge").alias("what"), null("long").alias("cluster"), null("long").alias("joined"), F.col("first.idx").alias("a"), F.col("idx").alias("b"), "canonical_url", null("string").alias("left_doi"), null("string").alias("right_doi"))
+    refused = rest.where(~free).select(F.lit("conflict").alias("what"), "cluster", null("long").alias("joined"), F.col("first.idx").alias("a"), F.col("idx").alias("b"), "canonical_url", F.col("held").alias("left_doi"), F.col("doi").alias("right_doi"))
+    out = done.unionByName(joins).unionByName(edges).unionByName(refused)
+    out._scratch = (scratch, reach)
+    return out
 
 
 def url_clusters(df: DataFrame, clusters: DataFrame, idx: str = "occ_idx") -> DataFrame:
-    """(cluster, joined): clusters that an address joins, by replaying each component that shares one."""
-    rows = df.where("canonical_url <> ''").select(idx, "canonical_url", "doi").join(clusters.select(idx, "cluster"), idx)
-    known = rows.groupBy("cluster", "canonical_url").agg(F.min(idx).alias("idx"))
-    doi = df.join(clusters.select(idx, "cluster"), idx).groupBy("cluster").agg(F.max("doi").alias("doi"))
-    shared = known.join(known.groupBy("canonical_url").agg(F.min("cluster").alias("low"), F.count("*").alias("n")).where("n > 1"), "canonical_url")
-    reach = smallest_members(shared.select(F.col("cluster").alias("a"), F.col("low").alias("b")))
-    work = shared.select("cluster", "canonical_url", "idx").join(doi, "cluster").join(reach.withColumnRenamed("node", "cluster"), "cluster")
-    return work.groupBy("component").applyInPandas(lambda pdf: _replay(pdf), "cluster long, joined long")
+    """(cluster, joined): clusters that an address joins."""
+    unions = url_unions(df, clusters, idx)
+    out = unions.where("what = 'join'").select("cluster", "joined")
+    out._scratch = unions
+    return out
+
+
+def url_conflicts(df: DataFrame, clusters: DataFrame, unions: DataFrame, idx: str = "occ_idx") -> DataFrame:
+    """Refusals of the address pass: every title of a refused cluster at the address, against the first record's."""
+    rows = df.where("canonical_url <> ''").select(idx, "canonical_url", "title").join(clusters.select(idx, "cluster"), idx)
+    titles = rows.groupBy("cluster", "canonical_url", "title").agg(F.min(idx).alias("i"))
+    refused = unions.where("what = 'conflict'").select("cluster", "canonical_url", "a", "left_doi", "right_doi")
+    left = df.select(F.col(idx).alias("a"), F.col("title").alias("left_title"))
+    out = refused.join(titles, ["cluster", "canonical_url"]).join(left, "a")
+    return out.select(F.col("canonical_url").alias("match_key"), F.lit("CANONICAL_URL").alias("reason"), F.col("left_doi").alias("left_dois"), F.col("right_doi").alias("right_dois"), "left_title", F.col("title").alias("right_title")).distinct()
 
 
 def block_key(title: Column) -> Column:
@@ -239,7 +315,7 @@ def _merge_in_order(pdf: pd.DataFrame) -> pd.DataFrame:
 
     def close(i: int, until: tuple[int, int]) -> None:
         r = root[i]
-        out.append((rows[i]["cluster"], rows[i]["first"], min(rows[m]["cluster"] for m in members[r]), rows[top[r]]["occ_idx"], doi[r], *since[i], *until))
+        out.append((rows[i]["cluster"], rows[i]["first"], min(rows[m]["cluster"] for m in members[r]), rows[top[r]]["occ_idx"], doi[r], *since[i], *until, None, None))
 
     def merges(x: int, y: int) -> bool:
         a, b, (p, q) = rows[top[x]], rows[top[y]], (words[top[x]], words[top[y]])
@@ -263,13 +339,14 @@ def _merge_in_order(pdf: pd.DataFrame) -> pd.DataFrame:
             for m in members[x] + members[y]:
                 close(m, at)
                 since[m] = at
+            out.append((None, None, None, None, None, *at, *at, rows[members[x][0]]["first"], rows[members[y][0]]["first"]))
             best = max(top[x], top[y], key=lambda t: (rows[t]["p"], rows[t]["l"], -rows[t]["occ_idx"]))
             for m in members[y]:
                 root[m] = x
             members[x], top[x], doi[x] = members[x] + members.pop(y), best, doi[x] or doi[y]
     for i in range(len(rows)):
         close(i, (NEVER, NEVER))
-    return pd.DataFrame(out, columns=["cluster", "first", "joined", "top", "doi", "from_l", "from_r", "until_l", "until_r"])
+    return pd.DataFrame(out, columns=["cluster", "first", "joined", "top", "doi", "from_l", "from_r", "until_l", "until_r", "edge_l", "edge_r"]).astype({c: "Int64" for c in ("cluster", "first", "joined", "top", "edge_l", "edge_r")})
 
 
 def similar_clusters(reps: DataFrame) -> DataFrame:
@@ -280,7 +357,8 @@ def similar_clusters(reps: DataFrame) -> DataFrame:
     representatives. What merges is always a pair of those, so only clusters linked
     by pairs that may merge depend on order; each such component is replayed. A state
     (``joined`` cluster, ``top`` record, ``doi``) holds for pairs of first records
-    after ``from`` up to ``until``. Clusters that nothing can join give no row.
+    after ``from`` up to ``until``. Clusters that nothing can join give no row. Beside
+    these stands one row, without a cluster, for every union: its first records ``edge_l`` and ``edge_r``.
     """
     titles = reps.where(F.length("norm_title") >= 20)
     one = titles.groupBy("norm_title").agg(F.min("occ_idx").alias("occ_idx"))
@@ -292,7 +370,7 @@ def similar_clusters(reps: DataFrame) -> DataFrame:
     doi = (F.col("l_doi") == "") | (F.col("r_doi") == "") | (F.col("l_doi") == F.col("r_doi"))
     edges = alike.join(side("l_"), "l_norm_title").join(side("r_"), "r_norm_title").where((F.col("l_cluster") != F.col("r_cluster")) & author & doi & X.compatible_year(F.col("l_year"), F.col("r_year")))
     reach = smallest_members(edges.select(F.col("l_cluster").alias("a"), F.col("r_cluster").alias("b")))
-    out = titles.join(reach.withColumnRenamed("node", "cluster"), "cluster").groupBy("component").applyInPandas(lambda pdf: _merge_in_order(pdf), "cluster long, first long, joined long, top long, doi string, from_l long, from_r long, until_l long, until_r long")
+    out = titles.join(reach.withColumnRenamed("node", "cluster"), "cluster").groupBy("component").applyInPandas(lambda pdf: _merge_in_order(pdf), "cluster long, first long, joined long, top long, doi string, from_l long, from_r long, until_l long, until_r long, edge_l long, edge_r long")
     out._scratch = reach
     return out
 
@@ -303,16 +381,15 @@ def after_similar(clusters: DataFrame, states: DataFrame, idx: str = "occ_idx")
     return clusters.join(last, "cluster", "left").select(idx, F.coalesce("joined", "cluster").alias("cluster"), "exact", F.col("cluster").alias("third"))
 
 
-def basis(df: DataFrame, final: DataFrame, idx: str = "occ_idx") -> DataFrame:
-    """(cluster, deduplication_basis): the passes that joined anything in a cluster, or SINGLETON.
+def basis(edges: DataFrame, final: DataFrame, idx: str = "occ_idx") -> tuple[DataFrame, DataFrame]:
+    """(idx, deduplication_basis) of every occurrence and (cluster, deduplication_basis) of every cluster: the reasons of its edges, or SINGLETON.
 
-    A pass joined something where a cluster holds more clusters of the pass before
-    it than of its own; the DOI pass starts from the records.
+    ``edges`` is (a, b, reason) of all passes; an edge counts for both its ends.
     """
-    rows = df.select(idx, "doi").join(final, idx).withColumn("first", F.when(F.col("doi") != "", F.col("doi")).otherwise(F.col(idx).cast("string")))
-    n = rows.groupBy("cluster").agg(F.count("*").alias("n0"), F.countDistinct("first").alias("n1"), F.countDistinct("exact").alias("n2"), F.countDistinct("third").alias("n3"))
-    reasons = [F.when(F.col("n2") > F.col("n3"), "CANONICAL_URL"), F.when(F.col("n0") > F.col("n1"), "DOI"), F.when(F.col("n1") > F.col("n2"), "EXACT_TITLE_YEAR"), F.when(F.col("n3") > 1, "FUZZY_TITLE_AUTHOR")]
-    return n.select("cluster", F.coalesce(F.nullif(F.concat_ws(" | ", *reasons), F.lit("")), F.lit("SINGLETON")).alias("deduplication_basis"))
+    ends = edges.select(F.explode(F.array("a", "b")).alias(idx), "reason").distinct()
+    known = final.select(idx, "cluster").join(ends, idx, "left")
+    said = F.coalesce(F.nullif(F.array_join(F.array_sort(F.collect_set("reason")), " | "), F.lit("")), F.lit("SINGLETON")).alias("deduplication_basis")
+    return known.groupBy(idx).agg(said), known.groupBy("cluster").agg(said)
 
 
 def reviews(reps: DataFrame, states: DataFrame) -> DataFrame:
@@ -322,6 +399,7 @@ def reviews(reps: DataFrame, states: DataFrame) -> DataFrame:
     the sequential pass.
     """
     titles = reps.where(F.length("norm_title") >= 20)
+    states = states.where("cluster is not null").drop("edge_l", "edge_r")
     alone = titles.join(states.select("cluster").distinct(), "cluster", "left_anti").select("cluster", "first", F.col("cluster").alias("joined"), F.col("occ_idx").alias("top"), "doi", *[F.lit(v).cast("long").alias(n) for n, v in (("from_l", -1), ("from_r", -1), ("until_l", NEVER), ("until_r", NEVER))])
     shown = alone.unionByName(states).join(titles.select(F.col("occ_idx").alias("top"), "norm_title", "year", "author1"), "top").withColumnRenamed("top", "occ_idx")
     side = lambda p: shown.select(*[F.col(c).alias(f"{p}{c}") for c in shown.columns])
@@ -329,7 +407,7 @@ def reviews(reps: DataFrame, states: DataFrame) -> DataFrame:
     now = F.struct("l_first", "r_first")
     holds = lambda p: (F.struct(f"{p}from_l", f"{p}from_r") < now) & (now <= F.struct(f"{p}until_l", f"{p}until_r"))
     due = pairs.where((F.col("l_first") < F.col("r_first")) & (F.col("l_joined") != F.col("r_joined")) & holds("l_") & holds("r_"))
-    return due.withColumn("decision", decision())
+    return due.withColumn("decision", decision()).withColumn("rationale", rationale())
 
 
 def decision() -> Column:
@@ -341,6 +419,20 @@ def decision() -> Column:
     return F.when(unlike | ~X.compatible_year(F.col("l_year"), F.col("r_year")), "KEEP_SEPARATE").when((match & above(SAME_AUTHOR)) | ((match | missing) & above(NEAR_IDENTICAL)), "MERGE").otherwise("KEEP_SEPARATE")
 
 
+def rationale() -> Column:
+    """Why a reviewed pair is merged or kept apart."""
+    unlike = (F.col("l_doi") != "") & (F.col("r_doi") != "") & (F.col("l_doi") != F.col("r_doi"))
+    match = (F.col("l_author1") != "") & (F.col("l_author1") == F.col("r_author1"))
+    # The words of the review.
+    return (
+        F.when(unlike, "conflicting non-empty DOIs")
+        .when(~X.compatible_year(F.col("l_year"), F.col("r_year")), "publication years differ by more than one")
+        .when(match & (F.col("ratio") >= SAME_AUTHOR[0]) & (F.col("jaccard") >= SAME_AUTHOR[1]), "very high title similarity and matching first author")
+        .when(F.col("decision") == "MERGE", "near-identical titles with compatible author evidence")
+        .otherwise("similar but below conservative fuzzy-merge threshold")
+    )
+
+
 def choose(field: str, idx: str = "occ_idx", longest: bool = False) -> Column:
     """Aggregate: the surviving value of a field, '' where no member has one."""
     order = F.struct(F.length(field), priority(F.col("system")), F.negative(idx)) if longest else F.struct(priority(F.col("system")), F.length(field), F.negative(idx))
@@ -352,24 +444,76 @@ def strongest_status() -> Column:
     return F.coalesce(F.element_at(F.array(*map(F.lit, STATUSES)), F.min(rank) + 1), F.lit("NOT_IDENTIFIED"))
 
 
+def packed(column: str) -> Column:
+    """Aggregate: cleaned distinct values of a column, sorted; whole values, so one that holds several stays as it is."""
+    return F.array_join(F.array_sort(F.collect_set(F.nullif(X.clean_space(F.col(column)), F.lit("")))), " | ")
+
+
 def survivors(df: DataFrame, clusters: DataFrame, idx: str = "occ_idx") -> DataFrame:
-    """One row per cluster: its surviving fields, systems, queries and number of occurrences."""
-    packed = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(F.col(c) != "", F.col(c)))), " | ")
+    """One row per cluster: its surviving fields, places, systems, queries and number of occurrences; ``least`` is its first record."""
+    fields = [choose(f, idx).alias(o) for f, o in (("title", "title"), ("authors", "authors"), ("year", "year"), ("publication_date", "publication_date"), ("source_title", "source_title_or_issuer"), ("document_type", "document_type"), ("url", "url"), ("language", "language")) if f in df.columns]
+    sets = [packed(f).alias(o) for f, o in (("full_text_location", "full_text_locations"), ("system", "discovery_systems"), ("query_id", "query_ids"), ("family", "families"), ("source_record_id", "source_record_ids")) if f in df.columns]
     return df.join(clusters.select(idx, "cluster"), idx).groupBy("cluster").agg(
-        choose("title", idx).alias("title"), choose("authors", idx).alias("authors"), choose("year", idx).alias("year"), F.coalesce(F.max(F.nullif("doi", F.lit(""))), F.lit("")).alias("doi"),
-        choose("url", idx).alias("url"), choose("abstract_or_snippet", idx, longest=True).alias("abstract_or_snippet"), strongest_status().alias("full_text_status"),
-        packed("system").alias("discovery_systems"), packed("query_id").alias("query_ids"), F.count("*").alias("occurrence_count"),
+        *fields, F.coalesce(F.max(F.nullif("doi", F.lit(""))), F.lit("")).alias("doi"), choose("abstract_or_snippet", idx, longest=True).alias("abstract_or_snippet"),
+        strongest_status().alias("full_text_status"), *sets, F.count("*").alias("occurrence_count"), F.min(idx).alias("least"),
+        F.max(F.struct(priority(F.col("system")), F.length("title"), F.negative(idx), "norm_title", F.col("year").alias("best_year"), "canonical_url")).alias("best"),
     )
 
 
-def fuzzy_ratio(a: str, b: str) -> float:
-    return SequenceMatcher(None, a, b).ratio()
+def with_corpus_ids(rows: DataFrame, clusters: DataFrame, idx: str = "occ_idx") -> DataFrame:
+    """``rows`` of ``survivors`` with ``corpus_id``: of clusters with one key all but the first get a suffix from their members."""
+    key = X.corpus_id(F.col("doi"), F.col("best.norm_title"), F.col("best.best_year"), F.col("best.canonical_url"))
+    keyed = rows.withColumn("corpus_id", key)
+    first = keyed.groupBy("corpus_id").agg(F.min("least").alias("owner"), F.count("*").alias("n")).where("n > 1")
+    later = keyed.select("cluster", "corpus_id", "least").join(first, "corpus_id").where("least <> owner").select("cluster")
+    listed = clusters.select(idx, "cluster").join(later, "cluster").groupBy("cluster").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(idx)), lambda i: i.cast("string")), ", "), F.lit("]")).alias("listed"))
+    suffixed = keyed.join(listed, "cluster", "left")
+    return suffixed.withColumn("corpus_id", F.concat("corpus_id", F.coalesce(F.concat(F.lit("-"), F.upper(F.substring(F.sha1("listed"), 1, 4))), F.lit("")))).drop("listed", "best")
 
 
-def first_seen(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of every key; merged map-side, so a hot key is no hot task."""
-    return df.groupBy(key).agg(F.min_by(F.struct("*"), order).alias("r")).select("r.*")
+def fuzzy_ratio(a: str, b: str) -> float:
+    return SequenceMatcher(None, a, b).ratio()
 
 
-def anchors(df: DataFrame, key: str, idx: str) -> DataFrame:
-    return df.withColumn("anchor", F.first(idx).over(Window.partitionBy(key).orderBy(idx)))
+class Resolution:
+    """The four passes over finalised occurrences: what they join, refuse and review, each as a frame."""
+
+    def __init__(self, rows: DataFrame, idx: str = "occ_idx"):
+        scratch = Scratch(rows.sparkSession, "resolution")
+        self.scratch, self.idx = scratch, idx
+        self.rows = scratch.keep(rows)
+        self.exact = scratch.keep(exact_clusters(self.rows, idx))
+        self.unions = scratch.keep(url_unions(self.rows, self.exact, idx))
+        joined = self.unions.where("what = 'join'").select("cluster", "joined")
+        self.third = scratch.keep(self.exact.join(joined, "cluster", "left").select(idx, F.coalesce("joined", "cluster").alias("cluster"), F.col("cluster").alias("exact")))
+        self.reps = scratch.keep(representatives(self.rows, self.third, idx))
+        self.states = scratch.keep(similar_clusters(self.reps))
+        self.final = scratch.keep(after_similar(self.third, self.states, idx))
+
+    def edges(self) -> DataFrame:
+        """(a, b, reason) of every union."""
+        by_url = self.unions.where("what = 'edge'").select("a", "b", F.lit("CANONICAL_URL").alias("reason"))
+        by_title = self.states.where("edge_l is not null").select(F.col("edge_l").alias("a"), F.col("edge_r").alias("b"), F.lit("FUZZY_TITLE_AUTHOR").alias("reason"))
+        return exact_edges(self.rows, self.idx).unionByName(by_url).unionByName(by_title)
+
+    def conflicts(self) -> DataFrame:
+        """Every refusal: match_key, reason, DOIs and titles of both sides; distinct."""
+        return title_conflicts(self.rows, self.idx).unionByName(url_conflicts(self.rows, self.exact, self.unions, self.idx))
+
+    def reviews(self) -> DataFrame:
+        return reviews(self.reps, self.states)
+
+    def corpus(self) -> DataFrame:
+        """One row per cluster with id, survivors and basis, and ``least`` for the order of output."""
+        _, by_cluster = basis(self.edges(), self.final, self.idx)
+        return self._own(with_corpus_ids(survivors(self.rows, self.final, self.idx), self.final, self.idx).join(by_cluster, "cluster"))
+
+    def provenance(self) -> DataFrame:
+        """One row per occurrence: its cluster's corpus_id, where it comes from, and its own basis."""
+        by_row, _ = basis(self.edges(), self.final, self.idx)
+        ids = with_corpus_ids(survivors(self.rows, self.final, self.idx), self.final, self.idx).select("cluster", "corpus_id", "least")
+        return self._own(self.rows.join(self.final.select(self.idx, "cluster"), self.idx).join(ids, "cluster").join(by_row, self.idx))
+
+    def _own(self, df: DataFrame) -> DataFrame:
+        df._resolution = self
+        return df

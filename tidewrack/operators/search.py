@@ -2,19 +2,27 @@
 
 AND, OR, NOT, quoted phrases, a trailing ``*`` and ``NEAR/n``; ``+`` and ``|`` are
 AND and OR of the second dialect; words side by side are joined by AND. The
-``stemmed`` dialect knows no ``*`` and lets any word ending follow. Predicates are
-built-in expressions, so they run in the scan's stage.
+``stemmed`` dialect knows no ``*`` and lets any word ending follow; the web dialect
+has ``filetype:`` and a list of domains. Predicates are built-in expressions, so they
+run in the scan's stage. Words are runs of letters and digits of any script.
+
+The eight query families are groups of terms; ``family_query`` says one in any dialect.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewrack.functions.unicode import let
+
 _TOKEN = re.compile(r'\s*(?:(\(|\))|"([^"]*)"|NEAR/(\d+)|(\+|\||-(?=\S))|([^\s()"|+]+))')
+_W = r"[\p{L}\p{N}]"
+_N = r"[^\p{L}\p{N}]"
 
 
 @dataclass(frozen=True)
@@ -92,9 +100,10 @@ def parse(text: str) -> Query:
     return either()
 
 
-def _pattern(term: str, stemmed: bool) -> str:
+def _words(term: str, stemmed: bool) -> list[str]:
+    """A pattern for each word of a term."""
     words = re.findall(r"[^\W_]+\*?", term.lower())
-    return r"[^a-z0-9]+".join(re.escape(w.rstrip("*")) + (r"[a-z0-9]*" if stemmed or w.endswith("*") else "") for w in words)
+    return [re.escape(w.rstrip("*")) + (f"{_W}*" if stemmed or w.endswith("*") else "") for w in words]
 
 
 def terms(query: Query) -> list[str]:
@@ -107,8 +116,8 @@ def matches(query: Query | str, text: Column, stemmed: bool = False) -> Column:
     query = parse(query) if isinstance(query, str) else query
     low = F.lower(F.coalesce(text, F.lit("")))
     if query.op == "term":
-        pattern = _pattern(query.text, stemmed)
-        return low.rlike(rf"(^|[^a-z0-9]){pattern}($|[^a-z0-9])") if pattern else F.lit(True)
+        words = _words(query.text, stemmed)
+        return low.rlike(rf"(^|{_N}){f'{_N}+'.join(words)}($|{_N})") if words else F.lit(True)
     if query.op == "not":
         return ~matches(query.parts[0], text, stemmed)
     if query.op == "near":
@@ -121,12 +130,92 @@ def matches(query: Query | str, text: Column, stemmed: bool = False) -> Column:
 
 
 def near(query: Query, text: Column, stemmed: bool = False) -> Column:
-    """Whether a term of the one side stands within so many words of a term of the other."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " ")), " ")
-
-    def places(side: Query) -> Column:
-        first = [_pattern(t, stemmed).split(r"[^a-z0-9]+")[0] for t in terms(side)]
-        return F.filter(F.transform(words, lambda w, i: F.when(w.rlike("^(?:" + "|".join(first) + ")$"), i)), lambda i: i.isNotNull())
-
-    left, right = places(query.parts[0]), places(query.parts[1])
-    return F.exists(left, lambda i: F.exists(right, lambda j: F.abs(i - j) <= query.distance))
+    """Whether the one side stands within so many words of the other, counted between whole phrases.
+
+    An AND on a side asks for each of its parts near the other side, an OR for any of
+    them; a NOT asks that its part is not near what the other side matches.
+    """
+    left, right = query.parts
+    for side, other in ((left, right), (right, left)):
+        if side.op == "and":
+            out = F.lit(True)
+            for p in side.parts:
+                out = out & near(Query("near", (p, other), distance=query.distance), text, stemmed)
+            return out
+        if side.op == "not":
+            return matches(other, text, stemmed) & ~near(Query("near", (side.parts[0], other), distance=query.distance), text, stemmed)
+    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"{_N}+", " ")), " ")
+    return let(words, lambda w: let(_spans(left, w, stemmed), lambda a: let(_spans(right, w, stemmed), lambda b: F.exists(a, lambda i: F.exists(b, lambda j: _apart(i, j) <= query.distance)))))
+
+
+def _apart(i: Column, j: Column) -> Column:
+    """How many words on the one span begins after the other's end; nought or less where they overlap."""
+    return F.greatest(j["first"] - i["last"], i["first"] - j["last"])
+
+
+def _spans(side: Query, words: Column, stemmed: bool) -> Column:
+    """(first, last) places of what a side of NEAR matches: phrases, any of several, or a nested NEAR as a whole."""
+    if side.op == "term":
+        patterns = _words(side.text, stemmed)
+        n = len(patterns)
+        if not n:
+            return F.transform(words, lambda w, i: F.struct(i.alias("first"), i.alias("last")))
+        hit = lambda w, i: reduce(lambda x, y: x & y, [F.coalesce(F.get(words, i + k).rlike(f"^(?:{p})$"), F.lit(False)) for k, p in enumerate(patterns)])
+        return F.filter(F.transform(words, lambda w, i: F.when(hit(w, i), F.struct(i.alias("first"), (i + n - 1).alias("last")))), lambda s: s.isNotNull())
+    parts = [_spans(p, words, stemmed) for p in side.parts]
+    if side.op == "near":
+        both = lambda i, j: F.when(_apart(i, j) <= side.distance, F.struct(F.least(i["first"], j["first"]).alias("first"), F.greatest(i["last"], j["last"]).alias("last")))
+        return F.filter(F.flatten(F.transform(parts[0], lambda i: F.transform(parts[1], lambda j: both(i, j)))), lambda s: s.isNotNull())
+    if side.op == "or":
+        return F.concat(*parts)
+    raise ValueError(f"{side.op} inside a nested NEAR")
+
+
+def on_web(query: str, text: Column, url: Column, domains: tuple[str, ...] = (), stemmed: bool = False) -> Column:
+    """The web dialect: a boolean query with ``filetype:x`` (the address ends in it) and a list of domains (or their subdomains)."""
+    kinds = re.findall(r"(?i)\bfiletype:(\w+)", query)
+    found = matches(re.sub(r"(?i)\bfiletype:\w+", " ", query), text, stemmed)
+    path = F.lower(F.regexp_replace(F.coalesce(url, F.lit("")), "[?#].*$", ""))
+    for kind in kinds:
+        found = found & path.endswith("." + kind.lower())
+    if domains:
+        host = F.regexp_extract(path, r"^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:]+)", 1)
+        found = found & reduce(lambda x, y: x | y, [(host == d.lower()) | host.endswith("." + d.lower()) for d in domains])
+    return found
+
+
+# The groups of terms of the eight query families.
+CORAL = ("coral*", "octocoral*", "gorgonian*", "sea pen*", "pennatula*", "scleractinian*", "antipatharian*", "black coral*")
+SPONGE = ("Porifera", "poriferan*", "demosponge*", "hexactinellid*", "glass sponge*", "deep-sea sponge*", "deep sea sponge*", "cold-water sponge*", "cold water sponge*")
+FAMILIES = {
+    "SED_SUSPENDED": (CORAL + SPONGE, ("suspended sediment*", "suspended solid*", "suspended particle*", "turbidity", "resuspension", "particle concentration*", "sediment plume*")),
+    "SED_DEPOSITION": (CORAL + SPONGE, ("sediment deposition", "sediment accumulation", "sediment load*", "burial", "smother*", "sediment cover*", "sediment thickness", "deposition rate*")),
+    "SED_DRILLING": (CORAL + SPONGE, ("drill cutting*", "drilling mud*", "drilling fluid*", "drilling discharge*", "drilling waste*", "cuttings pile*", (("offshore drilling",), ("sediment*", "bentonite", "barite", "particulate*", "discharge*")))),
+    "SED_DREDGING": (CORAL + SPONGE, ("dredg*", "dredge plume*", "dredging plume*", "resuspension", "resuspended sediment*", "sediment plume*", "spoil disposal", "dredged material")),
+    "SED_TAILINGS": (CORAL + SPONGE, ("mine tailing*", "mining tailing*", "submarine tailing*", "deep-sea mining", "deep sea mining", "seafloor massive sulphide*", "seafloor massive sulfide*", "mining plume*", "marine disposal", "particulate waste*")),
+    "MECH_FEEDING_MUCUS_CORAL": (CORAL, ("sediment*", "turbidity", "suspended solid*", "suspended particle*", "burial", "smother*", "bentonite", "barite", "drill cutting*"), ("mucus", "mucous", "mucociliary", "sediment rejection", "sediment clearance", "particle rejection", "feeding", "food capture", "prey capture", "polyp activity", "tentacle activity")),
+    "MECH_FEEDING_PUMPING_SPONGE": (SPONGE, ("sediment*", "turbidity", "suspended solid*", "suspended particle*", "bentonite", "barite", "drill cutting*"), ("pumping", "filtration", "feeding current*", "food capture", "clogging", "particle clearance", "clearance rate*")),
+    "RESP_THRESHOLD_RECOVERY": (CORAL + SPONGE, ("suspended sediment*", "sediment deposition", "sediment accumulation", "sediment load*", "turbidity", "burial", "smother*", "drill cutting*", "drilling mud*", "drilling discharge*", "resuspended sediment*", "sediment plume*"), ("threshold*", "tolerance", "sensitiv*", "dose-response", "dose response", "exposure-response", "exposure response", "recovery", "mortality", "survival", "chronic exposure", "acute exposure")),
+}
+#: The family whose last two groups stand near each other, and how near.
+NEAR_FAMILY, NEAR_WORDS = "RESP_THRESHOLD_RECOVERY", 10
+
+
+def family_query(family: str, dialect: str = "wos") -> str:
+    """A family in a dialect: ``wos``, ``scholar`` (NEAR becomes AND), ``stemmed`` (no ``*``) or ``web``."""
+    and_, or_ = {"scholar": (" + ", " | "), "web": (" ", " OR ")}.get(dialect, (" AND ", " OR "))
+
+    def said(term) -> str:  # noqa: ANN001
+        if isinstance(term, tuple):
+            return "(" + and_.join(group(g) for g in term) + ")"
+        term = term.replace("*", "") if dialect == "stemmed" else term
+        return f'"{term}"' if re.search(r"[\s-]", term) else term
+
+    def group(ts: tuple) -> str:
+        return "(" + or_.join(said(t) for t in ts) + ")"
+
+    groups = [group(g) for g in FAMILIES[family]]
+    if family == NEAR_FAMILY and dialect == "wos":
+        groups[1:] = [f"({groups[1]} NEAR/{NEAR_WORDS} {groups[2]})"]
+    text = and_.join(groups)
+    return f"TS=({text})" if dialect == "wos" else text

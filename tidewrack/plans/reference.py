@@ -62,7 +62,7 @@ def extract_year_doi(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def canonical_url(spark: SparkSession, sf: str) -> DataFrame:
     u = F.col("url")
-    return table(spark, sf, "records", "occurrence_id", "url").select("occurrence_id", X.normalize_url(u).alias("corpus_form"), X.normalize_url(u, X.RECOVERY_TRACKING).alias("recovery_form"), X.bare_url(u).alias("bare_form"), X.strip_doi(u).alias("doi_form"))
+    return table(spark, sf, "records", "occurrence_id", "url").select("occurrence_id", X.normalize_url(u).alias("corpus_form"), X.recovery_url(u).alias("recovery_form"), X.bare_url(u).alias("bare_form"), X.strip_doi(u).alias("doi_form"))
 
 
 _DOMAIN = r"regexp_replace(lower(regexp_extract(coalesce(url,''),'^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)',1)),'^www\.','')"
@@ -93,60 +93,105 @@ def exact_title_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return m.groupBy("cl").agg(F.min("occurrence_id").alias("cluster_id"), F.count("*").alias("occurrences"), low.alias("b"), F.max("a").alias("longest_abstract")).select("cluster_id", "occurrences", F.col("b.t").alias("title"), "longest_abstract")
 
 
+OCCURRENCE = ("occurrence_id", "system", "query_id", "family", "source_file", "source_record_id", "title", "authors", "year", "publication_date", "source_title", "document_type", "doi", "url", "language", "abstract_or_snippet", "retrieved_date", "full_text_status", "full_text_location", "extra_identifiers")
+
+
 def _occurrences(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "records", "occurrence_id", "system", "query_id", "title", "authors", "year", "publication_date", "doi", "url", "abstract_or_snippet", "full_text_status")
+    rows = table(spark, sf, "records", *OCCURRENCE)
     return resolution.finalize(rows.withColumn("occ_idx", F.regexp_extract("occurrence_id", r"(\d+)", 1).cast("long")))
 
 
-def _keep(spark: SparkSession, df: DataFrame) -> DataFrame:
-    from tidewrack.session import Scratch
-
-    scratch = Scratch(spark, "plan")
-    kept = scratch.keep(df)
-    kept._scratch = scratch
-    return kept
+def _resolved(spark: SparkSession, sf: str) -> resolution.Resolution:
+    return resolution.Resolution(_occurrences(spark, sf))
 
 
 @query()
 def resolved_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """Clusters of the four passes, with survivors and the passes that joined them."""
-    rows = _keep(spark, _occurrences(spark, sf))
-    clusters = _three_passes(spark, rows)
-    reps = _keep(spark, resolution.representatives(rows, clusters))
-    states = _keep(spark, resolution.similar_clusters(reps))
-    final = _keep(spark, resolution.after_similar(clusters, states))
-    basis = resolution.basis(rows, final)
-    out = resolution.survivors(rows, final).join(basis, "cluster")
-    out._scratch = (rows, clusters, reps, states, final)
-    return out
+    """The corpus: one row per cluster of the four passes, with id, survivors and basis."""
+    return _resolved(spark, sf).corpus()
 
 
 @query()
-def identifier_conflicts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _occurrences(spark, sf)
-    return resolution.conflicts(rows.where(F.length("norm_title") >= 15), F.col("norm_title"))
+def provenance(spark: SparkSession, sf: str) -> DataFrame:
+    """Every occurrence under the corpus id of its cluster, with its own basis; ordered by (least, occ_idx) on output."""
+    found = _resolved(spark, sf).provenance()
+    own = {"system": "discovery_system", **{c: f"original_{c}" for c in ("title", "authors", "year", "doi", "url")}}
+    names = ("occurrence_id", "system", "query_id", "family", "source_file", "source_record_id", "title", "authors", "year", "doi", "url", "retrieved_date", "full_text_status", "full_text_location", "extra_identifiers")
+    out = found.select("corpus_id", *[F.col(c).alias(own.get(c, c)) for c in names], "deduplication_basis", "least", "occ_idx")
+    out._resolution = found
+    return out
 
 
-def _three_passes(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    exact = _keep(spark, resolution.exact_clusters(rows))
-    joined = resolution.url_clusters(rows, exact)
-    final = _keep(spark, exact.join(joined, "cluster", "left").select("occ_idx", F.coalesce("joined", "cluster").alias("cluster"), F.col("cluster").alias("exact")))
-    final._before = exact
-    return final
+@query()
+def identifier_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every refusal of all passes."""
+    return _resolved(spark, sf).conflicts()
 
 
 @query()
 def fuzzy_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Reviewed pairs of similar titles, between the representatives of the clusters as they stand when compared."""
-    rows = _keep(spark, _occurrences(spark, sf))
-    clusters = _three_passes(spark, rows)
-    reps = _keep(spark, resolution.representatives(rows, clusters))
-    states = _keep(spark, resolution.similar_clusters(reps))
-    out = resolution.reviews(reps, states).select("l_occ_idx", "r_occ_idx", F.round("jaccard", 4).alias("jaccard"), F.round("ratio", 4).alias("ratio"), "decision")
-    out._scratch = (rows, clusters, reps, states)
+    found = _resolved(spark, sf)
+    out = found.reviews().select("l_occ_idx", "r_occ_idx", F.round("jaccard", 4).alias("jaccard"), F.round("ratio", 4).alias("ratio"), "decision", "rationale")
+    out._resolution = found
+    return out
+
+
+@query()
+def corpus_qa(spark: SparkSession, sf: str) -> DataFrame:
+    """One row of counts and checks of the resolved corpus, as JSON."""
+    found = _resolved(spark, sf)
+    corpus, rows = found.corpus(), found.rows
+    filled = lambda c: F.count_if(F.col(c) != "")
+    c = corpus.agg(
+        F.count("*").alias("unique_candidate_records"), (F.count("*") - filled("title")).alias("missing_title_records"), (F.count("*") - filled("year")).alias("missing_year_records"), (F.count("*") - filled("doi")).alias("missing_doi_records"),
+        F.sum("occurrence_count").alias("occurrences"), (F.countDistinct("corpus_id") == F.count("*")).alias("corpus_ids_unique"), (F.countDistinct(F.nullif("doi", F.lit(""))) == filled("doi")).alias("doi_values_unique_across_corpus"),
+        F.coalesce(F.bool_and((F.col("full_text_status") == "NOT_IDENTIFIED") | (F.col("full_text_locations") != "")), F.lit(True)).alias("full_text_locations_present_when_identified"),
+    )
+    r = rows.agg(F.count("*").alias("input_occurrences_total"), F.max(F.nullif(F.col("retrieved_date"), F.lit(""))).alias("generated_date"), (F.countDistinct("occurrence_id") == F.count("*")).alias("occurrence_ids_unique"), F.coalesce(F.bool_and(X.clean_space(F.col("query_id")) != ""), F.lit(True)).alias("no_empty_query_ids"))
+    v = found.reviews().agg(F.count("*").alias("fuzzy_pairs_reviewed"), F.count_if(F.col("decision") == "MERGE").alias("fuzzy_pairs_merged"))
+    k = found.conflicts().agg(F.count("*").alias("identifier_conflicts_kept_separate"))
+    one = c.crossJoin(r).crossJoin(v).crossJoin(k)  # four rows of one
+    one = one.withColumn("duplicate_occurrences_collapsed", F.col("input_occurrences_total") - F.col("unique_candidate_records")).withColumn("occurrence_counts_reconcile", F.col("occurrences") == F.col("input_occurrences_total"))
+    out = export.qa_json(one.drop("occurrences"))
+    out._resolution = found
     return out
 
 
+_EXACT = f"""
+with r as (select cast(regexp_extract(occurrence_id,'(\\d+)',1) as bigint) i, occurrence_id, {_sql(_DOI, 'doi')} doi, coalesce(year,'') y, {_KEY} k, coalesce(title,'') t from records),
+d as (select *, case when doi<>'' then min(i) over (partition by doi) end df from r),
+l as (select *, first_value(y) over w ay, first_value(i) over w ai, first_value(doi) over w ad, first_value(t) over w att, count(*) over (partition by k) n from d where length(k)>=15 window w as (partition by k order by i rows between unbounded preceding and unbounded following)),
+m as (select * from l where n>1 and (ay='' or y='' or abs(try_cast(ay as int)-try_cast(y as int))<=1)),
+f as (select *, arg_min(doi,i) filter (doi<>'') over (partition by k) bd, arg_min(df,i) filter (doi<>'') over (partition by k) bf, count(*) over (partition by k) mn from m)"""
+
+
+def _exact_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "records", "occurrence_id", "title", "doi", "year")
+    return rows.select("occurrence_id", F.regexp_extract("occurrence_id", r"(\d+)", 1).cast("long").alias("occ_idx"), X.normalize_doi(F.col("doi")).alias("doi"), F.coalesce("year", F.lit("")).alias("year"), X.normalize_text(F.col("title")).alias("norm_title"), F.coalesce("title", F.lit("")).alias("title"))
+
+
+@query(f"""{_EXACT}, j as (select i, coalesce(bf, ai) c from f where doi='' and mn>1)
+select d.occurrence_id, coalesce(d.df, j.c, d.i) as cluster, case when d.df is not null then 'DOI' when j.c is not null then 'EXACT_TITLE_YEAR' else 'SINGLETON' end as reason from d left join j using (i)""")
+def exact_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """The DOI and exact-title passes over titles as plain text."""
+    rows = _exact_rows(spark, sf)
+    return resolution.exact_clusters(rows).join(rows.select("occ_idx", "occurrence_id"), "occ_idx").select("occurrence_id", "cluster", "reason")
+
+
+@query(f"""{_EXACT} select distinct k as match_key, 'EXACT_TITLE_YEAR' as reason, bd as left_dois, doi as right_dois, att as left_title, t as right_title from f where doi<>'' and doi<>bd""")
+def title_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Refusals of the exact-title pass over titles as plain text."""
+    return resolution.title_conflicts(_exact_rows(spark, sf))
+
+
+@query(f"""{_EXACT}, e as (select min(i) over (partition by doi) a, i b, 'DOI' reason from d where doi<>'' union all select ai, i, 'EXACT_TITLE_YEAR' from f where i<>ai and (doi='' or (ad='' and df is not null and i=(select min(g.i) from f g where g.k=f.k and g.doi<>''))))
+select reason, count(*) as unions, count(distinct a) as anchors, max(b) as last from e where a<>b group by 1""")
+def exact_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """The unions of the DOI and exact-title passes, per reason."""
+    return resolution.exact_edges(_exact_rows(spark, sf)).groupBy("reason").agg(F.count("*").alias("unions"), F.countDistinct("a").alias("anchors"), F.max("b").alias("last"))
+
+
 @query("""
 with s as (select loaded_at, occurrence_id, upper(trim(regexp_replace(coalesce(system,''),'\\s+',' ','g'))) s from records)
 select s as system_label, count(*) as occurrences, min(occurrence_id) as first_id, max(loaded_at) as last_loaded from s group by 1""")
@@ -357,7 +402,7 @@ def ris_export(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def ris_import(spark: SparkSession, sf: str) -> DataFrame:
     """The export read again: titles must come back."""
-    back = ris_export(spark, sf).select("calibration_record_id", "loaded_at", F.explode(files.parse_tagged("ris")).alias("tags"))
+    back = ris_export(spark, sf).select("calibration_record_id", "loaded_at", F.explode(files.parse_tagged(F.col("ris"))).alias("tags"))
     return back.select("calibration_record_id", "loaded_at", F.get(F.col("tags")["TI"], 0).alias("title"), F.size(F.coalesce(F.col("tags")["AU"], F.array())).alias("authors"))
 
 
