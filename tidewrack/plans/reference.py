@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewrack.functions import text as X
-from tidewrack.operators import export, graph, recovery, resolution, sampling, search
+from tidewrack.operators import calibration, export, graph, resolution, sampling, search
 from tidewrack.sources import files
 from tidewrack.session import table
 
@@ -206,41 +206,33 @@ def exploded_family_counts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "records", "occurrence_id", "family").select("occurrence_id", F.explode(X.split_pipe(F.col("family"))).alias("family")).groupBy("family").agg(F.count("*").alias("mentions"), F.countDistinct("occurrence_id").alias("records"))
 
 
-_ORG = r"\b(coral|corals|octocoral|gorgonian|sea pen|sea pens|pennatul|scleractin|lophelia|desmophyllum|madrepora|solenosmilia|sponge|sponges|porifera)\b"
-_STR = r"\b(sediment|sedimentation|suspended solids|turbidity|turbid|burial|buried|smother|dredg|drill cuttings|drilling mud|resuspension|resuspended|tailings|particle loading|sediment plume)\b"
-_TXT = r"regexp_replace(coalesce(title,'')||' '||coalesce(abstract_or_snippet,''),'[^\x00-\x7f]+',' ','g')"
+_TXT = "coalesce(title,'')||' '||coalesce(abstract_or_snippet,'')"
+_WHOLE = lambda w: rf"(?i)(?:^|[^\pL\pN_])(?:{w})(?:$|[^\pL\pN_])"
+_TIER = f"case when regexp_matches({_TXT},'{_WHOLE(calibration.ORGANISM)}') and regexp_matches({_TXT},'{_WHOLE(calibration.STRESSOR)}') then 'ORGANISM_AND_STRESSOR' when regexp_matches({_TXT},'{_WHOLE(calibration.ORGANISM)}') then 'ORGANISM_ONLY' when regexp_matches({_TXT},'{_WHOLE(calibration.STRESSOR)}') then 'STRESSOR_ONLY' else 'NEITHER_SIGNAL' end"
 
 
-@query(f"""
-select tier, count(*) as records from (select case when o and s then 'ORGANISM_AND_STRESSOR' when o then 'ORGANISM_ONLY' when s then 'STRESSOR_ONLY' else 'NEITHER_SIGNAL' end tier
-from (select regexp_matches({_TXT},'(?i){_ORG}') o, regexp_matches({_TXT},'(?i){_STR}') s from records)) group by 1""")
+@query(f"select {_TIER} as tier, count(*) as records from records group by 1")
 def signal_tier(spark: SparkSession, sf: str) -> DataFrame:
-    # Engines differ in what bounds a word beyond ASCII, so that is blanked here.
-    t = F.regexp_replace(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("abstract_or_snippet", F.lit(""))), r"[^\x00-\x7f]+", " ")
-    s = table(spark, sf, "records", "title", "abstract_or_snippet").select(t.rlike(f"(?i){_ORG}").alias("o"), t.rlike(f"(?i){_STR}").alias("s"))
-    tier = F.when(F.col("o") & F.col("s"), "ORGANISM_AND_STRESSOR").when(F.col("o"), "ORGANISM_ONLY").when(F.col("s"), "STRESSOR_ONLY").otherwise("NEITHER_SIGNAL")
-    return s.groupBy(tier.alias("tier")).agg(F.count("*").alias("records"))
+    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract_or_snippet", F.lit("")))
+    return table(spark, sf, "records", "title", "abstract_or_snippet").groupBy(calibration.signal_tier(text).alias("tier")).agg(F.count("*").alias("records"))
 
 
-_STRATUM = "case when contains(d,'Grey literature') then 'GREY_LITERATURE' when contains(d,'Web of Science') then 'WEB_OF_SCIENCE' when contains(d,'Citation chaining') then 'CITATION_CHAINING' when contains(d,'OpenAlex') and contains(d,'Semantic Scholar') then 'MULTI_SCHOLARLY' when contains(d,'OpenAlex') then 'OPENALEX' when contains(d,'Semantic Scholar') then 'SEMANTIC_SCHOLAR' else 'OTHER' end"
+_SYSTEMS = "list_transform(string_split(coalesce({0},''),'|'), lambda x: trim(x))"
+_STRATUM = "case when list_contains(d,'Grey literature') then 'GREY_LITERATURE' when list_contains(d,'Web of Science') then 'WEB_OF_SCIENCE' when list_contains(d,'Citation chaining') then 'CITATION_CHAINING' when list_contains(d,'OpenAlex') and list_contains(d,'Semantic Scholar') then 'MULTI_SCHOLARLY' when list_contains(d,'OpenAlex') then 'OPENALEX' when list_contains(d,'Semantic Scholar') then 'SEMANTIC_SCHOLAR' else 'OTHER' end"
 
 
-@query(f"select calibration_record_id, loaded_at, {_STRATUM} as stratum from (select calibration_record_id, loaded_at, coalesce(discovery_systems,'') d from benchmark_validation_blinded)")
+@query(f"select calibration_record_id, loaded_at, {_STRATUM} as stratum from (select calibration_record_id, loaded_at, {_SYSTEMS.format('discovery_systems')} d from benchmark_validation_blinded)")
 def source_stratum(spark: SparkSession, sf: str) -> DataFrame:
-    has = lambda s: F.coalesce("discovery_systems", F.lit("")).contains(s)
-    stratum = F.when(has("Grey literature"), "GREY_LITERATURE").when(has("Web of Science"), "WEB_OF_SCIENCE").when(has("Citation chaining"), "CITATION_CHAINING").when(has("OpenAlex") & has("Semantic Scholar"), "MULTI_SCHOLARLY").when(has("OpenAlex"), "OPENALEX").when(has("Semantic Scholar"), "SEMANTIC_SCHOLAR").otherwise("OTHER")
-    return table(spark, sf, "benchmark_validation_blinded", "calibration_record_id", "loaded_at", "discovery_systems").select("calibration_record_id", "loaded_at", stratum.alias("stratum"))
+    return table(spark, sf, "benchmark_validation_blinded", "calibration_record_id", "loaded_at", "discovery_systems").select("calibration_record_id", "loaded_at", calibration.system_stratum(F.col("discovery_systems")).alias("stratum"))
 
 
-_FAMILIES = ["SED_SUSPENDED", "SED_DEPOSITION", "SED_DRILLING", "SED_DREDGING", "SED_TAILINGS", "MECH_FEEDING_MUCUS_CORAL", "MECH_FEEDING_PUMPING_SPONGE", "RESP_THRESHOLD_RECOVERY"]
+_FAMILIES = calibration.FAMILY_ORDER
 _HELD = "list_filter(list_transform(string_split(coalesce(family,''),'|'), lambda x: trim(x)), lambda x: list_contains([" + ",".join(f"'{f}'" for f in _FAMILIES) + "], x))"
 
 
 @query(f"select occurrence_id, coalesce(list_min(list_transform({_HELD}, lambda x: sha256('{SEED}|family|'||occurrence_id||'|'||x)||x))[65:], 'OTHER') as primary_family from records")
 def primary_family(spark: SparkSession, sf: str) -> DataFrame:
-    held = F.array_intersect(X.split_pipe(F.col("family")), F.array(*map(F.lit, _FAMILIES)))
-    best = F.array_min(F.transform(held, lambda f: F.struct(F.sha2(F.concat_ws("|", F.lit(f"{SEED}|family"), "occurrence_id", f), 256).alias("h"), f.alias("f"))))["f"]
-    return table(spark, sf, "records", "occurrence_id", "family").select("occurrence_id", F.coalesce(best, F.lit("OTHER")).alias("primary_family"))
+    return table(spark, sf, "records", "occurrence_id", "family").select("occurrence_id", calibration.primary_family(F.col("family"), F.col("occurrence_id"), SEED).alias("primary_family"))
 
 
 @query(f"""
@@ -331,7 +323,7 @@ def first_seen_distinct(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events", "event_id", "ts", "user_id").groupBy("user_id").agg(F.min(F.struct("ts", "event_id")).alias("m")).select("user_id", "m.event_id", "m.ts")
 
 
-@query()
+@query(f"select doc_id, true as same, length({_sql(_CLEAN, 'text')}) as chars from documents")
 def inverted_index_rebuild(spark: SparkSession, sf: str) -> DataFrame:
     """Texts taken apart into word positions and put together again; ``same`` must hold."""
     rows = table(spark, sf, "documents", "doc_id", "text")
@@ -347,23 +339,23 @@ SEARCHES = {
     "stemmed": ('(sponge OR coral) AND ("fine tailing" OR clay)', True),
     "web": 'coral plume*',
 }
-_W = lambda p: f"regexp_matches(t,'(^|[^a-z0-9])(?:{p})($|[^a-z0-9])')"
+_W = lambda p: f"regexp_matches(t,'(^|[^\\pL\\pN])(?:{p})($|[^\\pL\\pN])')"
 
 
 @query(f"""
 with d as (select doc_id, lower(coalesce(text,'')) t from documents)
-select doc_id, ({_W('sea[^a-z0-9]+pen[a-z0-9]*')} or {_W('coral[a-z0-9]*')} or {_W('gorgonian[a-z0-9]*')}) and ({_W('sediment[a-z0-9]*')} or {_W('dredge[^a-z0-9]+spoil')} or {_W('tailings')}) as wos,
-({_W('sponge[a-z0-9]*')} or {_W('glass[^a-z0-9]+sponges')}) and ({_W('drill[a-z0-9]*')} or {_W('barite[^a-z0-9]+laden[^a-z0-9]+mud')}) as scholar,
-({_W('sponge[a-z0-9]*')} or {_W('coral[a-z0-9]*')}) and ({_W('fine[a-z0-9]*[^a-z0-9]+tailing[a-z0-9]*')} or {_W('clay[a-z0-9]*')}) as stemmed,
-{_W('coral')} and {_W('plume[a-z0-9]*')} as web from d""")
+select doc_id, ({_W('sea[^\\pL\\pN]+pen[\\pL\\pN]*')} or {_W('coral[\\pL\\pN]*')} or {_W('gorgonian[\\pL\\pN]*')}) and ({_W('sediment[\\pL\\pN]*')} or {_W('dredge[^\\pL\\pN]+spoil')} or {_W('tailings')}) as wos,
+({_W('sponge[\\pL\\pN]*')} or {_W('glass[^\\pL\\pN]+sponges')}) and ({_W('drill[\\pL\\pN]*')} or {_W('barite[^\\pL\\pN]+laden[^\\pL\\pN]+mud')}) as scholar,
+({_W('sponge[\\pL\\pN]*')} or {_W('coral[\\pL\\pN]*')}) and ({_W('fine[\\pL\\pN]*[^\\pL\\pN]+tailing[\\pL\\pN]*')} or {_W('clay[\\pL\\pN]*')}) as stemmed,
+{_W('coral')} and {_W('plume[\\pL\\pN]*')} as web from d""")
 def boolean_search(spark: SparkSession, sf: str) -> DataFrame:
     found = [(q if isinstance(q, tuple) else (q, False), n) for n, q in SEARCHES.items()]
     return table(spark, sf, "documents", "doc_id", "text").select("doc_id", *[search.matches(q, F.col("text"), stemmed).alias(n) for (q, stemmed), n in found])
 
 
 @query("""
-with w as (select doc_id, unnest(string_split(trim(regexp_replace(lower(coalesce(text,'')),'[^a-z0-9]+',' ','g')),' ')) w, generate_subscripts(string_split(trim(regexp_replace(lower(coalesce(text,'')),'[^a-z0-9]+',' ','g')),' '),1) i from documents),
-a as (select doc_id, i from w where w in ('recovery','recovered')), b as (select doc_id, i from w where regexp_full_match(w,'coral[a-z0-9]*'))
+with w as (select doc_id, unnest(string_split(trim(regexp_replace(lower(coalesce(text,'')),'[^\\pL\\pN]+',' ','g')),' ')) w, generate_subscripts(string_split(trim(regexp_replace(lower(coalesce(text,'')),'[^\\pL\\pN]+',' ','g')),' '),1) i from documents),
+a as (select doc_id, i from w where w in ('recovery','recovered')), b as (select doc_id, i from w where regexp_full_match(w,'coral[\\pL\\pN]*'))
 select distinct a.doc_id from a join b on a.doc_id=b.doc_id and abs(a.i-b.i)<=10""")
 def near_search(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents", "doc_id", "text").where(search.matches("(recovery OR recovered) NEAR/10 coral*", F.col("text"))).select("doc_id")
@@ -376,24 +368,16 @@ def qa_checks(spark: SparkSession, sf: str) -> DataFrame:
     return export.checks(rows, {"occurrences": F.count("*"), "unique_ids": F.countDistinct("occurrence_id") == F.count("*"), "all_loaded": F.bool_and(F.col("loaded_at").isNotNull()), "any_untitled": F.bool_or(F.col("title").isNull()), "urls": F.countDistinct(F.when(F.col("url") != "", F.col("url"))), "last_retrieved": F.max("retrieved_date")})
 
 
-_J = "sum(case when {0} then 1 else 0 end)"
-
-
-@query(f"""with c as (select {_J.format('t and f')} tp, {_J.format('not t and f')} fp, {_J.format('t and not f')} fn, {_J.format('not t and not f')} tn from (select n_chars>400 t, coalesce(length(text),0)>600 or coalesce(lang,'')='en' f from documents))
-select tp::bigint tp, fp::bigint fp, fn::bigint fn, tn::bigint tn, round(tp/(tp+fn),6) recall, round(tp/(tp+fp),6) "precision", round(tn/(tn+fp),6) specificity, round(tn/(tn+fn),6) npv, round((tp+tn)/(tp+fp+fn+tn),6) agreement from c""")
-def screening_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "documents", "n_chars", "text", "lang")
-    return export.agreement(rows, F.col("n_chars") > 400, (F.coalesce(F.length("text"), F.lit(0)) > 600) | (F.coalesce("lang", F.lit("")) == "en"))
-
+_RISCLEAN = lambda c: f"trim(regexp_replace(coalesce({c},''),'[\\s\\x{{00a0}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{1680}}\\x{{2028}}\\x{{2029}}\\x{{0085}}\\x{{001c}}-\\x{{001f}}]+',' ','g'))"
+_LINE = lambda t, c: f"case when {_RISCLEAN(c)}<>'' then '{t}  - '||{_RISCLEAN(c)} end"
+_LINES = lambda t, c: f"nullif(array_to_string(list_transform(list_filter(list_transform(string_split(coalesce({c},''),'|'), lambda x: {_RISCLEAN('x')}), lambda x: x<>''), lambda x: '{t}  - '||x), chr(13)||chr(10)),'')"
+_TYPE = "case " + " ".join(f"when {'contains(k,' + chr(39) + 'conference' + chr(39) + ') or ' if code == 'CPAPER' else ''}k in (" + ",".join(f"'{n}'" for n in names) + f") then '{code}'" for code, names in export.RIS_TYPES) + " else 'GEN' end"
 
-@query(r"""select occurrence_id, concat_ws(',', case when not regexp_full_match(coalesce(year,''),'(\d{4})?') then 'year' end, case when length(coalesce(title,''))>120 then 'title_length' end, case when coalesce(language,'') not in ('en','de','') then 'language' end) as broken from records""")
-def schema_violations(spark: SparkSession, sf: str) -> DataFrame:
-    rules = {"year": F.coalesce("year", F.lit("")).rlike(r"^(\d{4})?$"), "title_length": F.length(F.coalesce("title", F.lit(""))) <= 120, "language": F.coalesce("language", F.lit("")).isin("en", "de", "")}
-    return table(spark, sf, "records", "occurrence_id", "year", "title", "language").select("occurrence_id", F.array_join(export.violations(rules), ",").alias("broken"))
 
-
-@query()
+@query(f"""select calibration_record_id, loaded_at, concat_ws(chr(13)||chr(10), 'TY  - '||{_TYPE}, 'TI  - '||case when {_RISCLEAN('title')}<>'' then {_RISCLEAN('title')} else '[Untitled record '||coalesce(corpus_id,'')||']' end, {_LINES('AU', 'authors')}, {_LINE('PY', 'year::varchar')}, {_LINE('JO', 'source_title_or_issuer')}, {_LINE('DO', 'doi')}, {_LINE('UR', 'url')}, {_LINE('LA', 'language')}, {_LINE('AB', 'screening_text')}, {_LINES('KW', 'families')}, {_LINE('AN', 'corpus_id')}, 'DB  - calibration', 'N1  - '||{_RISCLEAN("'corpus_id='||coalesce(corpus_id,'')")}, 'N1  - '||{_RISCLEAN("'full_text_status='||coalesce(full_text_status,'')")}, 'ER  -') as ris
+from (select *, lower({_RISCLEAN('document_type')}) k from benchmark_validation_blinded)""")
 def ris_export(spark: SparkSession, sf: str) -> DataFrame:
+    """Every screening record as tagged text."""
     rows = table(spark, sf, "benchmark_validation_blinded", "corpus_id", "title", "authors", "year", "source_title_or_issuer", "document_type", "doi", "url", "language", "screening_text", "families", "full_text_status", "calibration_record_id", "loaded_at")
     fields = {"id": F.col("corpus_id"), "title": F.col("title"), "authors": F.col("authors"), "year": F.col("year"), "journal": F.col("source_title_or_issuer"), "document_type": F.col("document_type"), "doi": F.col("doi"), "url": F.col("url"), "language": F.col("language"), "abstract": F.col("screening_text"), "keywords": F.col("families"), "full_text_status": F.col("full_text_status")}
     return rows.select("calibration_record_id", "loaded_at", export.ris_text(fields, "calibration").alias("ris"))
@@ -416,18 +400,6 @@ def target_cross(spark: SparkSession, sf: str) -> DataFrame:
     return files.target_queries(targets, families).select("query_id", "target_id", "family", F.size(F.array_distinct("domains")).cast("bigint").alias("domains"))
 
 
-@query(f"""
-with k as (select distinct calibration_record_id known_id, nullif({_sql(_DOI, 'doi')},'') d, nullif({_KEY},'') t from benchmark_validation_blinded),
-c as (select occurrence_id corpus_id, nullif({_sql(_DOI, 'doi')},'') d, nullif({_KEY},'') t from records),
-e as (select known_id, corpus_id, 100 score, 'DOI' b from k join c using (d) union all select known_id, corpus_id, 90, 'TITLE' from k join c using (t))
-select known_id, corpus_id, max(score) as score, string_agg(distinct b, ' | ' order by b) as basis from e group by 1,2""")
-def benchmark_recovery(spark: SparkSession, sf: str) -> DataFrame:
-    key = lambda i: [F.col(i), X.normalize_doi(F.col("doi")).alias("doi"), X.normalize_text(F.col("title")).alias("norm_title")]
-    known = table(spark, sf, "benchmark_validation_blinded", "calibration_record_id", "doi", "title").select(*key("calibration_record_id")).withColumnRenamed("calibration_record_id", "known_id").distinct()
-    corpus = table(spark, sf, "records", "occurrence_id", "doi", "title").select(*key("occurrence_id"), F.lit("").alias("url")).withColumnRenamed("occurrence_id", "corpus_id")
-    return recovery.exact_evidence(known, corpus)
-
-
 @query("select doc_id, text is not null and contains(lower(text), 'tailings') as flag, concat_ws(',', case when contains(lower(coalesce(text,'')),'coral') then 'coral' end, case when contains(lower(coalesce(text,'')),'sponge') then 'sponge' end) as leaked from documents")
 def blinding_check(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")

@@ -1,40 +1,36 @@
-"""Saved result pages as a data source: ``spark.read.format("saved_pages")``.
+"""Saved result pages of the search services, read as JSON in parallel and checked.
 
-The network part of a search is not the engine's; pages that a client saved, one
-JSON object a file with ``count`` and ``results``, are read in parallel, one
-partition a file, and checked against the count they report.
+The network part of a search is not the engine's. A client saves one JSON object a
+file; pages of three kinds are read: offset pages (``meta.count`` or ``count``, and
+``results``), token pages (``total``, ``token`` and ``data``) and web results
+(``query_id`` and ``results``, ranked from 1).
 """
 
 from __future__ import annotations
 
-import glob
-import json
-from collections.abc import Iterator
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+_PAGE = "count bigint, total bigint, token string, query_id string, meta struct<count: bigint>, results array<string>, data array<string>"
 
 
-class SavedPages(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "saved_pages"
+def read_pages(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
+    """(page, ordinal, reported, token, query_id, result_rank, id, payload): one row per result; a page without any gives none."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("page"), F.from_json("value", _PAGE).alias("p"))
+    items = F.coalesce("p.results", "p.data", F.array().cast("array<string>"))
+    rows = whole.select("page", F.coalesce("p.count", "p.meta.count", "p.total").alias("reported"), "p.token", "p.query_id", F.posexplode(items).alias("ordinal", "payload"))
+    return rows.select("page", "ordinal", "reported", "token", "query_id", (F.col("ordinal") + 1).alias("result_rank"), F.get_json_object("payload", f"$.{key}").alias("id"), "payload")
 
-    def schema(self) -> str:
-        return "page string, ordinal int, reported long, id string, payload string"
 
-    def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
-        return _Reader(self.options["path"], self.options.get("id", "id"))
+def page_faults(pages: DataFrame) -> DataFrame:
+    """(rows, reported, repeated): one row if a search's pages do not hold what it reports, each id once; else none."""
+    seen = pages.agg(F.count("*").alias("rows"), F.max("reported").alias("reported"), (F.count("id") - F.countDistinct("id")).alias("repeated"))
+    return seen.where("repeated > 0 or (reported is not null and rows <> reported)")
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, path: str, key: str):
-        self.path, self.key = path, key
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in sorted(glob.glob(self.path))]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, encoding="utf-8") as file:
-            page = json.load(file)
-        for k, item in enumerate(page.get("results", [])):
-            yield partition.value, k, page.get("count"), str(item.get(self.key, "")), json.dumps(item, sort_keys=True)
+def checked(pages: DataFrame) -> DataFrame:
+    """``pages``, or an error where they are not the whole search."""
+    fault = page_faults(pages).first()
+    if fault:
+        raise ValueError(f"{fault.rows} rows of {fault.reported} reported, {fault.repeated} ids repeated")
+    return pages
