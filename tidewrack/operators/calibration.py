@@ -32,7 +32,7 @@ def signal_tier(text: Column) -> Column:
 
 def system_stratum(systems: Column) -> Column:
     """The stratum of a pipe list of systems."""
-    held = X.split_pipe(systems)
+    held = X.split_pipe(systems, squeeze=False)
     has = lambda s: F.array_contains(held, s)
     return (
         F.when(has("Grey literature"), "GREY_LITERATURE").when(has("Web of Science"), "WEB_OF_SCIENCE").when(has("Citation chaining"), "CITATION_CHAINING")
@@ -42,7 +42,7 @@ def system_stratum(systems: Column) -> Column:
 
 def primary_family(families: Column, key: Column, seed: str) -> Column:
     """The known family of a pipe list with the smallest hash, else OTHER."""
-    held = F.array_intersect(X.split_pipe(families), F.array(*map(F.lit, FAMILY_ORDER)))
+    held = F.array_intersect(X.split_pipe(families, squeeze=False), F.array(*map(F.lit, FAMILY_ORDER)))
     best = F.array_min(F.transform(held, lambda f: F.struct(F.sha2(F.concat_ws("|", F.lit(f"{seed}|family"), key, f), 256).alias("h"), f.alias("f"))))["f"]
     return F.coalesce(best, F.lit("OTHER"))
 
@@ -53,12 +53,12 @@ def prepare(rows: DataFrame, seed: str, key: str = "corpus_id") -> DataFrame:
     A missing document type is MISSING, a blank one empty.
     """
     empty = F.lit("")
-    text = F.regexp_replace(F.coalesce("abstract_or_snippet", empty), r"\A[\s  -     　 \u0085\u001c-\u001f]+|[\s  -     　 \u0085\u001c-\u001f]+\z", "")
+    text = X.strip(F.col("abstract_or_snippet"))
     kind = F.coalesce(F.nullif(F.col("document_type"), empty), F.lit("MISSING"))
     return rows.withColumns({
         "screening_text": F.substring(text, 1, TEXT_CHARS), "text_truncated": F.length(text) > TEXT_CHARS, "primary_family": primary_family(F.col("families"), F.col(key), seed), "system_stratum": system_stratum(F.col("discovery_systems")),
         "signal_tier": signal_tier(F.concat_ws(" ", F.coalesce("title", empty), F.coalesce("abstract_or_snippet", empty))), "metadata_stratum": F.when(text != "", "TITLE_ABSTRACT").otherwise("TITLE_ONLY"),
-        "full_text_bin": F.when(F.col("full_text_status") == "NOT_IDENTIFIED", "NOT_IDENTIFIED").otherwise("IDENTIFIED"), "document_type_stratum": F.substring(F.upper(F.trim(kind)), 1, 60),
+        "full_text_bin": F.when(F.col("full_text_status") == "NOT_IDENTIFIED", "NOT_IDENTIFIED").otherwise("IDENTIFIED"), "document_type_stratum": F.substring(F.upper(X.strip(kind)), 1, 60),
     })
 
 
@@ -84,7 +84,7 @@ def select(rows: DataFrame, seed: str, key: str = "corpus_id", size: int = SIZE,
     With calibration_record_id in stable order and split. The passes run over a pool of
     bounded size; each sees what those before it took.
     """
-    common = sampling.top_levels(rows.select(F.col("document_type_stratum").alias("level")), "level", COMMON_TYPES).select("level")
+    common = sampling.top_levels(rows.select(F.col("document_type_stratum").alias("level")), "level", COMMON_TYPES).select(F.col("level").alias("document_type_stratum"))
     # The order of every pass is settled by the pool, so the passes themselves are small.
     kept = _pool(rows, seed, key, size).select(key, *dict.fromkeys([f for f, _ in PASSES])).withColumn("taken", F.lit(False))
     from tidewrack.session import Scratch

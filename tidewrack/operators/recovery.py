@@ -26,9 +26,16 @@ def exact_evidence(known: DataFrame, corpus: DataFrame) -> DataFrame:
     """
     kinds = [("DOI", "doi", "doi"), ("CANONICAL_URL", "url", "url"), ("EXACT_TITLE", "norm_title", "norm_title"), ("RESOLVED_ALIAS_DOI", "alias_doi", "doi"), ("RESOLVED_ALIAS_TITLE", "alias_title", "norm_title")]
     values = lambda df, c: F.col(c) if dict(df.dtypes)[c].startswith("array") else F.array(c)
-    side = F.flatten(F.array(*[F.transform(values(known, a), lambda v, k=k, c=c: F.struct(F.lit(k).alias("basis"), F.lit(SCORES[k]).alias("score"), F.lit(c).alias("field"), v.alias("value"))) for k, a, c in kinds if a in known.columns]))
+
+    def evidence(basis: str, column: str, field: str) -> Column:
+        return F.transform(values(known, column), lambda v: F.struct(F.lit(basis).alias("basis"), F.lit(SCORES[basis]).alias("score"), F.lit(field).alias("field"), v.alias("value")))
+
+    def held_in(field: str) -> Column:
+        return F.transform(values(corpus, field), lambda v: F.struct(F.lit(field).alias("field"), v.alias("value")))
+
+    side = F.flatten(F.array(*[evidence(k, a, c) for k, a, c in kinds if a in known.columns]))
     asked = known.select("known_id", F.explode(side).alias("e")).select("known_id", "e.*").where("value <> ''")
-    own = F.flatten(F.array(*[F.transform(values(corpus, c), lambda v, c=c: F.struct(F.lit(c).alias("field"), v.alias("value"))) for c in ("doi", "url", "norm_title")]))
+    own = F.flatten(F.array(*[held_in(c) for c in ("doi", "url", "norm_title")]))
     held = corpus.select("corpus_id", F.explode(own).alias("h")).select("corpus_id", "h.*").where("value <> ''")
     return held.join(asked, ["field", "value"]).groupBy("known_id", "corpus_id").agg(F.max("score").alias("score"), F.array_join(F.array_sort(F.collect_set("basis")), " | ").alias("basis"))
 
