@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tidewrack.functions import text as X
 from tidewrack.operators import export, graph, recovery, resolution, sampling, search
-from tidewrack.plans import reference
+from tidewrack.plans import pipeline, reference  # noqa: F401  pipeline registers its queries
 from tidewrack.sources import files
 
 SQL = sorted(reference.SQL)
@@ -23,7 +23,7 @@ def plain(rows, columns):
 def test_sql_agrees(spark, data, name):
     db = duckdb.connect()
     db.execute("set timezone='UTC'")
-    for t in ("records", "documents", "benchmark_validation_blinded", "grey_institutional_targets", "lineitem", "part", "orders", "events"):
+    for t in ("records", "documents", "benchmark_validation_blinded", "grey_institutional_targets", "lineitem", "part", "orders", "events", "ss_mech_feeding_pumping_sponge_01", "mix_targets"):
         db.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
     want = db.execute(reference.SQL[name]).df()
     got = reference.QUERIES[name](spark, data)
@@ -51,6 +51,14 @@ def test_identifiers(spark):
     assert one(spark, X.url_domain, "https://www.A.example:8080/x") == "a.example:8080"
     assert one(spark, X.first_author, "de Roe, Ann | Doe B") == "de roe"
     assert one(spark, X.normalize_year, "in 1999 or 2001") == "1999"
+    assert one(spark, X.recovery_url, "https://doi.org/none//?utm_source=x&b=1#c") == "https://doi.org/none?b=1"
+    assert one(spark, X.normalize_url, "https://doi.org/none//?utm_source=x") == "https://doi.org/none//?utm_source=x"
+    assert one(spark, X.recovery_url, "a.example//b/?ref=1") == "a.example/b" and one(spark, X.normalize_url, "a.example//b/?ref=1/") == "a.example//b/?ref=1"
+    assert one(spark, X.bare_url, "HTTPS://A.Example/B//C/?q#f") == "https://a.example/B//C"
+    assert one(spark, X.normalize_doi, "10.1000%2Fa%zz") == "10.1000/a"
+    assert one(spark, X.doi_from_url, "https://x.example/10.1000%252Fab") == "10.1000/ab"
+    assert one(spark, X.short_id, "https://x.example/W12/") == "W12" and one(spark, X.first_words, " a  b c ", n=2) == "a b"
+    assert one(spark, X.work_ids, "W2 | x/W1 W2") == ["W1", "W2"]
     assert one(spark, X.cited_title, "Roe, A. (2010). Fine silt: a study. J Reef 2.") == "Fine silt: a study"
     assert one(spark, X.clean_space, None) == ""
 
@@ -120,13 +128,97 @@ def test_sampling_against_the_sequential_loop(spark):
     assert got == set(taken)
 
 
+def test_near_counts_between_whole_phrases(spark):
+    found = lambda q, t: one(spark, lambda: search.matches(q, F.lit(t)))
+    assert not found('"sea pen*" NEAR/10 recovery', "the sea was calm during recovery")
+    assert found('"sea pen*" NEAR/3 recovery', "sea pens made a recovery") and not found('"sea pen*" NEAR/2 recovery', "sea pens made a recovery")
+    assert not found("(coral AND tailings) NEAR/10 recovery", "recovery of coral") and found("(coral AND tailings) NEAR/10 recovery", "recovery of coral from tailings")
+    assert found("(coral OR tailings) NEAR/1 recovery", "recovery, tailings") and not found("(coral NOT tailings) NEAR/9 recovery", "coral recovery tailings")
+    assert found("(a NEAR/2 b) NEAR/1 c", "a x b c") and not found("(a NEAR/1 b) NEAR/1 c", "a x b c")
+    assert found("Überschüttung* NEAR/2 korallen", "Überschüttungen von Korallen") and not found("ber", "über")
+
+
+def test_web_dialect(spark):
+    on = lambda q, u, *d: one(spark, lambda: search.on_web(q, F.lit("coral plumes"), F.lit(u), d))
+    assert on("coral filetype:pdf", "https://a.example/x.PDF?y") and not on("coral filetype:pdf", "https://a.example/x")
+    assert on("coral", "https://b.a.example:80/x", "a.example") and not on("coral", "https://ba.example/x", "a.example")
+    for family in search.FAMILIES:
+        for dialect in ("wos", "scholar", "stemmed", "web"):
+            assert search.terms(search.parse(search.family_query(family, dialect)))
+
+
 def test_recovery(spark):
-    known = spark.createDataFrame([("b1", "10.1/x", "", "fine silt"), ("b2", "", "", "no such thing")], "known_id string, doi string, url string, norm_title string")
-    corpus = spark.createDataFrame([("c1", "10.1/x", "", "other"), ("c2", "", "", "fine silt"), ("c3", "10.1/x", "", "fine silt")], "corpus_id string, doi string, url string, norm_title string")
-    best = recovery.best_match(recovery.exact_evidence(known, corpus)).collect()
-    assert [(r.known_id, r.corpus_id, r.score, r.basis) for r in best] == [("b1", "c1", 100, "DOI")]
-    near = {r.known_id: (r.corpus_id, r.similarity) for r in recovery.nearest_title(known, corpus, ratio=True).collect()}
-    assert near == {"b1": ("c2", 1.0)}
+    known = spark.createDataFrame([("b1", "10.1/x", "", "fine silt", ""), ("b2", "", "", "no such thing", ""), ("b3", "", "", "", "old name"), ("b4", "", "u1", "", "")], "known_id string, doi string, url string, norm_title string, alias_title string")
+    corpus = spark.createDataFrame([("c1", "10.1/x", ["u9"], "other", "q1"), ("c2", "", ["u0", "u1"], "fine silt", "q1 | q2"), ("c3", "10.1/x", [], "fine silt", ""), ("c4", "", [], "old name", "fix")], "corpus_id string, doi string, url array<string>, norm_title string, query_ids string")
+    best = {r.known_id: (r.corpus_id, r.score, r.basis) for r in recovery.best_match(recovery.exact_evidence(known, corpus)).collect()}
+    assert best == {"b1": ("c1", 100, "DOI"), "b3": ("c4", 80, "RESOLVED_ALIAS_TITLE"), "b4": ("c2", 95, "CANONICAL_URL")}
+    status = recovery.recovery_status(known, corpus, {"b3": {"fix"}})
+    assert {r.known_id: (r.recovery_status, r.independently_recovered) for r in status.collect()} == {"b1": ("RECOVERED", True), "b2": ("NOT_RECOVERED", False), "b3": ("RECOVERED_AFTER_REMEDIATION", False), "b4": ("RECOVERED", True)}
+    kinds = known.select("known_id", F.lit("CORE").alias("kind"))
+    told = recovery.diagnostics(status, recovery.nearest_title(known, corpus), kinds, "CORE").collect()
+    near = max(("other", "fine silt", "old name"), key=lambda t: difflib.SequenceMatcher(None, "no such thing", t).ratio())
+    assert [(r.known_id, r.closest_corpus_id) for r in told] == [("b2", {"other": "c1", "fine silt": "c2", "old name": "c4"}[near])]
+    assert recovery.recovery_counts(status, kinds).first().accounted == 3
+
+
+def test_nearest_title_is_the_nearest(spark, monkeypatch):
+    rng = random.Random(8)
+    title = lambda: " ".join("".join(rng.choice("abcdeo") for _ in range(rng.randrange(2, 8))) for _ in range(rng.randrange(1, 6)))
+    asked = [("k0", "sedimentations upon octocorals"), *((f"k{i}", title()) for i in range(1, 12))]
+    held = [("c0", "upon reading"), ("c1", "sedimentation on octocoral"), *((f"c{i:03d}", title()) for i in range(2, 150)), ("c999", "")]
+    known, corpus = (spark.createDataFrame(r, f"{n} string, norm_title string") for r, n in ((asked, "known_id"), (held, "corpus_id")))
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    want = {k: min((-ratio(t, u), c) for c, u in held if u and ratio(t, u)) for k, t in asked}
+    for block in (10_000, 3):
+        monkeypatch.setattr(recovery, "KNOWN_BLOCK", block)
+        got = {r.known_id: (-r.similarity, r.corpus_id) for r in recovery.nearest_title(known, corpus).collect()}
+        assert got == want
+    assert want["k0"][1] == "c1"
+    assert recovery.nearest_title(known.limit(0), corpus).count() == 0 and recovery.nearest_title(known, corpus.limit(0)).count() == 0
+
+
+def test_best_line(spark):
+    pages = spark.createDataFrame([(1, "# Menu\n\n## *Fine silt* on reefs\nother", "https://x.usgs.example/a"), (2, None, None), (3, "fine", "https://b.example/")], "page_id int, content string, url string")
+    rows = {r.page_id: (r.line, r.validated) for r in recovery.best_line(pages, "fine silt", "usgs.example").collect()}
+    assert rows == {1: ("Fine silt  on reefs", True), 3: ("fine", False)}
+
+
+def test_calibration_against_the_sequential_loop(spark):
+    import hashlib
+
+    from tidewrack.operators import calibration
+
+    rng = random.Random(5)
+    rows = [(f"c{i:04d}", rng.choice(["OpenAlex", "OpenAlex | Semantic Scholar", "Grey literature", " Web of Science"]), rng.choice([*calibration.FAMILY_ORDER[:3], "x", ""]), rng.choice(["corals", "sediment", "coral burial", ""]), rng.choice(["", "text " * rng.randrange(1, 300)]), rng.choice(["NOT_IDENTIFIED", "ARCHIVED"]), rng.choice(["article", "book", None, " "])) for i in range(700)]
+    df = calibration.prepare(spark.createDataFrame(rows, "corpus_id string, discovery_systems string, families string, title string, abstract_or_snippet string, full_text_status string, document_type string"), "S")
+    fields = [r.asDict() for r in df.collect()]
+    digest = lambda *p: hashlib.sha256("|".join(p).encode()).hexdigest()
+    taken = {}
+    kinds = {}
+    for r in fields:
+        kinds[r["document_type_stratum"]] = kinds.get(r["document_type_stratum"], 0) + 1
+    common = sorted(kinds, key=lambda k: (-kinds[k], k))[:12]
+    for field, minimum in calibration.PASSES:
+        allowed = calibration.FAMILY_ORDER if field == "primary_family" else common if field == "document_type_stratum" else {r[field] for r in fields}
+        for level in sorted(allowed):
+            have = sum(r[field] == level for r in taken.values())
+            for r in sorted((r for r in fields if r[field] == level), key=lambda r: digest("S", "ensure", field, level, r["corpus_id"])):
+                if have < minimum and r["corpus_id"] not in taken:
+                    taken[r["corpus_id"]], have = r, have + 1
+    lines = {}
+    for r in fields:
+        lines.setdefault("|".join(r[f] for f in calibration.BUCKET), []).append(r)
+    lines = {k: sorted((r for r in v if r["corpus_id"] not in taken), key=lambda r: digest("S", "bucket", k, r["corpus_id"])) for k, v in lines.items()}
+    while len(taken) < 400:
+        for k in sorted(lines, key=lambda k: digest("S", k)):
+            if lines[k] and len(taken) < 400:
+                r = lines[k].pop(0)
+                taken[r["corpus_id"]] = r
+    got = calibration.select(df, "S").collect()
+    assert {r.corpus_id for r in got} == set(taken) and len(got) == 400
+    order = sorted(taken, key=lambda i: digest("S", "final-sample", i))
+    assert {r.corpus_id: r.calibration_record_id for r in got} == {c: f"CAL-{i:04d}" for i, c in enumerate(order, 1)}
+    assert sum(r.split == "VALIDATION" for r in got) == 100 and all(len(r.screening_text) <= 1200 and r.text_truncated == (len((r.abstract_or_snippet or "").strip()) > 1200) for r in got)
 
 
 def test_tagged_files(spark, tmp_path):
@@ -152,14 +244,115 @@ def test_export(spark):
 
 
 def test_streams(spark, tmp_path):
-    from tidewrack.streaming.upserts import stream_upsert
-
-    spark.createDataFrame([("a", 1, 1), ("b", 1, 1), ("a", 2, 2)], "query_id string, v int, loaded_at int").write.parquet(str(tmp_path / "in"))
-    run = lambda: stream_upsert(spark.readStream.schema("query_id string, v int, loaded_at int").parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    from tidewrack.streaming import upserts
+
+    schema = "query_id string, v int, loaded_at int"
+    add = lambda *rows: spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run = lambda: upserts.stream_upsert(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    held = lambda: {r.query_id: r.v for r in upserts.current_table(spark, str(tmp_path / "out")).collect()}
+    with pytest.raises(ValueError):
+        held()
+    add(("a", 1, 1), ("b", 1, 4), ("a", 2, 2), (None, 9, 9))
+    run()
+    assert held() == {"a": 2, "b": 1}
+    add(("b", 5, 3), ("c", 1, None))
     run()
-    spark.createDataFrame([("b", 5, 3)], "query_id string, v int, loaded_at int").write.mode("append").parquet(str(tmp_path / "in"))
+    assert held() == {"a": 2, "b": 1, "c": 1}  # the late row is older than the stored one
+    point = upserts._point
+    upserts._point = lambda *a: 1 / 0
+    try:
+        add(("a", 7, 7))
+        with pytest.raises(Exception):
+            run()
+        assert held() == {"a": 2, "b": 1, "c": 1}  # the batch was lost, the table was not
+    finally:
+        upserts._point = point
     run()
-    assert {r.query_id: r.v for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a": 2, "b": 5}
+    assert held() == {"a": 7, "b": 1, "c": 1}
+
+
+def test_pages(spark, tmp_path):
+    import json
+
+    from tidewrack.sources import pages
+
+    put = lambda name, page: (tmp_path / name).write_text(json.dumps(page))
+    put("a1.json", {"meta": {"count": 3}, "results": [{"id": "W1", "title": "x"}, {"id": "W2"}]})
+    put("a2.json", {"meta": {"count": 3}, "results": [{"id": "W3"}]})
+    put("a3.json", {"meta": {"count": 3}, "results": []})
+    got = pages.checked(pages.read_pages(spark, str(tmp_path / "a*.json")))
+    assert sorted((r.id, r.result_rank) for r in got.collect()) == [("W1", 1), ("W2", 2), ("W3", 1)]
+    put("a4.json", {"meta": {"count": 3}, "results": [{"id": "W3"}]})
+    with pytest.raises(ValueError, match="1 ids repeated"):
+        pages.checked(pages.read_pages(spark, str(tmp_path / "a*.json")))
+    put("s1.json", {"total": 1, "token": "t", "data": [{"paperId": "p"}]})
+    assert tuple(pages.read_pages(spark, str(tmp_path / "s*.json"), "paperId").select("id", "token", "reported").first()) == ("p", "t", 1)
+
+
+def test_flatteners(spark):
+    import json
+
+    read = lambda schema, *rows: spark.createDataFrame([(json.dumps(r),) for r in rows], "v string").select(F.from_json("v", schema).alias("w")).select("w.*")
+    work = {"id": "https://x.example/W1", "doi": None, "title": "T", "publication_year": 2001, "authorships": [{"author": {"id": "A1", "display_name": "Roe"}}, {"author": {"id": None, "display_name": None}}, {"author": None}], "primary_location": {"landing_page_url": "", "source": {"display_name": "J"}}, "open_access": {"is_oa": True}, "abstract_inverted_index": {"silt": [1], "Fine": [0, 2]}, "topics": [{"display_name": "a"}, {"display_name": None}], "referenced_works": ["https://x.example/W2"]}
+    row = files.flatten_work(read(files.WORK, work, {"id": "W9"})).orderBy("openalex_id").collect()
+    assert (row[1].authors, row[1].author_openalex_ids, row[1].topics, row[1].abstract, row[1].cited_by_count, row[1].is_oa) == ("Roe |  | ", "A1 |  | ", "a | ", "Fine silt Fine", 0, "true")
+    assert (row[0].title, row[0].publication_year, row[0].abstract, row[0].referenced_works) == ("", "", "", "") and len(row[0]) == 20
+    chained = files.chained_work(read(files.WORK, work)).first()
+    assert (chained.work_id, chained.authors, chained.landing_page_url, chained.referenced_works) == ("W1", "Roe", "https://x.example/W1", ["W2"])
+    paper = {"paperId": "p", "externalIds": {"DOI": "10.1/x"}, "authors": [{"name": "Roe"}, {}], "publicationTypes": ["Review", "JournalArticle"], "openAccessPdf": None, "s2FieldsOfStudy": [{"category": "Biology"}], "isOpenAccess": False}
+    flat = files.flatten_paper(read(files.PAPER, paper)).first()
+    assert (flat.doi, flat.authors, flat.publication_types, flat.open_access_pdf_url, flat.s2_fields_of_study, flat.is_open_access) == ("10.1/x", "Roe; ", "Review; JournalArticle", "", "Biology", "false") and len(flat) == 20
+
+
+def test_six_sources(spark):
+    make = lambda **c: spark.createDataFrame([tuple(c.values())], ", ".join(f"{k} string" for k in c))
+    got = {s: files.records_of(s, r, a).first() for s, r, a in (
+        ("Web of Science", make(query_id="q", doi="10.1000/x", url="", source_record_id="WOS:1", title="t"), None),
+        ("OpenAlex", make(openalex_id="W1", doi="d", landing_page_url="", is_oa="True", retrieved_at_utc="2026-08-13T01", primary_source_openalex_id="S1", publication_year="2001"), None),
+        ("Semantic Scholar", make(paper_id="p", corpus_id="", arxiv_id="a", pubmed_id="", open_access_pdf_url="u.pdf", venue="v"), None),
+        ("Citation chaining", make(query_ids="OA_CHAIN_G1_X", work_id="W2", parent_work_ids="W1", parent_corpus_ids="", full_text_status="OPEN_ACCESS_PDF"), None),
+        ("Benchmark remediation", make(url="u", benchmark_id="B5", remediation_basis="EXACT_URL", date_searched="d"), None),
+        ("Grey literature", make(url="https://a.example/x/", answer_full_document_guess="no", answer_publication_year="", published_date="2003", answer_issuing_organization="o", answer_document_type="t", answer_language="en", content="c", date_searched="d", target_id="T"), make(url="https://a.example/x", location="documents/f")),
+    )}
+    assert got["Web of Science"].url == "https://doi.org/10.1000/x" and got["Web of Science"].full_text_status == "NOT_IDENTIFIED"
+    assert (got["OpenAlex"].url, got["OpenAlex"].full_text_status, got["OpenAlex"].extra_identifiers, got["OpenAlex"].retrieved_date) == ("d", "OPEN_ACCESS_LANDING_PAGE", "W1 | S1", "2026-08-13")
+    assert (got["Semantic Scholar"].full_text_status, got["Semantic Scholar"].extra_identifiers) == ("OPEN_ACCESS_PDF", "p | a")
+    assert (got["Citation chaining"].full_text_status, got["Citation chaining"].extra_identifiers) == ("OPEN_ACCESS_PDF", "W2 | W1")
+    assert got["Benchmark remediation"].extra_identifiers == "B5 | EXACT_URL | INITIAL_INDEPENDENT_RECOVERY_FALSE"
+    assert (got["Grey literature"].full_text_status, got["Grey literature"].full_text_location, got["Grey literature"].year) == ("ARCHIVED", "documents/f", "2003")
+    assert len({tuple(r.__fields__) for r in got.values()}) == 1 and [got[s].source_rank for s in files.SYSTEMS] == list(range(6))
+    by_url, by_query = files.document_manifest(spark.createDataFrame([("f1", "https://a.example/x/", "q1 | q2"), ("f2", "https://a.example/x", "q2")], "filename string, source_url string, discovery_query_ids string"))
+    assert [tuple(r) for r in by_url.collect()] == [("https://a.example/x", "documents/f2")]
+    assert {r.query_id: r.locations for r in by_query.collect()} == {"q1": ["documents/f1"], "q2": ["documents/f1", "documents/f2"]}
+
+
+def test_tables_on_disk(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 'x "q"\ny'), ("b", None)], "k string, v string")
+    files.write_table(rows, str(tmp_path / "csv"), single=True)
+    assert {tuple(r) for r in files.read_table(spark, str(tmp_path / "csv")).collect()} == {("a", 'x "q"\ny'), ("b", "")}
+    for n in (1, 2):
+        files.replace_table(spark.range(n), str(tmp_path / "t"))
+        assert spark.read.parquet(str(tmp_path / "t")).count() == n
+    built = []
+    seeds = spark.createDataFrame([("W1",), ("W2",)], "work_id string")
+    make = lambda: built.append(1) or spark.range(3)
+    for s in (seeds, seeds.orderBy(F.desc("work_id")), seeds.limit(1)):
+        assert files.seeded_edges(s, str(tmp_path / "e"), make).count() == 3
+    assert len(built) == 2
+    files.drop_edges(spark, str(tmp_path / "e"))
+    assert not (tmp_path / "e").exists()
+    (tmp_path / "f.bin").write_bytes(b"x")
+    assert files.file_digests(spark, str(tmp_path / "f.bin")).first().length == 1
+
+
+def test_no_shared_folder_is_an_error_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tidewrack.session import shared_folder
+
+    conf = SimpleNamespace(getConf=lambda: SimpleNamespace(get=lambda k: None), master="spark://a:7077", applicationId="x")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(sparkContext=conf))
 
 
 def test_similar_pairs_lose_no_mergeable_pair(spark):

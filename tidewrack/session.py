@@ -43,11 +43,14 @@ _own: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset, as in local tests, a temporary folder is made.
+    Only where that is unset and the master is local, as in tests, a temporary folder
+    is made; on a cluster without the setting there is none that all share, an error.
     """
     conf = spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError(f"{CHECKPOINT_KEY} is not set: a cluster needs a folder that all its executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="tidewrack-")
