@@ -100,4 +100,5 @@ QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_votes": p3_votes, "p4
 _STEP, _SHIFT = (int.from_bytes(SEED.encode()[:3], "big") | 1) % BUCKETS, len(SEED) * 7919
 _KEYS = """select distinct calibration_record_id, coalesce('C:' || nullif(regexp_replace(upper(coalesce(corpus_id, '')), '[^A-Z0-9]', '', 'g'), ''), 'R:' || nullif(regexp_replace(upper(coalesce(calibration_record_id, '')), '[^A-Z0-9]', '', 'g'), '')) as sample_key from benchmark_validation_blinded"""
 _PLACED = f"select *, ('0x' || sha256('{SEED}|' || sample_key)[1:4])::int as sample_bucket, (('0x' || sha256('{SEED}|' || sample_key)[1:4])::bigint * {_STEP} + {_SHIFT}) % {BUCKETS} as sample_place from ({_KEYS}) where sample_key is not null"
-SQL: dict[str, str] = {"p4_sample": f"select sample_key, calibration_record_id, sample_bucket, sample_place from ({_PLACED}) where sample_place < {round(BUCKETS * SHARE)}"}
+_NESTED = ", ".join(f"count_if(sample_place < {round(BUCKETS * s)})::bigint as in_{round(100 * s)}_percent" for s in (0.01, 0.05, 0.1, 0.2, 0.5, 1.0))
+SQL: dict[str, str] = {"p4_nested": f"select {_NESTED} from (select distinct sample_key, sample_place from ({_PLACED}))", "p4_sample": f"select sample_key, calibration_record_id, sample_bucket, sample_place from ({_PLACED}) where sample_place < {round(BUCKETS * SHARE)}"}
