@@ -76,9 +76,9 @@ def source_label(x: Column) -> Column:
 
 
 def text_form(text: Column) -> Column:
-    """A text without case, blanks and marks, its host names masked: what one page says on every site."""
-    hostless = F.regexp_replace(F.lower(text), r"[\p{L}\p{N}-]+(?:\.[\p{L}-]{2,})+", "@")
-    return F.trim(F.regexp_replace(hostless, r"[^\p{L}\p{N}@]+", " "))
+    """A text without case, doubled blanks and outer marks, its host names masked: what one page says on every site."""
+    masked = lambda v: F.when(v.rlike(r"\.\p{L}{2}"), F.regexp_replace(v, r"[\p{L}\p{N}-]+(?:\.[\p{L}-]{2,})+", "@")).otherwise(v)
+    return F.trim(F.regexp_replace(U.let(F.lower(text), masked), r"\s{2,}", " "), F.lit(" .,:;!?[](){}\"'\u2026\n\t"))
 
 
 def record_fields() -> list[Field]:
