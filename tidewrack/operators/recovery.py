@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewrack.functions import text as X
 from tidewrack.functions.unicode import let
+from tidewrack.session import spread
 
 # What each kind of exact evidence scores.
 SCORES = {"DOI": 100, "CANONICAL_URL": 95, "EXACT_TITLE": 90, "RESOLVED_ALIAS_DOI": 85, "RESOLVED_ALIAS_TITLE": 80}
@@ -134,7 +135,7 @@ def nearest_title(known: DataFrame, corpus: DataFrame) -> DataFrame:
                         out.append((item, best[1], -best[0]))
                 yield pd.DataFrame(out, columns=["known_id", "corpus_id", "similarity"])
 
-        part = titles.select("norm_title", "corpus_id").mapInPandas(compare, schema)
+        part = spread(titles.select("norm_title", "corpus_id")).mapInPandas(compare, schema)
         found = part if found is None else found.unionByName(part)
     return found.groupBy("known_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "corpus_id")).alias("m")).select("known_id", F.col("m.corpus_id").alias("corpus_id"), (-F.col("m.s")).alias("similarity"))
 

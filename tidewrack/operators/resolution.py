@@ -14,6 +14,7 @@ occurrence and cluster.
 
 from __future__ import annotations
 
+import functools
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidewrack.functions import text as X
 from tidewrack.operators.graph import smallest_members
-from tidewrack.session import Scratch
+from tidewrack.session import Scratch, spread
 
 # Priority of systems, and thresholds of the similar-title pass.
 PRIORITY = {"OpenAlex": 4, "Citation chaining": 4, "Semantic Scholar": 3, "Web of Science": 2, "Grey literature": 1, "Benchmark remediation": 1}
@@ -277,8 +278,8 @@ def reviewed_titles(titles: DataFrame, idx: str = "occ_idx") -> DataFrame:
     one = titles.where(F.length("norm_title") >= 20).groupBy("norm_title").agg(F.min(idx).alias("id")).withColumn("block", block_key(F.col("norm_title")))
     parts = one.groupBy("block").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     dealt = one.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("norm_title"), F.col("parts")).cast("int"))
-    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("id", "norm_title", "block", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    close = spread.groupBy("block", "low", "high").applyInPandas(lambda pdf: _close(pdf), "l_id long, r_id long, ratio double")
+    pieces = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("id", "norm_title", "block", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    close = spread(pieces, "block", "low", "high").groupBy("block", "low", "high").applyInPandas(lambda pdf: _close(pdf), "l_id long, r_id long, ratio double")
     same = one.select(F.col("id").alias("l_id"), F.col("id").alias("r_id"), F.lit(1.0).alias("ratio"))
     worded = _overlapping(_words(one), "id").select("l_id", "r_id")
     worded = worded.unionByName(worded.select(F.col("r_id").alias("l_id"), F.col("l_id").alias("r_id")))
@@ -370,7 +371,7 @@ def similar_clusters(reps: DataFrame) -> DataFrame:
     doi = (F.col("l_doi") == "") | (F.col("r_doi") == "") | (F.col("l_doi") == F.col("r_doi"))
     edges = alike.join(side("l_"), "l_norm_title").join(side("r_"), "r_norm_title").where((F.col("l_cluster") != F.col("r_cluster")) & author & doi & X.compatible_year(F.col("l_year"), F.col("r_year")))
     reach = smallest_members(edges.select(F.col("l_cluster").alias("a"), F.col("r_cluster").alias("b")))
-    out = titles.join(reach.withColumnRenamed("node", "cluster"), "cluster").groupBy("component").applyInPandas(lambda pdf: _merge_in_order(pdf), "cluster long, first long, joined long, top long, doi string, from_l long, from_r long, until_l long, until_r long, edge_l long, edge_r long")
+    out = spread(titles.join(reach.withColumnRenamed("node", "cluster"), "cluster"), "component").groupBy("component").applyInPandas(lambda pdf: _merge_in_order(pdf), "cluster long, first long, joined long, top long, doi string, from_l long, from_r long, until_l long, until_r long, edge_l long, edge_r long")
     out._scratch = reach
     return out
 
@@ -486,9 +487,18 @@ class Resolution:
         self.unions = scratch.keep(url_unions(self.rows, self.exact, idx))
         joined = self.unions.where("what = 'join'").select("cluster", "joined")
         self.third = scratch.keep(self.exact.join(joined, "cluster", "left").select(idx, F.coalesce("joined", "cluster").alias("cluster"), F.col("cluster").alias("exact")))
-        self.reps = scratch.keep(representatives(self.rows, self.third, idx))
-        self.states = scratch.keep(similar_clusters(self.reps))
-        self.final = scratch.keep(after_similar(self.third, self.states, idx))
+
+    @functools.cached_property
+    def reps(self) -> DataFrame:
+        return self.scratch.keep(representatives(self.rows, self.third, self.idx))
+
+    @functools.cached_property
+    def states(self) -> DataFrame:
+        return self.scratch.keep(similar_clusters(self.reps))
+
+    @functools.cached_property
+    def final(self) -> DataFrame:
+        return self.scratch.keep(after_similar(self.third, self.states, self.idx))
 
     def edges(self) -> DataFrame:
         """(a, b, reason) of every union."""

@@ -37,6 +37,17 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` over as many partitions as there are tasks to run at once, by ``by`` if given.
+
+    For small rows that are much work each: adaptive coalescing goes by bytes and
+    would put them all into one task.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *by)
+
+
 _own: dict[str, str] = {}
 
 
