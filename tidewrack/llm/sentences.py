@@ -81,7 +81,8 @@ _CLOSE = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』",
 _QUOTES = frozenset("“„«「『\"｢")
 _CLOSERS = "”“»」』\"'’)]）】》〉｣"
 _PAIR = re.compile(r"[“”„«»「」『』\"()\[\]（）【】《》〈〉｢｣]")
-_TOKEN = re.compile(r"[^\s“”„«»「」『』\"()\[\]（）,;:，、：]+")
+#: What no token holds, beside blanks.
+_NO_TOKEN = frozenset("“”„«»「」『』\"()[]（）,;:，、：")
 _AFTER = re.compile(r"\w[\w.\-]{0,40}")
 _URL = re.compile(r"(?:https?://|www\.)[^\s“”«»\"<>，。]*[^\s“”«»\"<>，。.,;:!?)]|\b[\w.+-]+@[\w-]+\.[\w.-]*\w")
 _INVISIBLE = "\u200b\u200c\u200d\u200e\u200f\u2060\ufeff\u00ad"
@@ -91,7 +92,10 @@ _CJK = re.compile(f"[{_KANA_HAN}]")
 _GREEK = re.compile(r"[\u0370-\u03ff\u1f00-\u1fff]")
 _BLANK = re.compile(r"\s")
 _RUN = re.compile(f"[\u0e00-\u0e7f]+|[{_KANA_HAN}]+")
-_MARK = re.compile(r"[.!?…。！？｡．।॥؟۔;⁇⁈⁉]+|(?<=[\u0e00-\u0e7f])\s+|\s+(?=[\u0e00-\u0e7f])" + f"|(?<=[{_KANA_HAN}])[\\s]+(?=[{_KANA_HAN}])")
+_TERMINATOR = "[.!?…。！？｡．।॥؟۔;⁇⁈⁉]+"
+_MARK = re.compile(_TERMINATOR)
+#: With the gaps of scripts without spaces, for texts that hold any.
+_GAP_OR_MARK = re.compile(_TERMINATOR + r"|(?<=[\u0e00-\u0e7f])\s+|\s+(?=[\u0e00-\u0e7f])" + f"|(?<=[{_KANA_HAN}])\\s+(?=[{_KANA_HAN}])")
 #: Thai letters that do not stand without the one before them.
 _BOUND = frozenset("ะัาำิีึืฺุู็่้๊๋์ํ๎ๅ")
 #: A token longer than any abbreviation, unit or number is a plain word, whatever it is.
@@ -137,9 +141,8 @@ class _Text:
         self.closes = {b for _, b, _ in self.pairs}
         self.runs: dict[int, list[str]] = {}
         self.run_from: dict[int, tuple[int, int]] = {}
-        if _RUN.search(text):
-            for m in _RUN.finditer(text):
-                self.run_from[m.start()] = self.run_from[-m.end()] = m.span()
+        for m in _RUN.finditer(text):
+            self.run_from[m.start()] = self.run_from[-m.end()] = m.span()
 
     def _segmented(self, span: tuple[int, int]) -> list[str]:
         if span[0] not in self.runs:
@@ -306,13 +309,11 @@ def _block(text: str, base: int, out: list[tuple[int, int]], words: Words) -> No
     block = _Text(text, words)
     size = len(text)
     urls = [m.span() for m in _URL.finditer(text)] if "http" in text or "www." in text or "@" in text else []
-    url = pair = token_at = blank_at = greek_at = 0
-    tokens = [m.span() for m in _TOKEN.finditer(text)]
-    blanks = [m.end() for m in _BLANK.finditer(text)]
+    url = pair = greek_at = 0
     greeks = [m.end() for m in _GREEK.finditer(text)] if ";" in text else []
     around: list[tuple[int, int, bool]] = []
     paths: list[tuple[float, int, tuple | None]] = [(0.0, 0, None)]  # cost, start, (cuts before, cut)
-    for m in _MARK.finditer(text):
+    for m in (_GAP_OR_MARK if block.run_from else _MARK).finditer(text):
         mark, end = m.span()
         run = m.group()
         if mark < guard or mark == 0 and run.isspace():
@@ -326,9 +327,6 @@ def _block(text: str, base: int, out: list[tuple[int, int]], words: Words) -> No
             pair += 1
         if around:
             around = [p for p in around if p[1] >= mark]
-        while blank_at < len(blanks) and blanks[blank_at] <= end:
-            blank_at += 1
-        last_blank = blanks[blank_at - 1] if blank_at else -1
         low = mark
         if run.isspace():
             at, after, closed, blank, greek = mark, end, False, True, -1
@@ -347,10 +345,9 @@ def _block(text: str, base: int, out: list[tuple[int, int]], words: Words) -> No
             if after >= size:
                 break
             blank = any(c.isspace() for c in text[at:after])
-            while token_at < len(tokens) and tokens[token_at][1] < mark:
-                token_at += 1
-            if token_at < len(tokens) and tokens[token_at][0] < mark:
-                low = tokens[token_at][0]
+            stop_at = mark - _LONG - 1 if mark > _LONG else 0
+            while low > stop_at and not text[low - 1].isspace() and text[low - 1] not in _NO_TOKEN:
+                low -= 1
             while greek_at < len(greeks) and greeks[greek_at] <= mark:
                 greek_at += 1
             greek = greeks[greek_at - 1] if greek_at else -1
@@ -378,7 +375,7 @@ def _block(text: str, base: int, out: list[tuple[int, int]], words: Words) -> No
                     ended = (stop, after, (before, (start, at)))
             if score > 0:
                 cost += score
-            key = (start if quoted else -1, sum(1 for p in around if p[0] >= start) if around else 0, start if last_blank <= start and end - start <= _LONG else -1)
+            key = (start if quoted else -1, sum(1 for p in around if p[0] >= start) if around else 0, start if end - start <= _LONG and not _BLANK.search(text, start, end) else -1)
             if key not in following or cost < following[key][0]:
                 following[key] = (cost, start, before)
         paths = list(following.values())
