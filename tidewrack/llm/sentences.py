@@ -63,9 +63,9 @@ REPEATS = frozenset("ๆ ฯ ฯลฯ".split())
 # Other words of everyday and technical use, which keep the words above from being read out of them.
 WORDS = frozenset("""
 พื้นที่ ที่สุด ที่นี่ ที่นั่น ทันที หน้าที่ เจ้าหน้าที่ สถานที่ แผนที่ คงที่ เต็มที่ กะทันหัน ภายใน ภายนอก ในขณะที่ ของเสีย สิ่งของ ปะการัง น้ำลึก น้ำ ตะกอน ปกคลุม นาน ชั่วโมง นาที
-ความขุ่น ความ การ สูง ต่ำ มิลลิกรัม ลิตร กระแสน้ำ อ่อน มาก น้อย ฤดูหนาว ฤดูร้อน ฟองน้ำ ลด เพิ่ม อัตรา สูบ ลง ขึ้น ร้อยละ นักวิจัย เก็บ ตัวอย่าง ชิ้น ปี เดือน วัน โพลิป หดตัว จึง ฟื้นตัว
-ทะเล ชายฝั่ง ระบบ ผล ผลกระทบ การศึกษา พบ ว่าง ต่อเนื่อง ต่อไป โดยเฉพาะ โดยทั่วไป ถึงแม้ มาตรฐาน ตามปกติ ตามธรรมชาติ สถานี สังเกต บันทึก เมตร กิโลเมตร เซนติเมตร ตารางเมตร ประมาณ ระดับ คุณภาพ นะคะ
-珊瑚 海绵 沉积物 悬浮物 浓度 达到 持续 小时 分钟 钻屑 覆盖 平方米 采集 样本 附近 下降 水流 很弱 日志 写道 能见度 太差 观察员 记录 承受 多少 息肉 收缩 恢复 泵水 速率 了解 为了 除了 罢了 目的 的确 现在 存在 正在 所在 在于 和平 和谐 总和 与其 参与 给与 从事 从而 自从 对于 对照 针对 相对 及时 以及 或者 或许 把握 被动 方向 方面 研究 影响 结果 实验 海水 深海 底部
+ความขุ่น ความ การ สูง มิลลิกรัม ลิตร กระแสน้ำ อ่อน มาก ฤดูหนาว ฟองน้ำ ลด เพิ่ม อัตรา สูบ ลง ขึ้น ร้อยละ นักวิจัย เก็บ ตัวอย่าง ชิ้น ปี โพลิป หดตัว จึง ฟื้นตัว
+ทะเล ผล ผลกระทบ การศึกษา พบ ว่าง ต่อเนื่อง ต่อไป โดยเฉพาะ โดยทั่วไป ถึงแม้ มาตรฐาน ตามปกติ ตามธรรมชาติ นะคะ
+珊瑚 海绵 沉积物 悬浮物 浓度 达到 持续 钻屑 覆盖 采集 样本 附近 下降 水流 很弱 日志 写道 能见度 太差 观察员 记录 承受 多少 了解 为了 除了 罢了 目的 的确 现在 存在 正在 所在 在于 和平 和谐 总和 与其 参与 给与 从事 从而 自从 对于 对照 针对 相对 及时 以及 或者 或许 把握 被动 方向 方面 底部
 とても ところ とき とも として とりわけ とくに どれほど のち のみ のど もの ものの ここ そこ どこ なんと 流れ 弱い 観測員 記録 濁度 超え 続い 回復 時間 要し 海綿 ろ過 速度 低下 採集 個体 サンゴ 堆積物 耐え られる 濁っ 海 図 参照 沖 日間 から見て までに でも では には とは ながら ために について によって において はず はじめ がら かなり からだ にわたり へこむ もっと もし もちろん よく より多く かつて たち たとえば ため
 """.split())
 #: What an unknown letter of a run costs, a dictionary word costing 1.
