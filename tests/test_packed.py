@@ -48,3 +48,9 @@ def test_rules_never_raise():
         for names in (True, False):
             kind, pattern = resolve(skeleton, names)
             unpack('a;"b', kind, pattern)
+
+
+def test_long_fields(spark):
+    n = 3000
+    cases = {" ".join(["word"] * n): 1, " ".join(["Marine"] * n) + " Institute": 1, ", ".join(f"Ann Name{i}" for i in range(n)): n, "; ".join(f'"Name{i}, A."' for i in range(n)): n}
+    assert [len(v) for v in values(spark, cases, True)] == list(cases.values())

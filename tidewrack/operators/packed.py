@@ -56,10 +56,11 @@ def skeleton(x: Column, names: bool) -> Column:
     shape = F.regexp_replace(shape, r" (?:and|&) ", "＋")
     shape = F.regexp_replace(shape, rf"(?<![\p{{L}}\p{{M}}])(?:{'|'.join(CORPORATE)})(?![\p{{L}}\p{{M}}])", "★")
     shape = F.regexp_replace(shape, rf"(?i)(?<![\p{{L}}\p{{M}}'’-])(?:{'|'.join(PARTICLES)}|of|for|the)(?![\p{{L}}\p{{M}}'’-])", "")
-    shape = F.regexp_replace(shape, _WORD, "w")
-    shape = F.regexp_replace(shape, r"(?:w *)*★[ w★]*", "O")
-    shape = F.regexp_replace(shape, r"(?:w +◆|◆ +w)[ w]*|w(?: +w)+(?: +◆[ w]*)?", "W")
-    shape = F.regexp_replace(shape, r" +", "")
+    # A repeated group takes a stack frame of the JVM a turn, and a field may hold thousands of words: only classes are repeated.
+    shape = F.regexp_replace(F.regexp_replace(shape, _WORD, "w"), " +", " ")
+    shape = F.regexp_replace(shape, r"(?:(?<!w)(?<!w )w[ w]*+)?★[ w★]*+", "O")
+    shape = F.regexp_replace(shape, r"(?:w ◆|◆ w)[ w]*+|w w[ w]*+(?:(?<= )◆[ w]*+)?", "W")
+    shape = F.regexp_replace(shape, " ", "")
     parts = F.array_join(F.array_sort(F.array_distinct(F.split(shape, _STRONG))), ";")
     parts = F.regexp_replace(F.regexp_replace(parts, r"(,W)\1+", "$1"), r"((?:w,[wW],)+?)\1+", "$1")
     return F.concat(flags, F.lit("#"), marks, F.lit("#"), parts)
