@@ -518,3 +518,9 @@ def test_round_trips(spark, data):
     assert reference.QUERIES["inverted_index_rebuild"](spark, data).where("not same").count() == 0
     back = reference.QUERIES["ris_import"](spark, data)
     assert back.count() == reference.QUERIES["ris_export"](spark, data).count() > 0
+
+
+def test_chains_read_written_tables(spark, data):
+    parts = pipeline._chained(spark, data)
+    read = {name: [f for f in part.inputFiles() if "/records.parquet" in f] for name, part in parts.items()}
+    assert [name for name, files in read.items() if files] == ["candidates"]  # the texts of the works found

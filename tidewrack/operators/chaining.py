@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewrack.functions import text as X
 from tidewrack.functions.unicode import let
 from tidewrack.operators import graph
+from tidewrack.session import Scratch
 
 # What a seed rests on, and the parent of an edge that no seed explains.
 SEED_BASIS = "title organism+stressor; >=2 systems or >=3 occurrences"
@@ -91,14 +92,22 @@ def chain(corpus: DataFrame, works: DataFrame) -> dict[str, DataFrame]:
 
     ``works`` also has referenced_works and related_works (arrays of work ids).
     """
-    seeds, unresolved = primary_seeds(corpus, works)
-    existing = corpus.select(F.explode(X.work_ids(F.col("source_record_ids"))).alias("work_id")).distinct()
-    first = graph.metadata_edges(works, seeds.select("work_id"), 1)
-    second = graph.next_seeds(first, works, existing, graph.promising(F.col("title")))
-    edges = first.unionByName(graph.metadata_edges(works, second, 2))
-    table = edge_table(edges, origins(seeds, edges, second))
+    scratch = Scratch(works.sparkSession, "chain")
+    # Each of these is read several times below; the graph goes without the works' texts.
+    corpus = scratch.keep(corpus)
+    links = scratch.keep(works.select("work_id", "doi", "referenced_works", "related_works", graph.promising(F.col("title")).alias("promising")))
+    seeds, unresolved = primary_seeds(corpus, links)
+    seeds = scratch.keep(seeds)
+    existing = scratch.keep(corpus.select(F.explode(X.work_ids(F.col("source_record_ids"))).alias("work_id")).distinct())
+    first = scratch.keep(graph.metadata_edges(links, seeds.select("work_id"), 1))
+    second = scratch.keep(graph.next_seeds(first, links, existing, F.col("promising")))
+    edges = scratch.keep(first.unionByName(graph.metadata_edges(links, second, 2)))
+    table = scratch.keep(edge_table(edges, origins(seeds, edges, second)))
     dois = corpus.select(let(X.strip_doi(F.col("doi")), lambda d: d).alias("doi"))
-    return {"seeds": seeds, "unresolved": unresolved, "second": second, "edges": table, "candidates": candidates(table, works, existing, dois)}
+    parts = {"seeds": seeds, "unresolved": unresolved, "second": second, "edges": table, "candidates": candidates(table, works, existing, dois)}
+    for part in parts.values():
+        part._scratch = scratch
+    return parts
 
 
 def chain_counts(table: DataFrame) -> DataFrame:

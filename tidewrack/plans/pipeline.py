@@ -180,7 +180,7 @@ def _chained(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
 @query(f"{_CHAIN} select 0 as seed_generation, corpus_id, title, doi, families, systems as discovery_systems, n as occurrence_count, w as work_id, '{chaining.SEED_BASIS}' as seed_basis from sd")
 def chain_seeds(spark: SparkSession, sf: str) -> DataFrame:
     """Promising, strongly found titles under their works."""
-    return _chained(spark, sf)["seeds"]
+    return chaining.primary_seeds(*_chain_tables(spark, sf))[0]
 
 
 @query(f"""{_CHAIN} select e.generation, e.route, e.parent as parent_work_id, coalesce((select string_agg(distinct corpus_id, ' | ' order by corpus_id) from o where o.parent=e.parent),'{chaining.NO_PARENT}') as parent_corpus_ids, e.child as discovered_work_id, coalesce((select string_agg(distinct f, ' | ' order by f) from o where o.parent=e.parent),'') as inherited_families from e""")
