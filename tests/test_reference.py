@@ -524,3 +524,19 @@ def test_chains_read_written_tables(spark, data):
     parts = pipeline._chained(spark, data)
     read = {name: [f for f in part.inputFiles() if "/records.parquet" in f] for name, part in parts.items()}
     assert [name for name, files in read.items() if files] == ["candidates"]  # the texts of the works found
+
+
+@pytest.mark.parametrize("share", [resolution.REVIEW_JACCARD, resolution.SAME_AUTHOR[1]])
+def test_overlapping_loses_no_pair(spark, share, monkeypatch):
+    monkeypatch.setattr(resolution, "LONG", 12)
+    rng, rows = random.Random(3), []
+    for n in [1, 2, 3, 4, 5, 8, 10, 11, 12, 13, 14, 15, 16, 25] * 4:
+        base = [f"word{rng.randrange(60)}of" for _ in range(n)]
+        for _ in range(4):
+            words = [w if rng.random() > 0.08 else f"other{rng.randrange(9)}" for w in base][: n - rng.randrange(2) if n > 1 else n]
+            rows.append((len(rows), list(dict.fromkeys(words))))
+    df = spark.createDataFrame([(i, "one", " ".join(w), w) for i, w in rows], "i long, block string, norm_title string, words array<string>")
+    got = resolution._overlapping(df, "i", share).collect()
+    alike = lambda a, b: len({*a} & {*b}) / len({*a} | {*b})
+    want = {(i, j): alike(v, w) for i, v in rows for j, w in rows if i < j and alike(v, w) >= share}
+    assert {(r.l_i, r.r_i): r.jaccard for r in got} == pytest.approx(want) and len(got) == len(want) > 50
