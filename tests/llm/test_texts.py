@@ -4,6 +4,7 @@ import string
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tidewrack.llm import leakage
 from tidewrack.llm.leakage import leaked_items
 from tidewrack.llm.lookalike import alike_classes, alike_pairs, canonical_values
@@ -170,3 +171,11 @@ def test_look_alike_marks(spark):
 def test_rows_keep_their_place(spark):
     df = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("Number "), "id", F.lit(". Next one.")).alias("text")).repartition(9)
     assert split_sentences(df).groupBy("doc_id").count().where("count <> 2").count() == 0
+
+
+def test_long_author_field(spark, tmp_path):
+    spark.createDataFrame([("Roe, Ann | A. Roe", "OpenAlex")], "authors string, system string").write.parquet(str(tmp_path / "records.parquet"))
+    rows = [("a", " ".join(["word"] * 3000)), ("b", "Ann Roe")]
+    spark.createDataFrame(rows, "paper_id string, authors string").write.parquet(str(tmp_path / "ss_mech_feeding_pumping_sponge_01.parquet"))
+    pairs = {(r.name_a, r.name_b) for r in entry.queries()["p5_found"](spark, str(tmp_path)).collect()}
+    assert ("Ann Roe", "Roe, Ann") in pairs
