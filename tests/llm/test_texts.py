@@ -8,6 +8,7 @@ import __spark_entry__ as entry
 from tidewrack.llm import leakage
 from tidewrack.llm.leakage import leaked_items
 from tidewrack.llm.lookalike import alike_classes, alike_pairs, canonical_values
+from tidewrack.llm.names import author_pairs
 from tidewrack.llm.sentences import Words, sentences, split_sentences
 
 UNITS = {
@@ -179,3 +180,15 @@ def test_long_author_field(spark, tmp_path):
     spark.createDataFrame(rows, "paper_id string, authors string").write.parquet(str(tmp_path / "ss_mech_feeding_pumping_sponge_01.parquet"))
     pairs = {(r.name_a, r.name_b) for r in entry.queries()["p5_found"](spark, str(tmp_path)).collect()}
     assert ("Ann Roe", "Roe, Ann") in pairs
+
+
+def test_long_surname(spark):
+    """A surname of 20,000 letters and slips of it, one also at the bound of forms."""
+    rng = random.Random(7)
+    long, edge = ("".join(rng.choice(string.ascii_lowercase) for _ in range(n)) for n in (20_000, 64))
+    middle = len(long) // 2
+    turned = long[:middle] + long[middle + 1] + long[middle] + long[middle + 2 :]
+    names = [f"{s.title()}, Ann" for s in (long, long[:7] + "q" + long[7:], turned, edge, edge + "q", long[::-1])]
+    found = author_pairs(spark.createDataFrame([(n,) for n in names], "name string")).collect()
+    assert {frozenset(names.index(n) for n in row) for row in found} >= {frozenset((0, 1)), frozenset((0, 2)), frozenset((3, 4))}
+    assert not any(names[5] in row for row in found)

@@ -39,6 +39,8 @@ from tidewrack.session import Scratch
 ATTESTED = 0.1
 #: Slips are only looked for in words of this length or more.
 SLIP_LENGTH = 5
+#: Words beyond this length meet on thirds, as their forms with one letter left out would grow with the square of it.
+LONG_WORD = 64
 #: Given names are broadcast up to this many; beyond it the join shuffles.
 MAX_BROADCAST = 200_000
 
@@ -168,16 +170,41 @@ def _readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def without_one(x: Column) -> Column:
-    """The word and all forms of it with one letter left out; short words only themselves."""
-    cut = F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
-    return F.when(F.length(x) >= SLIP_LENGTH, F.array_distinct(F.concat(F.array(x), cut))).otherwise(F.array(x))
+    """The word and all forms of it with one letter left out; short words only themselves, long ones themselves and their thirds.
+
+    Two long words that share a form share a third as well; those of ``LONG_WORD`` + 1
+    letters have both, for those with one letter less.
+    """
+    n = F.length(x)
+    cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, n)))
+    forms = F.when((n >= SLIP_LENGTH) & (n <= LONG_WORD + 1), F.array_distinct(F.concat(F.array(x), cut))).otherwise(F.array(x))
+    return F.when(n > LONG_WORD, F.concat(forms, _thirds(x))).otherwise(forms)
+
+
+def _thirds(x: Column) -> Column:
+    """The first and last third of a word, at its own length and at one letter less, and its middle but for its first or last letter."""
+    n = F.length(x)
+    third = lambda m: F.floor(m / 3).cast("int")
+    ends = [F.concat(F.lit(mark), m.cast("string"), F.lit(mark), F.substring(x, start, third(m))) for m in (n, n - 1) for mark, start in (("^", F.lit(1)), ("$", n - third(m) + 1))]
+    middle = [F.concat(F.lit("|"), n.cast("string"), F.lit("|"), F.substring(x, third(n) + k, n - 2 * third(n) - 1)) for k in (1, 2)]
+    return F.array_distinct(F.array(*ends, *middle))
 
 
 def _one_slip(a: Column, b: Column) -> Column:
     """One letter more, less or other, or two neighbours changed over."""
     apart = F.levenshtein(a, b, 2)
     swapped = (F.length(a) == F.length(b)) & (F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, "")))
-    return (apart.between(0, 1)) | ((apart == 2) & swapped)
+    short = F.greatest(F.length(a), F.length(b)) <= LONG_WORD + 1
+    return F.when(short, (apart.between(0, 1)) | ((apart == 2) & swapped)).when(a == b, True).otherwise(_one_slip_long(a, b))
+
+
+def _one_slip_long(a: Column, b: Column) -> Column:
+    """``_one_slip`` of two unlike words by the first letter and the last one that differ: the distance takes the square of their length."""
+    differs = lambda x, y: F.array_position(F.zip_with(F.split(x, ""), F.split(y, ""), lambda c, d: ~c.eqNullSafe(d)), True)
+    n, m = F.length(a), F.length(b)
+    first, last = differs(a, b), differs(F.reverse(a), F.reverse(b))
+    other, turned = n - last + 1 == first, (n - last == first) & (F.reverse(F.substring(a, first, F.lit(2))) == F.substring(b, first, F.lit(2)))
+    return F.when(n == m, other | turned).when(F.abs(n - m) == 1, first + last - 2 >= F.least(n, m)).otherwise(False)
 
 
 def _spelt_alike(a: Column, b: Column) -> Column:
