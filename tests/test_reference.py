@@ -540,3 +540,20 @@ def test_overlapping_loses_no_pair(spark, share, monkeypatch):
     alike = lambda a, b: len({*a} & {*b}) / len({*a} | {*b})
     want = {(i, j): alike(v, w) for i, v in rows for j, w in rows if i < j and alike(v, w) >= share}
     assert {(r.l_i, r.r_i): r.jaccard for r in got} == pytest.approx(want) and len(got) == len(want) > 50
+
+
+def test_words_in_common_beyond_64_bits(spark):
+    """Pairs by common words, of short titles and of some that set all bits of the bound, against brute force."""
+    rng = random.Random(5)
+    known = [f"w{i}" for i in range(300)]
+    titles = []
+    for n in (4, 9, 12, 45, 55, 120):
+        for _ in range(6):
+            base = rng.sample(known, n)
+            titles += [" ".join(["same", "block", *base]), *(" ".join(["same", "block", *base[k:], *rng.sample(known, k)]) for k in (1, max(1, n // 10), max(1, n // 5)))]
+    titles = sorted({t for t in titles if len(t) >= 20})
+    sets = [set(t.split(" ")) for t in titles]
+    one = resolution._words(spark.createDataFrame(list(enumerate(titles)), "id long, norm_title string"))
+    for share in (0.8, 0.88):
+        expected = {(i, j) for j in range(len(titles)) for i in range(j) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= share}
+        assert {(r.l_id, r.r_id) for r in resolution._overlapping(one, "id", share).collect()} == expected
