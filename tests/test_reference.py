@@ -557,3 +557,15 @@ def test_words_in_common_beyond_64_bits(spark):
     for share in (0.8, 0.88):
         expected = {(i, j) for j in range(len(titles)) for i in range(j) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= share}
         assert {(r.l_id, r.r_id) for r in resolution._overlapping(one, "id", share).collect()} == expected
+
+
+def test_address_replay_is_spread(spark):
+    """Replays of many small components are not left to one task, which small rows would be coalesced into."""
+    n = 4000
+    pairs = [(4 * k + i, 4 * k + i, f"u{2 * k + j}", "") for k in range(n // 4) for i, j in ((0, 0), (1, 0), (2, 1), (3, 1))]
+    df = spark.createDataFrame([(i, u, d) for i, _, u, d in pairs], "occ_idx long, canonical_url string, doi string")
+    clusters = spark.createDataFrame([(i, i) for i in range(n)], "occ_idx long, cluster long")
+    unions = resolution.url_unions(df, clusters)
+    done = unions._scratch[0]
+    assert spark.read.parquet(f"{done.root}/2").rdd.getNumPartitions() > 1
+    assert unions.where("what = 'edge'").count() == n // 2
