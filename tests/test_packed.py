@@ -54,3 +54,17 @@ def test_long_fields(spark):
     n = 3000
     cases = {" ".join(["word"] * n): 1, " ".join(["Marine"] * n) + " Institute": 1, ", ".join(f"Ann Name{i}" for i in range(n)): n, "; ".join(f'"Name{i}, A."' for i in range(n)): n}
     assert [len(v) for v in values(spark, cases, True)] == list(cases.values())
+
+
+def test_empty_parts_between_commas(spark):
+    """Beside other names; before, the rule of such a field was an error that ended the query."""
+    cases = {
+        "Ann Roe, , Oslo Institute of Marine Survey, Bergen": ["Ann Roe", "Oslo Institute of Marine Survey, Bergen"], "Oslo Institute of Marine Survey, Bergen, , Ann Roe,": ["Oslo Institute of Marine Survey, Bergen", "Ann Roe"],
+        "Ann Roe, , Doe, Bob &": ["Ann Roe, , Doe, Bob"], "Roe, Ann, , Doe, Bob": ["Roe, Ann", "Doe, Bob"], "Ann Roe &  & Doe, Bob": ["Ann Roe", "Doe, Bob"],
+    }
+    for case, got in zip(cases, values(spark, list(cases), True)):
+        assert got == cases[case], case
+
+
+def test_halves_of_characters(spark):
+    assert values(spark, ['["Roe \\ud83d", "B\\u00e9 \\ud835\\udc00"]', "['Roe \\ud83d', 'B \\ud835\\udc00']"], True) == [["Roe �", "Bé \U0001d400"], ["Roe �", "B \U0001d400"]]

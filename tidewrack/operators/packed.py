@@ -94,7 +94,7 @@ def resolve(skeleton: str, names: bool) -> tuple[str, str]:
         if comma and any("," in p for p in pieces):
             if all(f[0] in "WO◆" for f in fields):
                 pattern.append(",")
-            elif not quoted and "W" in fields and all(f[0] in "WO" or (f == "w" and g[0] == "O") for p in pieces for g, f in zip([" ", *p.split(",")], p.split(","))):
+            elif not quoted and "W" in fields and all(f[0] in "WO" or (f == "w" and g[0] == "O") for p in pieces for g, f in _neighbours(p)):
                 pattern.append(r",(?! *[^\s,]+ *(?:,|$))")  # the seat of a corporate author stays with it
             elif not conjunction and len(pieces) == 1 and len(fields) > 2 and len(fields) % 2 == 0 and all(f == "w" for f in fields[::2]):
                 return "pairs", ","
@@ -105,6 +105,12 @@ def resolve(skeleton: str, names: bool) -> tuple[str, str]:
     return ("tokens" if quoted else "split"), "|".join(pattern)
 
 
+def _neighbours(piece: str) -> Iterator[tuple[str, str]]:
+    """The non-empty fields between the commas of a piece, each after the one before it."""
+    fields = [f for f in piece.split(",") if f]
+    return zip([" ", *fields], fields)
+
+
 def _unquote(part: str) -> str:
     part = part.strip()
     if len(part) >= 2 and part[0] == '"' and part[-1] == '"':
@@ -155,11 +161,16 @@ def _tokens(text: str, pattern: str) -> list[str]:
     return [_unquote(p) for p in parts]
 
 
+def _whole(text: str) -> str:
+    """Escaped halves of a character joined; a half without the other, which no column can hold, is U+FFFD."""
+    return text if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 def _listed(text: str) -> list[str]:
     for read in (json.loads, ast.literal_eval) if text[:1] == "[" else ():
         try:
             got = read(text)
-            return [v.strip() if isinstance(v, str) else str(v) for v in got if v is not None]
+            return [_whole(v.strip() if isinstance(v, str) else str(v)) for v in got if v is not None]
         except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
             continue
     inner = text[1:-1]
@@ -179,7 +190,7 @@ def unpack(text: str | None, kind: str | None, pattern: str | None) -> list[str]
     elif kind == "tokens":
         parts = _tokens(text, pattern)
     elif kind == "pairs":
-        bits = [b.strip() for b in text.split(",")]
+        bits = [b for b in map(str.strip, text.split(",")) if b]
         parts = [", ".join(bits[i : i + 2]) for i in range(0, len(bits), 2)]
     else:
         parts = [text]
