@@ -1,7 +1,9 @@
 import difflib
 import random
+import time
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -569,3 +571,44 @@ def test_address_replay_is_spread(spark):
     done = unions._scratch[0]
     assert spark.read.parquet(f"{done.root}/2").rdd.getNumPartitions() > 1
     assert unions.where("what = 'edge'").count() == n // 2
+
+
+def _made_titles(n, seed):
+    """Titles of one block, some of which are others with a few letters changed, put in or left out."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(2, 9))) for _ in range(120)]
+    out = ["short term " + " ".join(rng.choice(words) for _ in range(rng.randint(2, 14))) for _ in range(n // 2)]
+    while len(out) < n:
+        letters = list(rng.choice(out))
+        for _ in range(rng.randint(1, 8)):
+            k = rng.randrange(11, len(letters))
+            letters[k : k + 1] = rng.choice([[], [rng.choice("aeiou é漢")], [letters[k], "x"]])
+        out.append("".join(letters))
+    return sorted(set(out))
+
+
+def _parts(low, high=None):
+    rows = [(i, t, 0, 0, int(high is not None)) for i, t in enumerate(low)] + [(len(low) + i, t, 1, 0, 1) for i, t in enumerate(high or [])]
+    return pd.DataFrame(rows, columns=["id", "norm_title", "part", "low", "high"])
+
+
+@pytest.mark.parametrize("short", [512, 60])
+def test_close_titles_against_every_pair(monkeypatch, short):
+    monkeypatch.setattr(resolution, "TILE", 16)
+    monkeypatch.setattr(resolution, "SHORT", short)
+    titles = _made_titles(70, 3) + ["short term " + "tide pool " * 30, "short term " + "tide pool " * 29 + "tide pond ", "short term " + "ab" * 300, "short term " + "ab" * 290 + "cd"]
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    every = sorted((i, j, r) for i, s in enumerate(titles) for j, t in enumerate(titles) if i != j and (r := ratio(s, t)) >= resolution.REVIEW_RATIO)
+    assert sorted(resolution._close(_parts(titles)).itertuples(index=False, name=None)) == every and len(every) > 40
+    across = sorted((i, j, r) for i, j, r in every if (i < 30) != (j < 30))
+    assert sorted(resolution._close(_parts(titles[:30], titles[30:])).itertuples(index=False, name=None)) == across
+
+
+def test_a_hot_block_is_compared_in_time():
+    """Four million pairs of titles made of the same few words, as in a block of a large table."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aeioulmnrst") for _ in range(7)) for _ in range(40)]
+    titles = ["short term " + " ".join(rng.choice(words) for _ in range(10)) for _ in range(4000)]
+    began = time.process_time()
+    resolution._close(_parts(titles[:2000], titles[2000:]))
+    assert time.process_time() - began < 4
