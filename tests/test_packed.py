@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidewrack.llm.names import author_pairs, trimmed
 from tidewrack.operators.packed import resolve, split_values, unpack
 
 LISTS = {
@@ -68,3 +69,10 @@ def test_empty_parts_between_commas(spark):
 
 def test_halves_of_characters(spark):
     assert values(spark, ['["Roe \\ud83d", "B\\u00e9 \\ud835\\udc00"]', "['Roe \\ud83d', 'B \\ud835\\udc00']"], True) == [["Roe �", "Bé \U0001d400"], ["Roe �", "B \U0001d400"]]
+
+
+def test_authors_with_empty_parts_are_paired(spark):
+    """What p5_found does with the field."""
+    df = spark.createDataFrame([("a", "Ann Berta Roe, , Doe, Bob &"), ("b", "Cyrus Poe, , Oslo Institute of Marine Survey, Bergen"), ("c", "Poe, Cyrus")], "k string, authors string")
+    found = author_pairs(trimmed(split_values(df, F.col("k"), {"authors": True}).select(F.col("value").alias("name"))))
+    assert ("Cyrus Poe", "Poe, Cyrus") in {(r.name_a, r.name_b) for r in found.collect()}
